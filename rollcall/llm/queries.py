@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, flac, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digest(flac.to_flac(_table(spark, sf_dir, "documents"))).drop("error")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_decreasing(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +30,7 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac_media": op1_flac_media,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_first_fit_packing": op5_first_fit_packing,
