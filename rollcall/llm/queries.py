@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, flac, packing
+from . import bpe, flac, langcrf, packing, puquality
+from .common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +31,27 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.first_fit_decreasing(_table(spark, sf_dir, "documents"))
 
 
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = langcrf.learn(docs.filter(~held), keys=F.col("doc_id"))
+    return langcrf.predict(docs.withColumn("held_out", held), model, carry=["held_out"])
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = puquality.learn(docs, _table(spark, sf_dir, "labels"), usable=~held)
+    return puquality.predict(docs.withColumn("held_out", held), model, carry=["held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_first_fit_packing": op5_first_fit_packing,
+    "op6_crf_language": op6_crf_language,
+    "op7_pu_quality": op7_pu_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
