@@ -208,7 +208,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     carry = [id_col, *(carry or [])]
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("__text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_slices(batches, "__text", 2 << 20):
