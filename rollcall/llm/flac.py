@@ -614,7 +614,7 @@ def to_flac(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in text_slices(batches, "text", 4 << 20):
+        for batch, col in text_slices(batches, "text", 1 << 20):
             texts = [x.encode() for x in col.to_pylist()]
             media = encode_many([payload(x) for x in texts])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -627,7 +627,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
         col, i = batch.column(column), 0
         while i < len(batch):
             j, size = i, 0
-            while j < len(batch) and (j == i or size < 4 << 20):
+            while j < len(batch) and (j == i or size < 1 << 20):
                 size += len(col[j].as_buffer()) if col[j].is_valid else 0
                 j += 1
             media = col.slice(i, j - i).to_pylist()
