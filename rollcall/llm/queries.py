@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langcrf, packing, puquality
+import corpus_pipeline
+
+from . import bpe, flac, langcrf, packing, probminhash, puquality
 from .common import fold
 
 
@@ -45,6 +47,10 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puquality.predict(docs.withColumn("held_out", held), model, carry=["held_out"])
 
 
+def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -52,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_first_fit_packing": op5_first_fit_packing,
     "op6_crf_language": op6_crf_language,
     "op7_pu_quality": op7_pu_quality,
+    "op10_probminhash_near_dedup": op10_probminhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
