@@ -174,6 +174,17 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray, least: int = 50) -> float:
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.02, 0.98))
 
 
+def _collected(rows: DataFrame) -> np.ndarray:
+    """The features of a bounded sample's texts ``t``, made in tasks; in an order that partitions don't change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, col in text_slices(batches, "t", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(col)], pa.binary())], names=["x"])
+
+    found = sorted(bytes(r.x) for r in rows.select("t").mapInArrow(run, "x binary").collect())
+    return np.frombuffer(b"".join(found), np.float32).reshape(-1, STATS + CLASSES + CLASSES**2).astype(np.float64)
+
+
 def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None, positives: int = 3000, unlabelled: int = 5000) -> Model:
     """Learn from about so many positives (label 1) and unlabelled rows of ``df``.
 
@@ -189,11 +200,9 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     trusted = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull() & ok).select(id_col).distinct()
     chosen = some(trusted, trusted.count(), positives, 31)  # bounded by ``positives``, so that it can be broadcast
     texts = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    pos = texts.join(F.broadcast(chosen), id_col, "left_semi").select("t").collect()
+    xp = _collected(texts.join(F.broadcast(chosen), id_col, "left_semi"))
     web = texts.filter(ok)
-    free = some(web, web.count(), unlabelled, 37).select("t").collect()
-    xp = features(pa.array(sorted(r.t for r in pos), pa.string()))
-    xu = features(pa.array(sorted(r.t for r in free), pa.string()))
+    xu = _collected(some(web, web.count(), unlabelled, 37))
     rng = np.random.default_rng(5)
     hp, hu = rng.permutation(len(xp)) % 2 == 0, rng.permutation(len(xu)) % 2 == 0
     found = []
@@ -211,7 +220,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = rows.drop("__text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in text_slices(batches, "__text", 2 << 20):
+        for batch, col in text_slices(batches, "__text", 1 << 20):
             for i in range(0, len(col), 2000):
                 score = shared.value.score(features(col.slice(i, 2000)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 2000) for j in range(len(carry))), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])
