@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, flac, langcrf, packing, probminhash, puquality
+from . import bpe, flac, langcrf, mincut, packing, probminhash, puquality
 from .common import fold
 
 
@@ -47,6 +47,11 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puquality.predict(docs.withColumn("held_out", held), model, carry=["held_out"])
 
 
+def op8_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return mincut.extract(pages, mincut.learn(pages, keys=F.col("page_id")), carry=["page_id", "url"])
+
+
 def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_first_fit_packing": op5_first_fit_packing,
     "op6_crf_language": op6_crf_language,
     "op7_pu_quality": op7_pu_quality,
+    "op8_mincut_html": op8_mincut_html,
     "op10_probminhash_near_dedup": op10_probminhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
