@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, flac, langcrf, mincut, packing, probminhash, puquality
+from . import bpe, flac, langcrf, mih, mincut, packing, probminhash, puquality
 from .common import fold
 
 
@@ -52,6 +52,10 @@ def op8_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(pages, mincut.learn(pages, keys=F.col("page_id")), carry=["page_id", "url"])
 
 
+def op9_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_crf_language": op6_crf_language,
     "op7_pu_quality": op7_pu_quality,
     "op8_mincut_html": op8_mincut_html,
+    "op9_mih_neighbours": op9_mih_neighbours,
     "op10_probminhash_near_dedup": op10_probminhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
