@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, flac, langcrf, mih, mincut, packing, probminhash, puquality
+from . import bpe, flac, langcrf, mih, mincut, packing, probminhash, puquality, quotes
 from .common import fold
 
 
@@ -21,6 +21,10 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digest(flac.to_flac(_table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quotes.quoted(_table(spark, sf_dir, "conversations")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_decreasing(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
+    "op2_quote_links": op2_quote_links,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_first_fit_packing": op5_first_fit_packing,
@@ -73,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quote_links": quotes.SQL}
