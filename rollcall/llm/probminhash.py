@@ -162,13 +162,17 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
+def similar(x: str, y: str, threshold: float):
+    """Whether two sets have a Jaccard similarity of at least the threshold (less what doubles lose of it)."""
+    both = F.size(F.array_intersect(x, y))
+    return both >= F.lit(threshold - 1e-12) * (F.size(x) + F.size(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    # In whole numbers where the threshold allows, as 0.8 has no exact double.
-    return pairs.join(left, "a").join(right, "b").withColumn("i", both).filter(F.col("i") >= F.lit(threshold - 1e-12) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(similar("sa", "sb", threshold)).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_below: int = 16) -> DataFrame:
@@ -221,9 +225,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             centre = saved(left.join(count, "key").filter((F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0) | (share <= 1)).select("key", F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("comp").alias("cc")))
             if centre.isEmpty() and left.isEmpty():
                 break
-            tries = label.join(centre, "key").filter((F.col("comp") != F.col("cc")) & fits("n", "nc"))
-            tries = tries.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            found = _verified(tries.join(links, ["a", "b"], "left_anti"), sets, threshold)
+            # Compared within the join, so that it makes rows of true links only.
+            here = label.join(sets, "node")
+            there = centre.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("sc")), "centre")
+            alike = (F.col("comp") != F.col("cc")) & fits("n", "nc") & similar("s", "sc", threshold)
+            found = here.join(there, (here["key"] == there["key"]) & alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
             links = saved(links.unionByName(found))
             used = saved(used.unionByName(centre.select("key", F.col("centre").alias("node"))))
             comp = components(links)
