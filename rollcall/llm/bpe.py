@@ -60,7 +60,7 @@ class Encoder:
     ``kept`` bounds the pieces remembered between batches.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -245,7 +245,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch, col in text_slices(batches, "text"):
+        for batch, col in text_slices(batches, "text", 4 << 20):
             ids = [x.tobytes() for x in e.many_by_tree(col, leaf_bytes)]
             others = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]
@@ -299,7 +299,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         tail = b"" if end_id is None else np.array([end_id], e.dtype).tobytes()
-        for batch, col in text_slices(batches, "text", 16 << 20):
+        for batch, col in text_slices(batches, "text", 4 << 20):
             ids, at = e.many(col)
             raw, at = ids.tobytes(), (at * e.dtype.itemsize).tolist()
             rows = [raw[a:b] + tail for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -296,12 +296,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     carry = [id_col, *(carry or [])]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    text = text_col if text_col in carry else "__text"
+    rows = df.select(*carry, *([] if text_col in carry else [F.col(text_col).alias(text)]))
+    schema = rows.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(shared.value)
-        for batch, col in text_slices(batches, "__text"):
+        for batch, col in text_slices(batches, text, 2 << 20):
             share, _, _, _ = lab.shares(col)
             best = share.argmax(1) if share.shape[1] else np.zeros(len(col), np.int64)
             lang, score = [], []

@@ -121,7 +121,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * K3
-        for batch, col in text_slices(batches, "text", 4 << 20):
+        for batch, col in text_slices(batches, "text", 2 << 20):
             who, value, count, names = shingles(col)
             n = np.bincount(who, minlength=len(col))
             sig = signature(who, value, 1 + np.log(count), len(col), bands * rows).reshape(len(col), bands, rows)
@@ -140,7 +140,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """``node`` and its shingles ``s``, from rows of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, col in text_slices(batches, "text", 4 << 20):
+        for _, col in text_slices(batches, "text", 2 << 20):
             who, value, _, names = shingles(col)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(col)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], names=["node", "s"])

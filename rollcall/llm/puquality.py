@@ -216,11 +216,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col``, the columns of ``carry``, ``score`` and ``predicted`` (1 from ``threshold`` on), one row per row; null texts count as empty."""
     carry = [id_col, *(carry or [])]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    text = text_col if text_col in carry else "__text"
+    rows = df.select(*carry, *([] if text_col in carry else [F.col(text_col).alias(text)]))
+    schema = rows.select(*carry).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in text_slices(batches, "__text", 1 << 20):
+        for batch, col in text_slices(batches, text, 1 << 20):
             for i in range(0, len(col), 2000):
                 score = shared.value.score(features(col.slice(i, 2000)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 2000) for j in range(len(carry))), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])

@@ -81,14 +81,19 @@ def before(messages: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame) -> DataFrame:
-    """mid, ``root`` and ``depth`` from (mid, parent); parents come earlier, so that there are no cycles. Rounds: the logarithm of the depth."""
+    """mid, ``root`` and ``depth`` from (mid, parent); parents come earlier, so that there are no cycles.
+
+    Pointers double each round, of messages alone that haven't reached their root: as many rounds as the logarithm of the depth.
+    """
     state = saved(parents.select("mid", F.coalesce("parent", "mid").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    done, active = state.filter("depth = 0"), state.filter("depth > 0")
     while True:
-        up = state.select(F.col("mid").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
-        step = saved(state.join(up, "root", "left").select("mid", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("far") != F.col("root")).alias("moved")))
-        state = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return state
+        up = done.unionByName(active).select(F.col("mid").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
+        step = active.join(up, "root").select("mid", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("far") != F.col("root")).alias("moved"))
+        step = saved(step)
+        done, active = done.unionByName(step.filter("not moved").drop("moved")), step.filter("moved").drop("moved")
+        if active.isEmpty():
+            return done
 
 
 def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
