@@ -50,7 +50,7 @@ def csv_split(line: Column | str) -> Column:
 def roster_csv(files: DataFrame) -> DataFrame:
     """Columns found by their names in either language; files without surname and firstname give nothing, short rows are dropped, a missing id is the row number."""
     rows = files.select("roster_id", _lines(F.col("content")).alias("lines")).withColumn("h", F.transform(csv_split(F.get("lines", F.lit(0))), lambda x: F.lower(trim(x))))
-    where = {k: F.greatest(*[F.array_position("h", n) for n in names]) for k, names in COLUMNS.items()}
+    where = {k: F.array_max(F.array(*[F.array_position("h", n) for n in names])) for k, names in COLUMNS.items()}
     rows = rows.select("roster_id", "lines", *[v.alias(f"at_{k}") for k, v in where.items()]).filter("at_surname > 0 and at_firstname > 0")
     rows = rows.select("*", F.posexplode("lines").alias("i", "line")).filter("i > 0").withColumn("v", csv_split("line"))
     rows = rows.filter(F.size("v") >= F.greatest("at_surname", "at_firstname"))
