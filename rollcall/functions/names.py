@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import col, similarity, trim, words
+from .text import col, similar, similarity, trim, words
 
 # Ukrainian letters in Latin script; the soft sign has no counterpart and stays.
 LATIN = {
@@ -104,9 +104,9 @@ def translit_match(a: Column | str, b: Column | str, threshold: float = 0.8, a_v
     vx = col(a_variants) if a_variants is not None else latin_variants(x)
     vy = col(b_variants) if b_variants is not None else latin_variants(y)
     cx, cy = has_cyrillic(x), has_cyrillic(y)
-    some = lambda variants, other: F.exists(variants, lambda v: similarity(v, other) >= threshold)
+    some = lambda variants, other: F.exists(variants, lambda v: similar(v, other, threshold))
     full = (F.length(x) > 0) & (F.length(y) > 0)
-    return F.coalesce(full & F.when(F.lower(x) == F.lower(y), True).when(cx == cy, similarity(x, y) >= threshold).when(cx, some(vx, y)).otherwise(some(vy, x)), F.lit(False))
+    return F.coalesce(full & F.when(F.lower(x) == F.lower(y), True).when(cx == cy, similar(x, y, threshold)).when(cx, some(vx, y)).otherwise(some(vy, x)), F.lit(False))
 
 
 def variants_map(variants: dict[str, str]) -> Column:

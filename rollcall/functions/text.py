@@ -43,6 +43,12 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+def near_lengths(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the lengths allow a similarity of ``threshold``: cheaper than counting edits, and never wrong."""
+    x, y = F.length(a), F.length(b)
+    return F.least(x, y) >= F.lit(threshold - 1e-9) * F.greatest(x, y)
+
+
 def fuzzy_match(a: Column | str, b: Column | str, threshold: float = 0.3) -> Column:
     """Similar up to ``threshold``."""
     return similarity(a, b) >= F.lit(1.0) - F.lit(threshold)
@@ -50,7 +56,7 @@ def fuzzy_match(a: Column | str, b: Column | str, threshold: float = 0.3) -> Col
 
 def similar(a: Column | str, b: Column | str, threshold: float = 0.8) -> Column:
     """Similar from ``threshold`` on."""
-    return similarity(a, b) >= threshold
+    return near_lengths(col(a), col(b), threshold) & (similarity(a, b) >= threshold)
 
 
 def format_date(c: Column | str, with_time: bool = False) -> Column:

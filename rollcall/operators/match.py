@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_variant_of, possible_forms, translit_match
-from ..functions.text import similarity
+from ..functions.text import similar
 from ..storage import settle
 from . import ambiguity
 from .candidates import described, large_pairs, small_pairs
@@ -35,7 +35,7 @@ def rules(variants: dict[str, str]) -> Column:
     """The first rule that fits a pair of ``n`` (the name) and ``d`` (the roster row), as a struct (match_type, quality, reversed), or null."""
     n, d = (lambda p: F.col(f"n.{p}")), (lambda p: F.col(f"d.{p}"))
     same = lambda a, b: F.lower(n(a)) == F.lower(d(b))
-    fuzzy = lambda a, b: similarity(n(a), d(b)) >= 0.75
+    fuzzy = lambda a, b: similar(n(a), d(b), 0.75)
     sounds = lambda a, b, t: translit_match(n(a), d(b), t, F.col(f"n_latin.{a}"), F.col(f"d_latin.{b}"))
     variant = lambda a, b: is_variant_of(n(a), d(b), variants)
     full = d("surname").isNotNull()
