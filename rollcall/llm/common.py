@@ -34,6 +34,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> SparkSession:
+    """Let Arrow batches to and from Python hold few rows and bytes, as texts may be long; returns the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def fold(id_col: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(k))

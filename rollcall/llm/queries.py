@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import bpe, flac, langcrf, mih, mincut, packing, probminhash, puquality, quotes
-from .common import fold
+from .common import bounded_batches, fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
