@@ -30,7 +30,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
-NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORDS = re.compile(r"\w+")
 
 BLOCK = set(
@@ -49,7 +49,7 @@ IMPLIED = {
 OUTSIDE = set("nav footer aside form dialog menu".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Names in class and id that tell boilerplate even around an article, and those that an article overrules.
-FIRM = set("comment comments disqus respond reply replies ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe popup modal".split())
+FIRM = set("comment comments commenter discussion disqus respond reply replies ad ads adsense adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe popup modal".split())
 LOOSE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead banner notice alert share sharing social related recommended widget pagination pager toolbar login signup search legal copyright skip hidden".split())
 BESIDE = set("has no with without layout wrapper page site container main content article".split())
 TAGS = ("p", "h1", "h2", "h3", "h4", "div", "blockquote", "pre")
@@ -96,7 +96,7 @@ def _says(tag: str, attrs: str, up: Open) -> tuple[int, bool]:
         return up.seed, up.firm
     if tag == "header" and up.seed <= 0:
         return -1, False
-    if words & LOOSE and not words & BESIDE and tag not in ("html", "body", "section", "h1", "h2", "h3", "h4", "h5", "h6", "p", "span", "b", "i", "em", "strong"):
+    if words & LOOSE and not words & BESIDE and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "span", "b", "i", "em", "strong"):
         return -1, False
     return up.seed, up.firm
 

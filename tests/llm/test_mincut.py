@@ -49,8 +49,8 @@ def test_blocks():
 
 def test_what_markup_says():
     page = """<header>s</header><nav>n</nav><div class="sidebar">b</div><article class="post"><header><h1>h</h1></header><p>p<aside>a</aside><form>f<input></form></article>
-    <section id="comments"><article><p>c</article></section><div class="ad-slot">d</div><footer>e</footer><div class="has-sidebar">x</div><div style="display: none">y</div>"""
-    assert {b.text: b.seed for b in mincut.blocks_of(page)} == {"s": -1, "n": -1, "b": -1, "h": 1, "p": 1, "a": -1, "f": -1, "c": -1, "d": -1, "e": -1, "x": 0, "y": -1}
+    <section id="comments"><article><p>c</article></section><div class="ad-slot">d</div><footer>e</footer><div class="has-sidebar">x</div><div style="display: none">y</div><article>g<p class="Notice">i</p><section id="relatedPosts">j</section></article><div id="AD-box">k</div>"""
+    assert {b.text: b.seed for b in mincut.blocks_of(page)} == {"s": -1, "n": -1, "b": -1, "h": 1, "p": 1, "a": -1, "f": -1, "c": -1, "d": -1, "e": -1, "x": 0, "y": -1, "g": 1, "i": -1, "j": -1, "k": -1}
 
 
 def expected(page):
