@@ -60,13 +60,13 @@ class Encoder:
     ``kept`` bounds the pieces remembered between batches.
     """
 
-    def __init__(self, path: str, kept: int = 150_000):
+    def __init__(self, path: str, kept: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.dtype = _id_type(size)
         added = self.tok.get_added_tokens_decoder()
         letters = _byte_alphabet()
         self.bytes: list[bytes] = [b""] * size
@@ -227,6 +227,18 @@ def _ends_in_word(x: bytes) -> bool:
     return bool(x) and (0x20 < x[-1] < 0x7F or len(x) > 1 and x[-1] >= 0x80 and 0xC3 <= x[-2] <= 0xDF)
 
 
+def _id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+@lru_cache(4)
+def id_type(path: str) -> np.dtype:
+    """How the ids of a vocabulary are stored; without loading all that encoding takes."""
+    from tokenizers import Tokenizer
+
+    return _id_type(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True))
+
+
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
@@ -245,7 +257,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch, col in text_slices(batches, "text", 4 << 20):
+        for batch, col in text_slices(batches, "text", 2 << 20):
             ids = [x.tobytes() for x in e.many_by_tree(col, leaf_bytes)]
             others = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]
@@ -299,7 +311,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         tail = b"" if end_id is None else np.array([end_id], e.dtype).tobytes()
-        for batch, col in text_slices(batches, "text", 4 << 20):
+        for batch, col in text_slices(batches, "text", 2 << 20):
             ids, at = e.many(col)
             raw, at = ids.tobytes(), (at * e.dtype.itemsize).tolist()
             rows = [raw[a:b] + tail for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +48,13 @@ def fold(id_col: Column, k: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(k))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers stay while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library of Linux
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut Arrow batches so that the strings of ``column`` hold about ``max_bytes``; nulls become ''."""
     for batch in batches:
@@ -59,6 +68,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             j = min(max(j, i + 1), n)
             yield batch.slice(i, j - i), col.slice(i, j - i)
             i = j
+        del batch, col
+        give_back()
 
 
 def utf8_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

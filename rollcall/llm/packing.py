@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_tokenizer, encoder, token_rows
+from .bpe import default_tokenizer, id_type, token_rows
+from .common import give_back
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, tokenizer: str, docs_per_group: int, end_id: int | None):
@@ -150,11 +151,11 @@ def first_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str =
     often as they occur; other columns aren't carried. An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
-    rows = _grouped(df, id_col, text_col, path, docs_per_group, end_id)
+    rows, dtype = _grouped(df, id_col, text_col, path, docs_per_group, end_id), id_type(path)
 
     def pack(table: pa.Table) -> pa.Table:
-        kind = encoder(path).dtype
-        ids = [np.frombuffer(x.as_buffer(), kind).astype("<u4") for x in table.column("ids")]
+        give_back()
+        ids = [np.frombuffer(x.as_buffer(), dtype).astype("<u4") for x in table.column("ids")]
         lengths = [len(x) for x in ids]
         bins, rest = _pieces(lengths, size)
         tree = Tournament(len(rest), size)
@@ -193,10 +194,10 @@ def best_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     in order of ``doc_starts`` are exactly its ids. Null texts count as empty and make a segment of one ``end_id``.
     """
     path = tokenizer or default_tokenizer()
-    rows = _grouped(df, id_col, text_col, path, docs_per_group, end_id)
+    rows, dtype = _grouped(df, id_col, text_col, path, docs_per_group, end_id), id_type(path)
 
     def pack(table: pa.Table) -> pa.Table:
-        dtype = encoder(path).dtype
+        give_back()
         ids = [np.frombuffer(x.as_buffer(), dtype) for x in table.column("ids")]
         bins, rest = _pieces([len(x) for x in ids], size)
         tree, opened = Capacities(size), {}
