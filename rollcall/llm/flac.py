@@ -146,14 +146,13 @@ def _frames(x: np.ndarray, numbers: list[int], lpc_order: int) -> list[bytes]:
     flat = (x == x[:, :1]).all(1)
     raw = ~flat & (rice >= 8 + 8 * size)
     coded = ~flat & ~raw
-    blocks = size.to_bytes(2, "big") if size != 2048 else b""
     heads = []
-    for n, s in zip(numbers, [size] * count, strict=True):
-        h = bytes([0xFF, 0xF8, (0x70 if s > 256 else 0x60) | 4 if s != 2048 else 0xB4, 0x02]) + _utf8_number(n)
-        if s != 2048:
-            h += (s - 1).to_bytes(2 if s > 256 else 1, "big")
+    for n in numbers:
+        code = 0xB0 if size == 2048 else 0x70 if size > 256 else 0x60
+        h = bytes([0xFF, 0xF8, code | 4, 0x02]) + _utf8_number(n)
+        if size != 2048:
+            h += (size - 1).to_bytes(2 if size > 256 else 1, "big")
         heads.append(h + bytes([crc8(h)]))
-    del blocks
     out: list[bytes] = [b""] * count
     for i in np.flatnonzero(flat).tolist():
         out[i] = heads[i] + bytes([0, int(x[i, 0]) & 0xFF])
