@@ -396,6 +396,27 @@ def m17_rules_by_keys(spark, sf_dir):
     return found.select("roster_id", "name", "id", "match_type", "quality", "reversed")
 
 
+@query
+def m18_pick_best(spark, sf_dir):
+    people, aliases, r = _people(spark, sf_dir)
+    keys = match.distinct_keys(match.lookups(people, aliases)).withColumn("lookup", F.coalesce("real_name", "name"))
+    best = match.pick_best(match.rule_pairs(keys, r, VARIANTS)).join(keys.select("k", "roster_id", "name"), "k")
+    return best.select("roster_id", "name", "id", "match_type", "quality", _ids().alias("candidates"))
+
+
+@query
+def m25_best_matches(spark, sf_dir):
+    """Display names cut by two letters, so that they are in no roster, with the three most similar people."""
+    shown = fixtures.speakers(spark, sf_dir).filter("turn < 2").select(F.col("conv_id").cast("string").alias("chat_id"), "roster_id", F.expr("substring(shown, 2, length(shown) - 2)").alias("name")).distinct()
+    used = spark.createDataFrame([], "chat_id string, id string")
+    return recommend.best_matches(shown, used, fixtures.rosters(spark, sf_dir)).select("chat_id", "name", F.col("rank").cast("long").alias("rank"), "id", "similarity")
+
+
+@query
+def d4_filter_entries(spark, sf_dir):
+    return roster.filter_entries(fixtures.rosters(spark, sf_dir), (F.size("nicknames") > 0) & F.startswith("surname", F.lit("М"))).select("roster_id", "id", "surname")
+
+
 def _one_word(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Keys of one-word names: firstnames, surnames, and both run together."""
     r = fixtures.rosters(spark, sf_dir)

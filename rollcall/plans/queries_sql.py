@@ -129,6 +129,7 @@ SQL: dict[str, str] = {
     "d1_name_index": f"{_W}, {_INDEX} SELECT roster_id, full_name, id, pos FROM idx",
     "d2_nickname_index": f"{_W} SELECT roster_id, lower(nicknames[1]) AS nick, id FROM roster WHERE len(nicknames) > 0",
     "d3_lookups": f"{_W}, {_INDEX} SELECT r.roster_id, r.id AS asked, idx.id AS by_name, CASE WHEN len(r.nicknames) > 0 THEN r.id END AS by_nickname FROM roster r JOIN idx ON idx.roster_id = r.roster_id AND idx.full_name = r.surname || ' ' || r.firstname",
+    "d4_filter_entries": f"{_W} SELECT roster_id, id, surname FROM roster WHERE len(nicknames) > 0 AND starts_with(surname, 'М')",
     "d5_search": f"{_W} SELECT roster_id, id, surname FROM roster WHERE contains(lower(surname), 'енк') OR contains(lower(firstname), 'енк')",
     "d6_ranked_search": f"{_W}, {_INDEX}, q AS (SELECT DISTINCT roster_id, unnest(['ко', 'іван']) AS query FROM roster), f AS (SELECT q.roster_id, query, full_name, id, pos, {_similarity('full_name', 'query')} AS s FROM q JOIN idx USING (roster_id) WHERE contains(lower(full_name), query)) SELECT roster_id, query, full_name, id, row_number() OVER (PARTITION BY roster_id, query ORDER BY s DESC, pos) AS rank FROM f",
     "d7_next_id": f"{_W} SELECT roster_id, CAST(max(custkey) + 1 AS VARCHAR) AS next_id FROM roster GROUP BY 1",
