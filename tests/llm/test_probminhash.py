@@ -128,6 +128,20 @@ def test_ids_missing_or_repeated(spark):
     assert pmh.near_duplicates(df.limit(0)).count() == 0 and pmh.deduplicated(df.limit(0)).count() == 0
 
 
+def test_lines_repeated_in_one_text_only(spark):
+    """The verified similarity of sets doesn't depend on how often a line is repeated, so the search mustn't either."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        own, line = ([f"p{k}x{rng.randint(0, 10**9)}" for _ in range(n)] for n in ((20, 15), (40, 15), (80, 30))[k % 3])
+        rows += [" ".join(own + line), " ".join(own + line * (10, 40)[k % 2])]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert len(want) == 60
+    got = pmh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert classes((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
