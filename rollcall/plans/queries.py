@@ -406,10 +406,12 @@ def m18_pick_best(spark, sf_dir):
 
 @query
 def m25_best_matches(spark, sf_dir):
-    """Display names cut by two letters, so that they are in no roster, with the three most similar people."""
-    shown = fixtures.speakers(spark, sf_dir).filter("turn < 2").select(F.col("conv_id").cast("string").alias("chat_id"), "roster_id", F.expr("substring(shown, 2, length(shown) - 2)").alias("name")).distinct()
-    used = spark.createDataFrame([], "chat_id string, id string")
-    return recommend.best_matches(shown, used, fixtures.rosters(spark, sf_dir)).select("chat_id", "name", F.col("rank").cast("long").alias("rank"), "id", "similarity")
+    """Display names cut by two letters, so that they are in no roster, with the three most similar people whose full name nobody shows in the meeting."""
+    r = fixtures.rosters(spark, sf_dir)
+    said = fixtures.speakers(spark, sf_dir).select(F.col("conv_id").cast("string").alias("chat_id"), "roster_id", "shown")
+    shown = said.select("chat_id", "roster_id", F.expr("substring(shown, 2, length(shown) - 2)").alias("name")).distinct()
+    used = roster.lookup_full_name(said.withColumnRenamed("shown", "full_name"), r).filter("id is not null").select("chat_id", "id")
+    return recommend.best_matches(shown, used, r).select("chat_id", "name", F.col("rank").cast("long").alias("rank"), "id", "similarity")
 
 
 @query

@@ -6,6 +6,8 @@ import pytest
 
 from rollcall.functions.names import CORRECTIONS, GROUPS, LATIN, LETTERS, SPELLINGS
 from rollcall.operators import assign, match
+from rollcall.plans import fixtures
+from rollcall.plans.queries import m25_best_matches
 
 VARIANTS = {"саша": "олександр", "оля": "ольга", "olya": "ольга", "ваня": "іван", "міша": "михайло"}
 
@@ -153,3 +155,21 @@ def test_assignment_goes_in_order(spark):
     got = {(r.chat_id, r.name): (r.id, r.auto_matched) for r in assign.auto_match(df.repartition(3), roster, {}).collect()}
     assert got["a", "Ольга"] == (None, False)  # two are free
     assert got["b", "Ольга"] == ("2", True) and got["b", "ольга"] == (None, False)
+
+
+def test_best_matches_equal_model(spark, sf_dir):
+    people, spoken = {}, fixtures.speakers(spark, sf_dir).collect()
+    for r in sorted(fixtures.rosters(spark, sf_dir).collect(), key=lambda r: r.pos):
+        of = people.setdefault(r.roster_id, {})
+        name = f"{r.surname} {r.firstname}"
+        of[name] = (of[name][0] if name in of else r.pos, r.id)
+    used = {(r.conv_id, people[r.roster_id][r.shown][1]) for r in spoken if r.shown in people[r.roster_id]}
+    want, without = set(), set()
+    for conv, roster_id, name in {(r.conv_id, r.roster_id, r.shown[1:-1]) for r in spoken}:
+        scored = [(-max(likeness(a, b) for a in (name, latin(name), cyrillic(name)) for b in (p, latin(p), cyrillic(p))), pos, i) for p, (pos, i) in people[roster_id].items()]
+        near = sorted(x for x in scored if -x[0] > 0.3)
+        without |= {(conv, i) for _, _, i in near[:3]}
+        want |= {(str(conv), name, k, i, round(-s, 9)) for k, (s, _, i) in enumerate([x for x in near if (conv, x[2]) not in used][:3], 1)}
+    assert max(r.turn for r in spoken) > 1 and used & without
+    got = [(r.chat_id, r.name, r.rank, r.id, round(r.similarity, 9)) for r in m25_best_matches(spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
