@@ -5,7 +5,8 @@ edges to the two terminals; neighbours in the page and near relatives in the DOM
 to part them. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
 
 The classifier is a logistic model over a block's text and its own tag, learned from blocks that markup gives away (within ``nav``,
-``footer``, ``article`` and the like) on a bounded sample of pages. In the cut such blocks get an extra capacity.
+``footer``, ``article`` and the like) on a bounded sample of pages. In the cut such blocks get an extra capacity, which a contrary
+score and contrary neighbours together can outweigh.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form dia
 FIRM = set("comment comments commenter discussion disqus respond reply replies ad ads adsense adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe popup modal".split())
 LOOSE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead banner notice alert share sharing social related recommended widget pagination pager toolbar login signup search legal copyright skip hidden".split())
 BESIDE = set("has no with without layout wrapper page site container main content article".split())
+#: Of the firm names, those of parts that hold articles of their own.
+TALK = set("comment comments commenter discussion disqus respond reply replies".split())
+#: Words of a class or id that make its other words a topic or a state of the page, not a name of the part.
+QUALIFIERS = set("category cat tag tags topic type format term has have no not non without with is open opened closed free enabled disabled allowed on off count".split())
 TAGS = ("p", "h1", "h2", "h3", "h4", "div", "blockquote", "pre")
 FEATURES = 14 + len(TAGS)
 
@@ -70,28 +75,53 @@ class Block:
 class Open:
     tag: str
     number: int
-    seed: int
-    firm: bool
     skipped: bool
     link: bool
 
 
-def _says(tag: str, attrs: str, up: Open) -> tuple[int, bool]:
-    """What the element's markup says of its blocks, and whether that holds within an article."""
+@dataclass
+class Element:
+    """What is known of an element once the page has been read."""
+
+    tag: str
+    attrs: str
+    up: int
+    size: int = 0  # characters of the blocks within it
+    articles: int = 0  # articles that it is or holds
+    mains: int = 0
+    seed: int = 0
+    firm: bool = False
+
+
+def is_firm(names: list[list[str]]) -> bool:
+    """Whether a class or id begins or ends with a firm name and has no qualifier."""
+    return any((n[0] in FIRM or n[-1] in FIRM) and not QUALIFIERS.intersection(n) for n in names if n)
+
+
+def _says(tag: str, attrs: str, up: Element, wraps: int) -> tuple[int, bool]:
+    """What the element's markup says of its blocks, and whether that holds within an article. Neither a form nor a firm name
+    says anything of an element that ``wraps`` the main text (2), or all articles (1; but comments may be articles).
+    """
     names, role, hidden = [], "", False
     for key, value in ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            names.append([x.lower() for x in NAMES.findall(value)])
+            names += [[x.lower() for x in NAMES.findall(v)] for v in value.split()]
         elif key == "role":
             role = value.lower()
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
     words = {x for n in names for x in n}
-    if hidden or tag in OUTSIDE or role in OUTSIDE_ROLES or words & FIRM and tag not in ("html", "body", "main"):
+    article = tag in ("article", "main") or role in ("article", "main")
+    firm = is_firm(names) and wraps < (2 if words & TALK else 1)
+    if hidden or (tag in OUTSIDE or role in OUTSIDE_ROLES) and not (wraps and (tag == "form" or role == "form")):
+        return -1, True
+    if firm and not article and tag not in ("html", "body"):
         return -1, True
-    if tag == "main" or role in ("main", "article") or tag == "article":
-        return (up.seed, True) if up.seed < 0 and up.firm and tag != "main" and role != "main" else (1, False)
+    if article:
+        if up.seed < 0 and up.firm and tag != "main" and role != "main":
+            return up.seed, True
+        return (0, False) if firm and tag != "main" and role != "main" else (1, False)
     if up.seed < 0:
         return up.seed, up.firm
     if tag == "header" and up.seed <= 0:
@@ -101,10 +131,30 @@ def _says(tag: str, attrs: str, up: Open) -> tuple[int, bool]:
     return up.seed, up.firm
 
 
+def _settle(elements: list[Element], blocks: list[Block]) -> None:
+    """Give the blocks what markup says, now that it is known what each element holds."""
+    for b in blocks:
+        elements[b.parent].size += len(b.text)
+    for e in reversed(elements[1:]):
+        up = elements[e.up]
+        up.size, up.articles, up.mains = up.size + e.size, up.articles + e.articles, up.mains + e.mains
+    root = elements[0]
+    within = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        within[i] = within[e.up] or e.tag in ("article", "main")
+        # It holds the main part, or most of the text or articles while no article is outside it.
+        all_articles = not within[e.up] and e.articles == root.articles
+        wraps = 2 if e.mains or all_articles and 2 * e.size > root.size else int(all_articles and e.articles > 0)
+        e.seed, e.firm = _says(e.tag, e.attrs, elements[e.up], wraps)
+    for b in blocks:
+        b.seed = elements[b.parent].seed
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order, with character references decoded and white space folded."""
-    root = Open("", 0, 0, False, False, False)
-    stack, out, part, linked, count = [root], [], [], 0, 0
+    root = Open("", 0, False, False)
+    stack, out, part, linked = [root], [], [], 0
+    elements = [Element("", "", 0)]
     at, low = 0, None
 
     def flush() -> None:
@@ -114,7 +164,7 @@ def blocks_of(page: str) -> list[Block]:
             part.clear()
             if text:
                 holder = next((e for e in reversed(stack) if e.tag in BLOCK), root)
-                out.append(Block(text, holder.tag, holder.number, len(stack), holder.seed, min(linked, len(text))))
+                out.append(Block(text, holder.tag, holder.number, len(stack), 0, min(linked, len(text))))
         linked = 0
 
     while (m := TOKEN.match(page, at)) is not None:
@@ -154,16 +204,16 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or attrs and attrs.endswith("/") and tag not in BLOCK:
             continue
         up = stack[-1]
-        seed, firm = _says(tag, attrs, up)
-        count += 1
+        elements.append(Element(tag, attrs, up.number, articles=tag == "article", mains=tag == "main"))
         if tag in RAW:
             if low is None:
                 low = page.lower()
             end = low.find(f"</{tag}", at) if len(low) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
             at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
             continue
-        stack.append(Open(tag, count, seed, firm, up.skipped or tag in SKIPPED, up.link or tag == "a"))
+        stack.append(Open(tag, len(elements) - 1, up.skipped or tag in SKIPPED, up.link or tag == "a"))
     flush()
+    _settle(elements, out)
     return out
 
 
@@ -320,7 +370,7 @@ def main_text(page: str, weights: np.ndarray, seed: float = 4.0, near: float = 0
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    score = np.clip(describe(blocks) @ weights, -3, 3) + np.array([seed * b.seed if b.seed >= 0 else 3 * seed * b.seed for b in blocks])
+    score = np.clip(describe(blocks) @ weights, -3, 3) + seed * np.array([b.seed for b in blocks])
     label = cut([round(scale * s) for s in score.tolist()], edges_of(blocks, near, kin, scale))
     return "\n".join(b.text for b, yes in zip(blocks, label, strict=True) if yes)
 

@@ -53,6 +53,40 @@ def test_what_markup_says():
     assert {b.text: b.seed for b in mincut.blocks_of(page)} == {"s": -1, "n": -1, "b": -1, "h": 1, "p": 1, "a": -1, "f": -1, "c": -1, "d": -1, "e": -1, "x": 0, "y": -1, "g": 1, "i": -1, "j": -1, "k": -1}
 
 
+STORY = "<h1>The title</h1>" + "<p>This is a long paragraph of the story, with sentences and some words. It goes on and on, so that it is content.</p>" * 3
+AROUND = "<nav><a href=1>Home</a></nav>%s<footer>Imprint</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post comments-open">%s</article>', '<article class="hentry category-cookies">%s</article>', '<div class="post no-comments"><article>%s</article></div>', '<div class="ad-free"><article>%s</article></div>',
+        '<form id="aspnetForm"><article>%s</article></form>', '<form>%s</form>', '<div class="promo"><article>%s</article></div>', '<div id="modal"><main>%s</main></div>', '<div class="sponsor">%s</div>',
+    ],
+)
+def test_names_do_not_hide_the_main_text(page):
+    got = mincut.main_text(AROUND % (page % STORY), mincut.START)
+    assert got.count("It goes on") == 3 and "The title" in got and "Imprint" not in got and "Home" not in got
+    # Comments, adverts and forms beside it are still told apart.
+    for part in ('<div id="comments">%s</div>', '<div class="post-comments">%s</div>', '<div class="ad-slot">%s</div>', "<form>%s</form>"):
+        beside = AROUND % ("<article>" + STORY + "</article>" + part % "<p>Beside</p>")
+        assert {b.text: b.seed for b in mincut.blocks_of(beside)}["Beside"] == -1
+
+
+def test_comments_as_the_only_articles():
+    page = AROUND % (f'<div class="story">{STORY}</div><section id="comments"><article><p>Beside</article></section>')
+    assert {b.text: b.seed for b in mincut.blocks_of(page)}["Beside"] == -1 and "Beside" not in mincut.main_text(page, mincut.START)
+
+
+def test_cut_can_overrule_markup():
+    """A paragraph like those around it, of the same article, but with a name of boilerplate."""
+    page = "<article>" + "<p>Sentences of the story, which are quite long and have all the punctuation that one may want, too, in such a text.</p>" * 2
+    page += '<p class="promotion">A sentence of the story, which is just as long, and has all the punctuation that one may want, too, in such a text; it goes on.</p>'
+    page += "<p>Sentences of the story, which are quite long and have all the punctuation that one may want, too, in such a text.</p>" * 2 + "</article>"
+    assert [b.seed for b in mincut.blocks_of(page)] == [1, 1, -1, 1, 1]
+    assert "A sentence" in mincut.main_text(page, mincut.START)
+
+
 def expected(page):
     """The text of a test page: what its one article holds."""
     a = re.search(r"<article>(.*)</article>", page, re.S)[1]
