@@ -188,8 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_below: int = 16) -> DataFrame:
-    """``id_col``, ``class_id`` (the least id of the class), ``class_size`` (rows), ``n_links`` (of the text to other
-    texts in its buckets that were compared and are similar), ``th`` (hash of the text) and ``class_key``; one row per row.
+    """``id_col``, ``class_id`` (the least id of the class), ``class_size`` (rows), ``th`` (hash of the text) and ``class_key``; one row per row.
 
     With the default bands a pair whose sets have a similarity of 0.8 is missed with a chance of at most 0.00006, however often
     their shingles are repeated, as the unit signature alone finds it with that chance. Repeated rows and copies share a class.
@@ -248,13 +247,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             comp = components(links)
             turn += 1
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = nodes.join(comp, "node", "left").join(degree, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = nodes.join(comp, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     copies = sig.filter("node <> 0").groupBy("node").agg(F.count("*").alias("rows"))
     classes = ids.join(copies, "node").groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = ids.select("node", "comp", "n_links").join(classes, "comp").select("node", "class_id", "class_size", "n_links", F.col("comp").alias("class_key"))
-    empty = sig.filter("node = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), "th", F.lit(0).cast("long").alias("class_key"))
-    return sig.filter("node <> 0").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", "th", "class_key").unionByName(empty)
+    named = ids.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_size", F.col("comp").alias("class_key"))
+    empty = sig.filter("node = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th", F.lit(0).cast("long").alias("class_key"))
+    return sig.filter("node <> 0").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "th", "class_key").unionByName(empty)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

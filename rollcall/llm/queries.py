@@ -61,7 +61,7 @@ def op9_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

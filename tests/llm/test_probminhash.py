@@ -148,3 +148,8 @@ def test_query(spark):
     got = op10_probminhash_near_dedup(spark, sf).collect()
     want = [[docs[i][0] for i in g] for g in brute(docs)]
     assert classes((r.doc_id, r.class_id) for r in got) == sorted(sorted(g) for g in want)
+
+
+def test_result_has_classes_only(spark):
+    """Links within large buckets are found only as far as classes need them, so that their number would depend on the bucket's size."""
+    assert op10_probminhash_near_dedup(spark, "/root/testdata/sf0.001").columns == ["doc_id", "class_id", "class_size"]
