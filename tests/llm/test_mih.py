@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -5,16 +7,38 @@ from rollcall.llm import mih
 from rollcall.llm.queries import op9_mih_neighbours
 
 
-def test_within_finds_every_code():
+def hamming(a, b):
+    return int(np.unpackbits(a ^ b).sum())
+
+
+@pytest.mark.parametrize("substrings", [4, 8, 16])
+@pytest.mark.parametrize("radius", [0, 40, 77, 101, 120])
+def test_every_code_within_the_radius_is_found_once(substrings, radius):
+    """Over all cells that a query probes, each pair within the radius is met at exactly one substring."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(700, 40))
-    coder = mih.learn(x[:300])
-    parts = coder.parts(x)
-    index = mih.Index(coder, parts)
-    for i in range(0, 700, 100):
-        for radius in (0, 3, 7, 11, 14):
-            want = [j for j in range(700) if sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(parts[i], parts[j], strict=True)) <= radius]
-            assert index.within(parts[i], radius).tolist() == want
+    x = rng.normal(size=(300, 24))
+    coder = replace(mih.learn(x[:200]), radius=radius, substrings=substrings, prefix=3)
+    codes, ids = coder.codes(x), np.arange(300)
+    cells = coder.cells(coder.parts(codes))
+    q = np.arange(0, 300, 50)
+    found = []
+    for j, most in enumerate(coder.allowed()):
+        for cell in range(8) if most >= 0 else ():
+            rows = np.flatnonzero(cells[:, j] == cell)
+            asks = q[np.isin(cells[q, j] ^ cell, mih.masks(3, most))]
+            if len(rows) and len(asks):
+                a, b, _ = mih.search(coder, j, ids[rows], x[rows], codes[rows], ids[asks], x[asks], codes[asks], 1000)
+                found += zip(a.tolist(), b.tolist(), strict=True)
+    want = [(i, j) for i in q.tolist() for j in range(300) if i != j and hamming(codes[i], codes[j]) <= radius]
+    assert sorted(found) == want
+
+
+def test_short_substrings_where_neighbours_are_close():
+    """Tight clusters: the plan probes few cells. Isotropic vectors: it saves copies of rows instead."""
+    coder = mih.learn(np.random.default_rng(2).normal(size=(500, 64)))
+    close, far = mih.planned(coder, 20, 10**8, 10**6, 4096), mih.planned(coder, 101, 50_000, 1000, 4096)
+    assert close.substrings >= 8 and far.substrings == 4
+    assert sum(len(mih.masks(close.prefix, a)) for a in close.allowed()) < 0.05 * close.substrings * 2**close.prefix
 
 
 def test_rotation_beats_plain_signs():
@@ -62,17 +86,37 @@ def test_rows(spark):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
     rows += [(400 + i, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0]) for i in range(60)]  # ties
     rows += [(500, None), (550, [0.0] * 6), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (650, [float("nan")] + [1.0] * 5), (700, [float("inf")] + [1.0] * 5), (None, [1.0] * 6), (50, rows[50][1]), (750, [1e-200] * 6)]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, score int, id int").repartition(5)
-    got = mih.nearest(df, df["vec_id"] % 50 == 0, rows_per_block=64, queries_per_block=3).collect()
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4, 5) for i, v in rows], "vec_id long, embedding array<double>, score int, id int, v int, code int, dim int").repartition(5)
     want = brute(rows, lambda i: i % 50 == 0)
-    assert {r.query_id for r in got} == set(want)
-    assert recall(got, want) >= 0.95
-    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 400] == [401, 402, 403, 404, 405]
+    for few in (1024, 100):  # without an index, and with one in small cells
+        got = mih.nearest(df, df["vec_id"] % 50 == 0, rows_per_cell=64, queries_per_cell=3, few=few).collect()
+        assert {r.query_id for r in got} == set(want)
+        assert recall(got, want) >= 0.95
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 400] == [401, 402, 403, 404, 405]
     few = df.filter("vec_id in (50, 51, 52)")
     assert sorted((r.query_id, r.rank) for r in mih.nearest(few, few["vec_id"] % 50 == 0).collect()) == [(50, 1), (50, 2)]
     assert mih.nearest(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
 
 
+def test_lengths_hot_vectors_and_lonely_queries(spark):
+    """Vectors of each length are searched among their own; copies of one vector fill a cell; queries far from all rows get theirs."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(1500)]
+    rows += [(2000 + i, [1.0] * 64) for i in range(700)]
+    rows += [(3000 + i, rng.normal(size=3).tolist()) for i in range(60)] + [(4000, [1.0] * 2000), (4001, [1.0] * 1999 + [2.0]), (4050, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in rows]
+    want = {}
+    for size in {len(v) for _, v in rows}:
+        want |= brute([r for r in rows if len(r[1]) == size], lambda i: i % 50 == 0)
+    got = mih.nearest(df, df["vec_id"] % 50 == 0, rows_per_cell=128, queries_per_cell=8).collect()
+    want = {q: best for q, best in want.items() if best}
+    assert {r.query_id for r in got} == set(want) and recall(got, want) >= 0.95
+    # A radius that finds too little is made up for by comparing with all rows.
+    exact = mih.nearest(df, df["vec_id"] % 50 == 0, reach=0.0, rows_per_cell=128).collect()
+    assert {(r.query_id, r.rank) for r in exact} == {(r.query_id, r.rank) for r in got}
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
@@ -83,3 +127,21 @@ def test_query(spark, sf):
     assert {r.query_id for r in got} == set(want) and found >= 0.95
     exact = {(q, i): s for q, best in want.items() for i, s in best}
     assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in exact)
+
+
+def test_few_rows_are_reranked(spark):
+    """At sf0.1 less than 5 % of the rows lie within the measured radius of a query."""
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    coder = mih.learn(x)
+    codes = coder.codes(x)
+    unit = x / mih.norms(x)[:, None]
+    far, q = [], np.flatnonzero(ids % 50 == 0)
+    for i in range(0, len(x), 10):
+        s = unit @ unit[i]
+        s[i] = -2
+        far += [hamming(codes[i], codes[j]) for j in np.argsort(-s)[:5]]
+    radius = int(np.quantile(far, 0.97, method="higher"))
+    near = np.array([[hamming(codes[i], c) <= radius for c in codes] for i in q])
+    print("share within the radius", near.mean())
+    assert near.mean() < 0.05
