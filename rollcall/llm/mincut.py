@@ -1,12 +1,12 @@
 """Main text of web pages by a minimum cut.
 
 A page is cut into blocks. A classifier's costs of calling a block content or boilerplate become the capacities of its
-edges to the two terminals; neighbours in the page and near relatives in the DOM get edges that make it costly
-to part them. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
+edges to the two terminals; neighbours in the page get edges, and so do blocks and elements with the elements that hold them, so that it is
+costly to part what is close in the DOM. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
 
 The classifier is a logistic model over a block's text and its own tag, learned from blocks that markup gives away (within ``nav``,
-``footer``, ``article`` and the like) on a bounded sample of pages. In the cut such blocks get an extra capacity, which a contrary
-score and contrary neighbours together can outweigh.
+``footer``, ``article`` and the like) on a bounded sample of pages. Markup itself is one more capacity, smaller than the classifier's
+largest one: neither decides alone, and neighbours can overrule both.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices
 
@@ -45,18 +47,21 @@ RAW = set("script style textarea title noscript iframe template".split())
 IMPLIED = {
     **{t: ({"p"}, {"button", "td", "th", "caption", "table", "article", "section", "div", "main", "aside", "nav", "header", "footer", "form", "li", "blockquote", "figure", "dd", "body"}) for t in BLOCK},
     "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}),
-    "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 OUTSIDE = set("nav footer aside form dialog menu".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Names in class and id that tell boilerplate even around an article, and those that an article overrules.
+#: Words of class and id that tell boilerplate, also around an article, and those that an article overrules.
 FIRM = set("comment comments commenter discussion disqus respond reply replies ad ads adsense adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe popup modal".split())
 LOOSE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead banner notice alert share sharing social related recommended widget pagination pager toolbar login signup search legal copyright skip hidden".split())
-BESIDE = set("has no with without layout wrapper page site container main content article".split())
+#: Of these, heads of articles hold their titles.
+HEADS = set("header masthead banner".split())
+#: Words that may stand beside them in a name: parts of a page. Any other word makes the name a topic or a state.
+PARTS = set("area bar block bottom box button center col column container content form global group holder inner item items left link links list main module outer page panel post posts primary right row secondary section site slot text top unit wrap wrapper zone".split())
 #: Of the firm names, those of parts that hold articles of their own.
 TALK = set("comment comments commenter discussion disqus respond reply replies".split())
-#: Words of a class or id that make its other words a topic or a state of the page, not a name of the part.
-QUALIFIERS = set("category cat tag tags topic type format term has have no not non without with is open opened closed free enabled disabled allowed on off count".split())
+#: What may stand in a head; anything else ends it.
+HEAD = set("title base link meta style script noscript template head html".split())
 TAGS = ("p", "h1", "h2", "h3", "h4", "div", "blockquote", "pre")
 FEATURES = 14 + len(TAGS)
 
@@ -79,6 +84,42 @@ class Open:
     link: bool
 
 
+class Stack:
+    """The open elements, with the places of each tag, so that no lookup walks through them."""
+
+    def __init__(self):
+        self.open = [Open("", 0, False, False)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, e: Open) -> None:
+        n = len(self.open)
+        self.open.append(e)
+        self.at.setdefault(e.tag, []).append(n)
+        if e.tag in BLOCK:
+            self.blocks.append(n)
+
+    def cut(self, n: int) -> None:
+        while len(self.open) > n:
+            e = self.open.pop()
+            self.at[e.tag].pop()
+            if e.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def end_implied(self, ends: set[str], until: set[str]) -> None:
+        """Close what the opening of an element ends: the outermost of ``ends`` within the innermost of ``until``, and all in it."""
+        places = [p for t in ends if (p := self.at.get(t))]
+        if places:
+            limit = max((self.last(t) for t in until), default=0)
+            found = [p[bisect_right(p, limit)] for p in places if p[-1] > limit]
+            if found:
+                self.cut(min(found))
+
+
 @dataclass
 class Element:
     """What is known of an element once the page has been read."""
@@ -93,40 +134,46 @@ class Element:
     firm: bool = False
 
 
-def is_firm(names: list[list[str]]) -> bool:
-    """Whether a class or id begins or ends with a firm name and has no qualifier."""
-    return any((n[0] in FIRM or n[-1] in FIRM) and not QUALIFIERS.intersection(n) for n in names if n)
+def boilerplate_names(values: list[str]) -> set[str]:
+    """The boilerplate words of those classes and ids that consist of such words and names of parts of a page only."""
+    found: set[str] = set()
+    for v in values:
+        words = {x.lower() for x in NAMES.findall(v)}
+        if words and words <= FIRM | LOOSE | PARTS:
+            found |= words & (FIRM | LOOSE)
+    return found
 
 
 def _says(tag: str, attrs: str, up: Element, wraps: int) -> tuple[int, bool]:
     """What the element's markup says of its blocks, and whether that holds within an article. Neither a form nor a firm name
     says anything of an element that ``wraps`` the main text (2), or all articles (1; but comments may be articles).
     """
-    names, role, hidden = [], "", False
+    values, role, hidden = [], "", False
     for key, value in ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            names += [[x.lower() for x in NAMES.findall(v)] for v in value.split()]
+            values += value.split()
         elif key == "role":
             role = value.lower()
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    words = {x for n in names for x in n}
-    article = tag in ("article", "main") or role in ("article", "main")
-    firm = is_firm(names) and wraps < (2 if words & TALK else 1)
+    names = boilerplate_names(values)
+    main, article = tag == "main" or role == "main", tag in ("article", "main") or role in ("article", "main")
+    firm = bool(names & FIRM) and wraps < (2 if names & TALK else 1)
     if hidden or (tag in OUTSIDE or role in OUTSIDE_ROLES) and not (wraps and (tag == "form" or role == "form")):
         return -1, True
     if firm and not article and tag not in ("html", "body"):
         return -1, True
     if article:
-        if up.seed < 0 and up.firm and tag != "main" and role != "main":
+        if up.seed < 0 and up.firm and not main:
             return up.seed, True
-        return (0, False) if firm and tag != "main" and role != "main" else (1, False)
+        return (0, False) if firm and not main else (1, False)
     if up.seed < 0:
         return up.seed, up.firm
     if tag == "header" and up.seed <= 0:
         return -1, False
-    if words & LOOSE and not words & BESIDE and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "span", "b", "i", "em", "strong"):
+    loose = names & LOOSE - HEADS if up.seed > 0 else names & LOOSE
+    if loose and wraps < 2 and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "span", "b", "i", "em", "strong"):
         return -1, False
     return up.seed, up.firm
 
@@ -150,10 +197,10 @@ def _settle(elements: list[Element], blocks: list[Block]) -> None:
         b.seed = elements[b.parent].seed
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order, with character references decoded and white space folded."""
-    root = Open("", 0, False, False)
-    stack, out, part, linked = [root], [], [], 0
+def read_page(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's blocks of text in order, with character references decoded and white space folded, and its elements. Linear in the page's length."""
+    stack = Stack()
+    out, part, linked = [], [], 0
     elements = [Element("", "", 0)]
     at, low = 0, None
 
@@ -163,15 +210,17 @@ def blocks_of(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(part))).strip()
             part.clear()
             if text:
-                holder = next((e for e in reversed(stack) if e.tag in BLOCK), root)
-                out.append(Block(text, holder.tag, holder.number, len(stack), 0, min(linked, len(text))))
+                holder = stack.open[stack.blocks[-1]]
+                out.append(Block(text, holder.tag, holder.number, len(stack.open), 0, min(linked, len(text))))
         linked = 0
 
     while (m := TOKEN.match(page, at)) is not None:
         at = m.end()
         text = m["text"]
-        top = stack[-1]
         if text is not None:
+            if (head := stack.last("head")) and stack.open[-1].tag == "head" and not text.isspace():
+                stack.cut(head)
+            top = stack.open[-1]
             if not top.skipped:
                 part.append(text)
                 if top.link:
@@ -182,28 +231,24 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                if any(e.tag in BLOCK for e in stack[depth:]):
+            if depth := stack.last(tag):
+                if stack.blocks[-1] >= depth:
                     flush()
-                del stack[depth:]
+                stack.cut(depth)
             elif tag in BLOCK:
                 flush()
             continue
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
+        if tag not in HEAD and (head := stack.last("head")):
+            stack.cut(head)
         if tag in BLOCK or tag == "hr":
             flush()
-            ends, until = IMPLIED.get(tag, ((), ()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
+            stack.end_implied(*IMPLIED.get(tag, ((), ())))
         if tag == "br":
             part.append(" ")
         if tag in VOID or attrs and attrs.endswith("/") and tag not in BLOCK:
             continue
-        up = stack[-1]
+        up = stack.open[-1]
         elements.append(Element(tag, attrs, up.number, articles=tag == "article", mains=tag == "main"))
         if tag in RAW:
             if low is None:
@@ -211,10 +256,14 @@ def blocks_of(page: str) -> list[Block]:
             end = low.find(f"</{tag}", at) if len(low) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
             at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
             continue
-        stack.append(Open(tag, len(elements) - 1, up.skipped or tag in SKIPPED, up.link or tag == "a"))
+        stack.push(Open(tag, len(elements) - 1, up.skipped or tag in SKIPPED, up.link or tag == "a"))
     flush()
     _settle(elements, out)
-    return out
+    return out, elements
+
+
+def blocks_of(page: str) -> list[Block]:
+    return read_page(page)[0]
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
@@ -312,25 +361,37 @@ class Graph:
         return total
 
 
-def edges_of(blocks: list[Block], near: float, kin: float, scale: int) -> dict[tuple[int, int], int]:
-    """Neighbours (closer if of one parent), and the last earlier block of the same parent."""
+def edges_of(blocks: list[Block], elements: list[Element], near: float, kin: float, up: float, scale: int) -> tuple[int, dict[tuple[int, int], int]]:
+    """The number of nodes (blocks, then elements that hold several of these) and the edges: neighbours in the page (closer if of one
+    parent), blocks with the element that holds them, elements with the one around them.
+    """
     edges: dict[tuple[int, int], int] = {}
-    last: dict[int, int] = {}
+    inside: list[list[int]] = [[] for _ in elements]
     for i, b in enumerate(blocks):
         if i:
-            same = blocks[i - 1].parent == b.parent or abs(blocks[i - 1].parent - b.parent) == 1
-            edges[i - 1, i] = round(scale * near * (1.5 if same else 1))
-        if (j := last.get(b.parent)) is not None and j != i - 1:
-            edges[j, i] = round(scale * kin)
-        last[b.parent] = i
-    return edges
-
-
-def cut(gain: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
-    """Which blocks are content: the labelling of least cost, where ``gain`` (positive: for content) is lost by the other label and
+            edges[i - 1, i] = round(scale * near * (1.5 if abs(blocks[i - 1].parent - b.parent) <= 1 else 1))
+        inside[b.parent].append(i)
+    n = len(blocks)
+    for k in range(len(elements) - 1, -1, -1):
+        held = inside[k]
+        if not held:
+            continue
+        node = held[0]
+        if len(held) > 1:  # an element with one node is that node
+            node, n = n, n + 1
+            for i in held:
+                edges[i, node] = round(scale * (kin if i < len(blocks) else up))
+        if k:
+            inside[elements[k].up].append(node)
+    return n, edges
+
+
+def cut(gain: list[int], edges: dict[tuple[int, int], int], settle_above: int = 500) -> list[bool]:
+    """Which nodes are content: the labelling of least cost, where ``gain`` (positive: for content) is lost by the other label and
     an edge is lost if its ends differ; of equally cheap ones, that with least content.
 
-    A block whose gain outweighs all its edges is settled beforehand; its edges then add to its neighbours' gains.
+    Of more than ``settle_above`` nodes those whose gain outweighs all their edges are settled first, their edges adding to
+    their neighbours' gains. That leaves the same cut and a smaller graph.
     """
     n = len(gain)
     gain = list(gain)
@@ -339,7 +400,7 @@ def cut(gain: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
         mates[a][b] = mates[a].get(b, 0) + c
         mates[b][a] = mates[b].get(a, 0) + c
     label: list[bool | None] = [None] * n
-    queue = deque(range(n))
+    queue = deque(range(n) if n > settle_above else ())
     while queue:
         i = queue.popleft()
         if label[i] is None and abs(gain[i]) > sum(mates[i].values()):
@@ -355,7 +416,8 @@ def cut(gain: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
         g = Graph(len(rest) + 2)
         s, t = len(rest), len(rest) + 1
         for i in rest:
-            g.edge(s, at[i], max(0, gain[i])) if gain[i] > 0 else g.edge(at[i], t, -gain[i])
+            if gain[i]:
+                g.edge(s, at[i], gain[i]) if gain[i] > 0 else g.edge(at[i], t, -gain[i])
             for j, c in mates[i].items():
                 if i < j:
                     g.edge(at[i], at[j], c, c)
@@ -366,13 +428,19 @@ def cut(gain: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     return label  # type: ignore[return-value]
 
 
-def main_text(page: str, weights: np.ndarray, seed: float = 4.0, near: float = 0.8, kin: float = 0.4, scale: int = 1000) -> str:
-    blocks = blocks_of(page)
+def gains(blocks: list[Block], weights: np.ndarray, most: float = 3.0, markup: float = 2.0) -> np.ndarray:
+    """What each block gains by being content: the classifier's score, at most ``most`` either way, and what markup says."""
+    return np.clip(describe(blocks) @ weights, -most, most) + markup * np.array([b.seed for b in blocks])
+
+
+def main_text(page: str, weights: np.ndarray, near: float = 0.6, kin: float = 0.8, up: float = 0.3, scale: int = 1000) -> str:
+    blocks, elements = read_page(page)
     if not blocks:
         return ""
-    score = np.clip(describe(blocks) @ weights, -3, 3) + seed * np.array([b.seed for b in blocks])
-    label = cut([round(scale * s) for s in score.tolist()], edges_of(blocks, near, kin, scale))
-    return "\n".join(b.text for b, yes in zip(blocks, label, strict=True) if yes)
+    n, edges = edges_of(blocks, elements, near, kin, up, scale)
+    gain = [round(scale * g) for g in gains(blocks, weights).tolist()]
+    label = cut(gain + [0] * (n - len(gain)), edges)
+    return "\n".join(b.text for b, yes in zip(blocks, label, strict=False) if yes)
 
 
 def learn(df: DataFrame, html_col: str = "html", keys: Column | None = None, pages: int = 300, blocks: int = 200) -> np.ndarray:
@@ -400,10 +468,14 @@ def learn(df: DataFrame, html_col: str = "html", keys: Column | None = None, pag
 
 
 def extract(df: DataFrame, weights: np.ndarray, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """The columns of ``carry``, ``text`` (blocks in page order, one line each; '' if none) and ``n_chars``, one row per row; null pages count as empty."""
-    carry = carry or []
+    """The columns of ``carry``, ``text`` (blocks in page order, one line each; '' if none) and ``n_chars``, one row per row.
+
+    Null pages count as empty. Pages are read in a time linear in their length, however deeply they nest; repeated rows give equal results. A carried
+    column named ``text`` or ``n_chars`` is left out in favour of the result's. An empty table gives no rows.
+    """
+    carry = [c for c in carry or [] if c not in ("text", "n_chars")]
     rows = df.select(*carry, F.col(html_col).alias("__html"))
-    schema = rows.drop("__html").schema.add("text", "string").add("n_chars", "long")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "__html"]).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_slices(batches, "__html"):

@@ -2,9 +2,11 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import mincut
 from rollcall.llm.queries import op8_mincut_html
@@ -62,6 +64,7 @@ AROUND = "<nav><a href=1>Home</a></nav>%s<footer>Imprint</footer>"
     [
         '<article class="post comments-open">%s</article>', '<article class="hentry category-cookies">%s</article>', '<div class="post no-comments"><article>%s</article></div>', '<div class="ad-free"><article>%s</article></div>',
         '<form id="aspnetForm"><article>%s</article></form>', '<form>%s</form>', '<div class="promo"><article>%s</article></div>', '<div id="modal"><main>%s</main></div>', '<div class="sponsor">%s</div>',
+        '<article class="post ad-free">%s</article>', '<div class="post hentry comments-open">%s</div>', '<div class="share-price-news">%s</div>', '<article><section class="reply-letter">%s</section></article>',
     ],
 )
 def test_names_do_not_hide_the_main_text(page):
@@ -73,6 +76,63 @@ def test_names_do_not_hide_the_main_text(page):
         assert {b.text: b.seed for b in mincut.blocks_of(beside)}["Beside"] == -1
 
 
+def test_head_and_body_left_out():
+    page = "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><style>p{}</style><nav><a href=1>Home</a></nav><article>" + STORY + "</article><footer>Imprint</footer>"
+    got = mincut.main_text(page, mincut.START)
+    assert got.count("It goes on") == 3 and "Imprint" not in got and got.startswith("The title")
+    assert mincut.main_text("<head><title>T</title>" + STORY.replace("<h1>The title</h1>", "Words first, and quite a lot of them, so that they are content, too."), mincut.START).startswith("Words first")
+
+
+def stripped(page):
+    """The page without the tags, classes and ids that tell its parts."""
+    page = re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|section|ul|li)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r' (?:class|id|role)=("[^"]*"|\S+)', "", page)
+
+
+def test_classifier_and_flow_without_helpful_markup(spark):
+    """Learned on whole pages, applied to stripped ones: every block's label comes from the flow, and some of them against the block's own score."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = mincut.learn(df)
+    scores, flipped, seen, flowed = [], 0, 0, []
+    for r in df.collect():
+        page = stripped(r.html)
+        blocks, elements = mincut.read_page(page)
+        assert not any(b.seed for b in blocks)
+        n, edges = mincut.edges_of(blocks, elements, 0.6, 0.8, 0.3, 1000)
+        gain = mincut.gains(blocks, weights)
+        label = mincut.cut([round(1000 * g) for g in gain] + [0] * (n - len(blocks)), edges)[: len(blocks)]
+        flowed.append(n <= 500)
+        flipped += sum((g > 0) != y for g, y in zip(gain, label, strict=True))
+        seen += len(blocks)
+        got, want = set(mincut.main_text(page, weights).split("\n")), set(expected(r.html).split("\n"))
+        scores.append(2 * len(got & want) / (len(got) + len(want)))
+    print("F1", np.mean(scores), "labels against the own score", flipped, "of", seen, "pages wholly in the flow", np.mean(flowed))
+    assert np.mean(scores) >= 0.97 and flipped > 0 and np.mean(flowed) > 0.99
+
+
+def test_markup_is_one_capacity_among_others():
+    """What markup says is smaller than the classifier's largest score."""
+    page = "<nav>" + STORY + "</nav>" + "<article><a href=1>x</a></article>"
+    gain = dict(zip((b.text[:9] for b in mincut.blocks_of(page)), mincut.gains(mincut.blocks_of(page), mincut.START), strict=True))
+    assert gain["This is a"] > 0 > gain["x"]
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    assert mincut.main_text("<span>" * 20_000 + "<p>x" * 20_000, mincut.START) is not None
+    assert len(mincut.blocks_of("<div><p>word" * 20_000)) == 20_000 and len(mincut.blocks_of("</i>x<b>" * 20_000)) == 1
+    assert time.time() - began < 8
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_settling_first_changes_nothing(seed):
+    rng = random.Random(seed)
+    n = 60
+    gain = [rng.randint(-9, 9) for _ in range(n)]
+    edges = {(i, j): rng.randint(0, 5) for i in range(n) for j in (i + 1, i + 7) if j < n}
+    assert mincut.cut(gain, edges) == mincut.cut(gain, edges, settle_above=0)
+
+
 def test_comments_as_the_only_articles():
     page = AROUND % (f'<div class="story">{STORY}</div><section id="comments"><article><p>Beside</article></section>')
     assert {b.text: b.seed for b in mincut.blocks_of(page)}["Beside"] == -1 and "Beside" not in mincut.main_text(page, mincut.START)
@@ -105,6 +165,8 @@ def test_rows(spark):
     assert by[2].text == by[3].text == by[None].text == "" and by[2].n_chars == 0
     assert by[4].text.count("\n") == 19999
     assert mincut.extract(df.limit(0), mincut.learn(df.limit(0)), carry=["page_id"]).count() == 0
+    named = mincut.extract(df.withColumn("n_chars", F.lit("x")), mincut.START, carry=["text", "url", "n_chars", "page_id"])
+    assert named.columns == ["url", "page_id", "text", "n_chars"] and {r.text for r in named.filter("page_id = 1").collect()} == {by[1].text}
 
 
 def test_page_without_helpful_markup():
