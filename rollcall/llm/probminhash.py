@@ -1,18 +1,18 @@
 """Near-duplicates by ProbMinHash over weighted word shingles, banding and verification.
 
-Shingles are five lower-cased words (runs of letters and digits); a text of one to four words is one shingle. A shingle
+Shingles are five lower-cased words (runs of letters and digits; each ideograph or kana is a word); a text of one to four words is one shingle. A shingle
 that occurs ``n`` times weighs ``1 + ln(n)``. Each shingle sends arrivals of a Poisson process of that rate to random
 registers; a register keeps its first arrival, and a shingle stops when its next arrival comes later than all
 registers' first ones. Two texts share a register with the chance of their probability Jaccard similarity.
 A second signature gives all shingles the weight 1, so that the chance is the Jaccard similarity of the sets, which is verified.
 
 Texts that agree in a band of registers of either signature are candidates; those whose sets of shingles have a Jaccard similarity of at least ``threshold``
-are linked. Classes are the connected texts. Texts are told apart by a 64-bit hash of their words (without words: of the
+are linked. Classes are the connected texts. Texts are told apart by 128 bits of hash of their words (without words: of the
 text), so that copies are one node. Null and empty texts are in no class but their own.
 
 No bucket makes all its pairs: up to ``pairs_below`` texts in a bucket are compared with each other; larger buckets
 compare their texts with a few centres, round by round, until every text outside the bucket's main class has been a centre.
-That finds every class that all pairs would.
+That finds every class that all pairs would. A bucket's texts are dealt into parts of about ``part`` for that, each with all centres.
 """
 
 from __future__ import annotations
@@ -37,14 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(col: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count), sorted and distinct, and each text's hash (0 for empty texts)."""
+def shingles(col: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, count), sorted and distinct, and each text's two hashes (0 for empty texts)."""
     raw, off = utf8_parts(pc.utf8_lower(col))
     n = len(col)
-    names = np.zeros(n, np.uint64)
+    names, twins = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     none = np.zeros(0, np.int64)
     if not len(raw):
-        return none, none.astype(np.uint64), none, names
+        return none, none.astype(np.uint64), none, names, twins
     size = np.diff(off)
     doc = np.repeat(np.arange(n), size)
     place = (np.arange(len(raw)) - np.repeat(off[:-1], size)).astype(np.uint64)
@@ -54,16 +54,22 @@ def shingles(col: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     odd = np.flatnonzero(~has & (size > 0))
     for i in odd.tolist():
         part = slice(int(off[i]), int(off[i + 1]))
-        names[i] = mix(np.array([mix((raw[part].astype(np.uint64) + np.uint64(1)) * K1 + place[part] * K2).sum(dtype=np.uint64)]) + K3)[0]
+        bytes_ = mix((raw[part].astype(np.uint64) + np.uint64(1)) * K1 + place[part] * K2)
+        names[i], twins[i] = mix(np.array([bytes_.sum(), mix(bytes_ + K1).sum()], np.uint64) + np.array([K3, K2]))
     at = np.flatnonzero(solid)
     if not len(at):
-        return none, none.astype(np.uint64), none, names
+        return none, none.astype(np.uint64), none, names, twins
     first = np.ones(len(at), bool)
     first[1:] = (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
+    # Characters from U+3000 to U+9FFF (three bytes, the first one from E3 to E9) are words of their own.
+    alone = np.flatnonzero((raw[at] >= 0xE3) & (raw[at] <= 0xE9))
+    first[alone] = True
+    first[alone[alone + 3 < len(at)] + 3] = True
     begin = np.flatnonzero(first)
     inner = at - np.repeat(at[begin], np.diff(np.append(begin, len(at))))
     letters = mix((raw[at].astype(np.uint64) + np.uint64(1)) * K1 + inner.astype(np.uint64) * K2)
     word = mix(np.add.reduceat(letters, begin))
+    twin = mix(np.add.reduceat((letters ^ (letters >> np.uint64(29))) * K2, begin))
     own = doc[at[begin]]
     count = np.bincount(own, minlength=n)
     starts = np.cumsum(count) - count
@@ -72,6 +78,8 @@ def shingles(col: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     some = np.flatnonzero(count)
     total[some] = np.add.reduceat(mix(word + index * K3), starts[some])
     names[some] = np.maximum(mix(total[some] + count[some].astype(np.uint64)), np.uint64(1))
+    total[some] = np.add.reduceat(mix(twin * K1 + index * K2), starts[some])
+    twins[some] = mix(total[some] + count[some].astype(np.uint64))
     # A shingle at each word that has four more behind it in its text, or at the first word of a short text.
     whole = np.minimum(count, words)
     heads = np.flatnonzero((index.astype(np.int64) + whole[own]) <= count[own])
@@ -86,7 +94,7 @@ def shingles(col: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.
     new = np.ones(len(who), bool)
     new[1:] = (who[1:] != who[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
-    return who[at], value[at], np.diff(np.append(at, len(who))), names
+    return who[at], value[at], np.diff(np.append(at, len(who))), names, twins
 
 
 def signature(who: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -117,7 +125,7 @@ def signature(who: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """``id``, ``th`` (hash of the text), ``node``, ``n`` (distinct shingles) and ``keys`` (one per band of the unit and of the weighted signature, equal ones once) of every row."""
+    """``id``, ``th`` (hash of the text), ``h1`` and ``h2`` (hashes of its words), ``n`` (distinct shingles) and ``keys`` (one per band of the unit and of the weighted signature, equal ones once) of every row."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
     def keys_of(who: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -129,7 +137,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_slices(batches, "text", 2 << 20):
-            who, value, count, names = shingles(col)
+            who, value, count, names, twins = shingles(col)
             n = np.bincount(who, minlength=len(col))
             key = np.zeros((len(col), 2, bands), np.uint64)
             key[:, 0] = keys_of(who, value, np.ones(len(who)), len(col))
@@ -143,21 +151,21 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
             own[again, 1] = key[again, 1] != key[again, 0]
             offsets = np.concatenate([[0], np.cumsum(own.sum((1, 2)))]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[own].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(names.view(np.int64)), pa.array(n.astype(np.int32)), keys], names=["id", "th", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(names.view(np.int64)), pa.array(twins.view(np.int64)), pa.array(n.astype(np.int32)), keys], names=["id", "th", "h1", "h2", "n", "keys"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, node long, n int, keys array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, h1 long, h2 long, n int, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node`` and its shingles ``s``, from rows of ``text``."""
+    """``node`` and its shingles ``s``, from rows of ``node`` and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, col in text_slices(batches, "text", 2 << 20):
-            who, value, _, names = shingles(col)
+        for batch, col in text_slices(batches, "text", 2 << 20):
+            who, value, *_ = shingles(col)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(col)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))], names=["node", "s"])
 
-    return docs.select("text").mapInArrow(run, "node long, s array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,72 +195,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(similar("sa", "sb", threshold)).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_below: int = 16) -> DataFrame:
+def _by_centres(big: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float, part: int) -> DataFrame | None:
+    """Further links (a, b) between classes, of buckets with many texts (key, node, n, c, least); None if there are none. Every text has been compared with its
+    bucket's ``least`` one. Each round merges classes as it goes on, and only buckets with open texts stay.
+    """
+    first = big.join(comp, "node", "left").select("key", "node", "n", "c", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("least")).alias("used"))
+    state, found, turn = saved(first), None, 0
+    while True:
+        groups = state.groupBy("key", "comp").agg(F.count("*").alias("k"), F.count_if(~F.col("used")).alias("u"))
+        main = F.max_by(F.struct("comp", "u"), F.struct("k", "comp")).alias("main")
+        stat = groups.groupBy("key").agg(main, F.sum("u").alias("u")).select("key", F.col("main.comp").alias("main"), (F.col("u") - F.col("main.u")).alias("left"))
+        stat = saved(stat.filter("left > 0"))
+        if stat.isEmpty():
+            return found
+        share = F.greatest(F.lit(1), F.floor(F.col("left") / F.lit(4 * 8**turn)))
+        pick = (F.col("comp") != F.col("main")) & ~F.col("used") & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0)
+        parts = F.ceil(F.col("c") / F.lit(part)).cast("int")
+        state = saved(state.join(stat, "key").select("key", "node", "n", "c", "comp", "used", pick.alias("pick"), parts.alias("parts")))
+        # Compared within the join, so that it makes rows of true links only.
+        here = state.join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        centre = state.filter("pick").select("key", F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("comp").alias("cc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        there = centre.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("sc")), "centre")
+        alike = (F.col("comp") != F.col("cc")) & fits("n", "nc", threshold) & similar("s", "sc", threshold)
+        both = here.join(there, (here["key"] == there["key"]) & (here["part"] == there["part"]) & alike)
+        new = saved(both.select(F.least("comp", "cc").alias("a"), F.greatest("comp", "cc").alias("b")).distinct())
+        state = state.select("key", "node", "n", "c", "comp", (F.col("used") | F.col("pick")).alias("used"))
+        if not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            merged = components(new).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+            state = state.join(merged, "comp", "left").select("key", "node", "n", "c", F.coalesce("into", "comp").alias("comp"), "used")
+        state, turn = saved(state), turn + 1
+
+
+def fits(x: str, y: str, threshold: float):
+    """Sets whose sizes differ more can't be similar enough."""
+    return F.least(x, y) >= F.lit(threshold - 1e-12) * F.greatest(x, y)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6, pairs_below: int = 16, part: int = 256) -> DataFrame:
     """``id_col``, ``class_id`` (the least id of the class), ``class_size`` (rows), ``th`` (hash of the text) and ``class_key``; one row per row.
 
     With the default bands a pair whose sets have a similarity of 0.8 is missed with a chance of at most 0.00006, however often
     their shingles are repeated, as the unit signature alone finds it with that chance. Repeated rows and copies share a class.
-    Rows with null ids are kept; a class of such rows only has a null id. Other columns aren't carried.
+    Rows with null ids are kept; a class of such rows only has a null id. Other columns aren't carried, whatever their names. Very long
+    texts are read as a whole. An empty table gives no rows.
     """
     sig = saved(signatures(df, id_col, text_col, bands, rows))
-    # One row per node: nodes' least id tells a row whose text stands for all copies.
-    nodes = saved(sig.filter("node <> 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th")).alias("r"), F.first("n").alias("n")).select("node", "n", "r.id", "r.th"))
-    once = sig.join(nodes.select("node", "id", "th"), ["node", "th"]).filter(sig["id"].eqNullSafe(nodes["id"])).select("node", "n", "keys")
-    band = saved(once.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")))
-    size = band.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least")).filter("c > 1")
+    # One row per node, with a number that nothing else has: nodes' least id tells a row whose text stands for all copies.
+    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "th", "n", "keys")).alias("r")
+    nodes = sig.filter("h1 <> 0").groupBy("h1", "h2").agg(least, F.count("*").alias("rows"))
+    nodes = saved(nodes.select("h1", "h2", (F.monotonically_increasing_id() + 1).alias("node"), "rows", "r.id", "r.th", "r.n", "r.keys"))
+    band = nodes.select("node", "n", F.explode("keys").alias("key"))
+    # Written, so that both sides of the join are plain and a hot key is split.
+    size = saved(band.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least")).filter("c > 1"))
     members = saved(band.join(size, "key").select("key", "node", "n", "c", "least"))
 
-    def fits(x: str, y: str):
-        """Sets whose sizes differ more can't be similar enough."""
-        return (F.least(x, y) >= F.lit(threshold - 1e-12) * F.greatest(x, y))
-
     few = members.filter(F.col("c") <= pairs_below).select("key", "node", "n")
-    pairs = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(few.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key").filter((F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b")
+    pairs = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(few.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key").filter((F.col("a") < F.col("b")) & fits("na", "nb", threshold)).select("a", "b")
     many = members.filter(F.col("c") > pairs_below)
     size_of = nodes.select(F.col("node").alias("least"), F.col("n").alias("nl"))
-    star = many.filter("node <> least").select("least", "node", "n").distinct().join(size_of, "least").filter(fits("n", "nl")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    star = many.filter("node <> least").select("least", "node", "n").distinct().join(size_of, "least").filter(fits("n", "nl", threshold)).select(F.col("least").alias("a"), F.col("node").alias("b"))
     pairs = saved(pairs.unionByName(star).distinct())
 
     # Shingles of all texts that may still be compared.
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select(F.col("id").alias("want"), F.col("th").alias("wth"))
+    wanted = nodes.select("node", F.col("id").alias("want"), F.col("th").alias("wth")).join(wanted, "node", "left_semi")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = docs.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("want")), "left_semi")
+    texts = docs.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("want")))
     sets = saved(shingle_sets(texts).dropDuplicates(["node"]))
 
     links = saved(_verified(pairs, sets, threshold))
     comp = components(links)
-    big = many.select("key", "node", "n")
-    if not big.isEmpty():
-        used = size.filter(F.col("c") > pairs_below).select("key", F.col("least").alias("node"))
-        turn = 0
-        while True:
-            label = big.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-            groups = label.groupBy("key", "comp").agg(F.count("*").alias("k"))
-            main = groups.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
-            label = saved(label.join(main, "key"))
-            left = label.filter("comp <> main").join(used, ["key", "node"], "left_anti")
-            count = left.groupBy("key").agg(F.count("*").alias("left"))
-            share = F.greatest(F.lit(1), F.floor(F.col("left") / F.lit(4 * 8**turn)))
-            centre = saved(left.join(count, "key").filter((F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0) | (share <= 1)).select("key", F.col("node").alias("centre"), F.col("n").alias("nc"), F.col("comp").alias("cc")))
-            if centre.isEmpty() and left.isEmpty():
-                break
-            # Compared within the join, so that it makes rows of true links only.
-            here = label.join(sets, "node")
-            there = centre.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("sc")), "centre")
-            alike = (F.col("comp") != F.col("cc")) & fits("n", "nc") & similar("s", "sc", threshold)
-            found = here.join(there, (here["key"] == there["key"]) & alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-            links = saved(links.unionByName(found))
-            used = saved(used.unionByName(centre.select("key", F.col("centre").alias("node"))))
-            comp = components(links)
-            turn += 1
-
-    ids = nodes.join(comp, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
-    copies = sig.filter("node <> 0").groupBy("node").agg(F.count("*").alias("rows"))
-    classes = ids.join(copies, "node").groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = ids.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_size", F.col("comp").alias("class_key"))
-    empty = sig.filter("node = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th", F.lit(0).cast("long").alias("class_key"))
-    return sig.filter("node <> 0").join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "th", "class_key").unionByName(empty)
+    more = None if many.isEmpty() else _by_centres(many, comp, sets, threshold, part)
+    if more is not None:
+        comp = components(links.unionByName(more))
+
+    ids = nodes.join(comp, "node", "left").select("h1", "h2", "id", "rows", F.coalesce("comp", "node").alias("comp"))
+    classes = saved(ids.groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size")))
+    named = saved(ids.select("h1", "h2", "comp").join(classes, "comp").select("h1", "h2", "class_id", "class_size", F.col("comp").alias("class_key")))
+    empty = sig.filter("h1 = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "th", F.lit(0).cast("long").alias("class_key"))
+    return sig.filter("h1 <> 0").select("id", "th", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "class_size", "th", "class_key").unionByName(empty)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -62,13 +62,19 @@ def classes(got):
 
 
 def test_shingles():
-    who, value, count, names = pmh.shingles(pa.array(["A b, c-d e f", "", "one Two", "...", "a b c d e a b c d e a b c d e", "one  two!", "two one"]))
+    who, value, count, names, twins = pmh.shingles(pa.array(["A b, c-d e f", "", "one Two", "...", "a b c d e a b c d e a b c d e", "one  two!", "two one"]))
     assert np.bincount(who, minlength=7).tolist() == [2, 0, 1, 0, 5, 1, 1]
     assert count[who == 4].tolist().count(3) == 1 and count[who == 4].sum() == 11
     assert names[1] == 0 and names[3] != 0 and names[2] == names[5] != names[6]
+    assert twins[1] == 0 and twins[3] != 0 and twins[2] == twins[5] != twins[6] and not set(names[[0, 2, 3, 4, 6]].tolist()) & set(twins.tolist())
     assert value[who == 2].tolist() == value[who == 5].tolist() != value[who == 6].tolist()
 
 
+def test_ideographs_are_words():
+    who, _, count, names, _ = pmh.shingles(pa.array(["我们今天去公园玩。", "ab我 们cd", "ab 我们 cd", "ab 我 们 cd", "ありがとう ございます"]))
+    assert np.bincount(who, count, 5).tolist() == [5, 1, 1, 1, 6] and names[1] == names[2] == names[3]
+
+
 def test_estimate_of_weighted_similarity():
     rng = np.random.default_rng(3)
     n, m = 300, 6000
@@ -107,7 +113,7 @@ def test_classes_equal_all_pairs(spark, pairs_below):
     rng.shuffle(rows)
     rows = [(i, t) for i, t in enumerate(rows)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int").repartition(7)
-    got = pmh.near_duplicates(df, pairs_below=pairs_below).collect()
+    got = pmh.near_duplicates(df, pairs_below=pairs_below, part=7).collect()
     assert len(got) == len(rows)
     want = brute(rows)
     assert classes((r.doc_id, r.class_id) for r in got) == want
