@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ from .common import text_slices
 
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 PRECISION = 12
+RUN = 1024  # frames that are written or read at once: so many hold about 2 million samples
 
 
 def _crc_table(poly: int, width: int, bits: int) -> np.ndarray:
@@ -217,8 +219,10 @@ def encode_many(payloads: list[bytes], block: int = 2048, lpc_order: int = 8, ra
                 h = bytes([0xFF, 0xF8, 0x64, 0x02]) + _utf8_number(n) + bytes([size - 1])
                 frames[p][n] = h + bytes([crc8(h), 2]) + b.tobytes()
         else:
-            for (p, n, _), f in zip(items, _frames(np.stack([b for _, _, b in items]), [n for _, n, _ in items], lpc_order), strict=True):
-                frames[p][n] = f
+            for i in range(0, len(items), RUN):
+                part = items[i : i + RUN]
+                for (p, n, _), f in zip(part, _frames(np.stack([b for _, _, b in part]), [n for _, n, _ in part], lpc_order), strict=True):
+                    frames[p][n] = f
     every = [f for fs in frames for f in fs]
     data = np.frombuffer(b"".join(every), np.uint8)
     ends = np.cumsum([len(f) for f in every]) if every else np.zeros(0, np.int64)
@@ -518,12 +522,13 @@ def decode_many(media: list[bytes]) -> list[Stream]:
     # Frames to read: all that the seek table names, and after the last of these one by one.
     todo = []
     for i, s in enumerate(streams):
-        if s.error is None and s.total:
+        if s.error is None and (s.total or s.first < len(s.data)):
             at = sorted({o for _, o in s.seek} | {0})
             todo += [(i, s.first + a, (s.first + b) if b is not None else None) for a, b in zip(at, [*at[1:], None], strict=True)]
+    todo = deque(todo)
     while todo:
-        heads, subs, more = [], [], []
-        for i, at, end in todo:
+        heads, subs = [], []
+        for i, at, end in [todo.popleft() for _ in range(min(RUN, len(todo)))]:
             s = streams[i]
             if s.error is not None:
                 continue
@@ -563,7 +568,7 @@ def decode_many(media: list[bytes]) -> list[Stream]:
             waiting = [h for h in waiting if streams[h["i"]].error is None]
         heads = [h for h in heads if streams[h["i"]].error is None]
         if not heads:
-            break
+            continue
         ends = np.array([(h["bit"] + 7) // 8 for h in heads])
         of = np.array([h["i"] for h in heads])
         inside = np.array([e + 2 <= len(streams[h["i"]].data) for h, e in zip(heads, ends.tolist(), strict=True)])
@@ -581,13 +586,13 @@ def decode_many(media: list[bytes]) -> list[Stream]:
             elif h["ch"] == 10:
                 mid = pcm[0] << 1 | pcm[1] & 1
                 pcm = [(mid + pcm[1]) >> 1, (mid - pcm[1]) >> 1]
-            s.blocks.append((h["offset"], np.stack(pcm, 1)))
-            if h["offset"] + h["size"] < s.total and (h["next"] is None or h["next"] > e + 2):
-                more.append((h["i"], e + 2, h["next"]))
-        todo = more
+            s.blocks.append((h["offset"], np.stack(pcm, 1).astype(np.int8 if s.bps <= 8 else np.int16 if s.bps <= 16 else np.int32)))
+            # A total of 0 is an unknown one: then frames go on to the end of the stream.
+            if (h["offset"] + h["size"] < s.total or not s.total and e + 2 < len(s.data)) and (h["next"] is None or h["next"] > e + 2):
+                todo.append((h["i"], e + 2, h["next"]))
     for s in streams:
         s.blocks.sort(key=lambda x: x[0])
-        if s.error is None and sum(len(b) for _, b in s.blocks) != s.total:
+        if s.error is None and s.total and sum(len(b) for _, b in s.blocks) != s.total:
             s.error = "samples are missing"
         if s.error is None and s.md5 != bytes(16) and hashlib.md5(pcm_bytes(s)).digest() != s.md5:
             s.error = "MD5 of the samples"
@@ -609,7 +614,12 @@ def payload(text: bytes, unit: int = 64) -> bytes:
 
 
 def to_flac(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_bytes`` (of the text in UTF-8) and ``media``, one row per row. Null texts count as empty."""
+    """``id_col``, ``n_bytes`` (of the text in UTF-8) and ``media``, one row per row.
+
+    Null texts count as empty, and empty ones become 64 bytes 0. Texts are stored whole, however long; frames are made in runs of ``RUN``, so that memory
+    grows with the text's bytes only. Repeated rows give equal rows, null ids are kept; other columns aren't carried, whatever their
+    names. An empty table gives no rows.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -661,14 +671,22 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def feature(x: np.ndarray) -> str:
-    """Loudness, sign changes, peak and spread of 8-bit samples."""
-    f = x.astype(np.float64)
-    turns = int((np.signbit(f[1:]) != np.signbit(f[:-1])).sum())
-    return f"rms={np.sqrt(np.mean(f * f)):.4f};zcr={turns / max(1, len(f) - 1):.6f};peak={int(np.abs(f).max(initial=0))};std={f.std():.4f}"
+    """Loudness, sign changes, peak and spread of 8-bit samples; summed in whole numbers, a part at a time."""
+    n, total, square, peak = max(1, len(x)), 0, 0, 0
+    for i in range(0, len(x), 1 << 20):
+        part = x[i : i + (1 << 20)].astype(np.int64)
+        total, square, peak = total + int(part.sum()), square + int((part * part).sum()), max(peak, int(np.abs(part).max()))
+    turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"rms={(square / n) ** 0.5:.4f};zcr={turns / max(1, len(x) - 1):.6f};peak={peak};std={max(0.0, square / n - (total / n) ** 2) ** 0.5:.4f}"
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of rows of :func:`to_flac`: what the stored bytes give when they are read back, see README. ``error`` tells streams that fail."""
+    """Of rows of :func:`to_flac`: what the stored bytes give when they are read back: ``payload_bytes`` and ``payload_sha256``, ``tail_crc32`` (of the last 64
+    bytes), ``media_bytes`` and ``media_sha256`` (the stored form), and ``feature``; one row per row, equal ones for equal texts.
+
+    ``error`` is null, or tells why a stream can't be read or fails a check sum; then the other results are null. Null ids are kept; other columns aren't
+    carried, whatever their names. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, media, streams in _decoded(batches, "media"):
@@ -677,7 +695,7 @@ def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 if m is None or s.error is not None:
                     out.append((None, None, None, None if m is None else len(m), None, None, "no media" if m is None else s.error))
                     continue
-                x = np.concatenate([b for _, b in s.blocks])[:, 0].astype(np.int8)
+                x = np.concatenate([b for _, b in s.blocks])[:, 0].astype(np.int8, copy=False)
                 data = (x.view(np.uint8) ^ 0x80).tobytes()
                 out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), None))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())

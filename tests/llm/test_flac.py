@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import flac
 from rollcall.llm.queries import op1_flac_media
@@ -34,6 +35,41 @@ def test_without_seek_table():
         assert s.error is None and samples(s) == p and not s.seek
 
 
+def test_unknown_total():
+    """A stream whose header names no number of samples is read to its end, with and without a seek table."""
+    for m, p in zip(flac.encode_many(PAYLOADS), PAYLOADS, strict=True):
+        x = int.from_bytes(m[18:26], "big")
+        open_ = m[:18] + (x >> 36 << 36).to_bytes(8, "big") + m[26:]
+        n = int.from_bytes(m[43:46], "big")
+        bare = open_[:4] + b"\x80" + open_[5:42] + open_[46 + n :]
+        for data in (open_, bare, bare[:26] + bytes(16) + bare[42:]):
+            (s,) = flac.decode_many([data])
+            assert s.error is None and s.total == 0 and samples(s) == p
+        assert flac.decode_many([bare[:-3]])[0].error
+
+
+def test_long_text_in_bounded_memory():
+    """Beyond the stream itself, memory is a few times the text's bytes."""
+    import tracemalloc
+
+    text = b"".join(b"line %d of a long text\n" % i for i in range(300_000))
+    tracemalloc.start()
+    (media,) = flac.encode_many([flac.payload(text)])
+    (s,) = flac.decode_many([media])
+    assert s.error is None and samples(s) == flac.payload(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(len(text), peak)
+    assert peak < 12 * len(text) + (400 << 20)
+
+
+def test_feature():
+    x = rng.integers(-128, 128, 5000).astype(np.int8)
+    f = x.astype(float)
+    turns = (np.signbit(f[1:]) != np.signbit(f[:-1])).sum()
+    assert flac.feature(x) == f"rms={np.sqrt(np.mean(f * f)):.4f};zcr={turns / 4999:.6f};peak=128;std={f.std():.4f}"
+
+
 def test_damage_is_told():
     (m,) = flac.encode_many([b"hello world " * 500])
     for at in (len(m) - 1, len(m) - 400, len(m) // 2, 100, 2):
@@ -142,6 +178,8 @@ def test_rows(spark):
         p = flac.payload(t)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id == 3}) == 1
+    named = df.withColumns({"id": F.lit(1), "n_bytes": F.lit("x"), "error": F.lit("y")})
+    assert flac.media_digest(flac.to_flac(named)).count() == len(rows)
     assert flac.to_flac(df.limit(0)).count() == 0 and flac.media_digest(flac.to_flac(df.limit(0))).count() == 0
 
 
