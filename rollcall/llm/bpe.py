@@ -250,7 +250,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     Texts above ``chunk_chars`` are cut into chunks that any task may take; each is encoded as a tree, and the
     chunks' ids meet again by text. Null texts count as empty and give no ids. Rows with a null id are
-    kept. Repeated rows give as many rows. Other columns are not carried, so that none can clash.
+    kept. Repeated rows give as many rows. Other columns are not carried, so that none can clash. An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -270,18 +270,18 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int"))
     chunks = (
         long.select("id", "h", F.posexplode(F.transform(parts, lambda k: F.substring("text", k * chunk_chars + 1, F.lit(chunk_chars)))).alias("part", "text"))
-        .repartition("h", "part")
-        .mapInArrow(whole, f"id {kind}, h string, part int, ids binary")
+        .groupBy("id", "h", "part")  # deals the chunks; repeated rows are encoded once
+        .agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+        .mapInArrow(whole, f"id {kind}, h string, part int, copies long, ids binary")
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         e = encoder(path)
-        one = pdf.drop_duplicates("part").sort_values("part")
-        ids = e.tree([np.frombuffer(x, e.dtype) for x in one["ids"]]).tobytes()
-        copies = int((pdf["part"] == 0).sum())
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]] * copies, "ids": [ids] * copies})
+        one = pdf.sort_values("part")
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "copies": [int(pdf["copies"].iloc[0])], "ids": [e.tree([np.frombuffer(x, e.dtype) for x in one["ids"]]).tobytes()]})
 
-    met = chunks.groupBy("id", "h").applyInPandas(meet, f"id {kind}, ids binary")
+    met = chunks.groupBy("id", "h").applyInPandas(meet, f"id {kind}, copies long, ids binary")
+    met = met.select("id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("id", "ids")
     return short.unionByName(met).withColumnRenamed("id", id_col)
 
 
@@ -304,18 +304,28 @@ def digests(df: DataFrame, id_col: str = "doc_id", tokenizer: str | None = None)
     return df.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 0) -> DataFrame:
-    """``id`` and ``ids`` (binary) of every row, with ``end_id`` behind each text; for packing. Null texts count as empty."""
+def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 0, size: int = 1024) -> DataFrame:
+    """Every row's ids, with ``end_id`` behind each text, in pieces of at most ``size``: ``id``, ``start`` (ids before the piece), ``total`` (ids of
+    the row) and ``ids`` (binary); for packing. Null texts count as empty.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
+        wide = e.dtype.itemsize
         tail = b"" if end_id is None else np.array([end_id], e.dtype).tobytes()
         for batch, col in text_slices(batches, "text", 2 << 20):
             ids, at = e.many(col)
-            raw, at = ids.tobytes(), (at * e.dtype.itemsize).tolist()
-            rows = [raw[a:b] + tail for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "ids"])
+            raw, at = ids.tobytes(), (at * wide).tolist()
+            owner, start, total, pieces = [], [], [], []
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                row = raw[a:b] + tail
+                for s in range(0, max(len(row), 1), size * wide):
+                    owner.append(k)
+                    start.append(s // wide)
+                    total.append(len(row) // wide)
+                    pieces.append(row[s : s + size * wide])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(pieces, pa.binary())], names=["id", "start", "total", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids binary")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, start long, total long, ids binary")

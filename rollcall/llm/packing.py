@@ -1,9 +1,9 @@
 """Packing of token ids into sequences of a fixed length.
 
 ``first_fit_decreasing`` keeps a tournament tree of bin capacities, ``best_fit_decreasing`` a segment tree
-over the capacities themselves. Both work on their own within randomised groups of documents:
-a document's group is a hash, so that groups are alike whatever the order of the table, and
-no group grows with the table (``docs_per_group`` is their mean size).
+over the capacities themselves. Documents are cut into pieces of at most a sequence before they are shuffled; pieces are dealt
+at random into groups, by a hash of a running number, so that equal rows are spread like all others. A group holds about ``docs_per_group``
+pieces, hence at most about so many sequences, whatever the table's size and the documents' lengths; each is packed on its own.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from .bpe import default_tokenizer, id_type, token_rows
 from .common import give_back
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, tokenizer: str, docs_per_group: int, end_id: int | None):
-    groups = max(1, -(-df.count() // docs_per_group))
-    rows = token_rows(df, id_col, text_col, tokenizer, end_id)
-    return rows.withColumn("g", F.pmod(F.xxhash64("id", F.crc32("ids"), F.lit(17)), F.lit(groups)))
+def _grouped(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int, docs_per_group: int, end_id: int | None) -> DataFrame:
+    """``id``, ``start``, ``total`` (the document's ids) and ``ids`` of every piece, and its group ``g``."""
+    least = F.coalesce(F.sum(F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / F.lit(4 * size))), F.lit(0)).alias("n")
+    groups = max(1, -(-df.agg(least).first().n // docs_per_group))  # about four bytes an id
+    rows = token_rows(df, id_col, text_col, tokenizer, end_id, size)
+    return rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), F.lit(groups)))
 
 
 class Tournament:
@@ -96,10 +98,9 @@ class Capacities:
 
 
 def _pieces(lengths: list[int], size: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Full sequences and the rest of each document, as (document, start, length); longest rest first."""
-    full = [[(d, s, size)] for d, n in enumerate(lengths) for s in range(0, n - size + 1, size)]
-    rest = [(d, n - n % size, n % size) for d, n in enumerate(lengths) if n % size]
-    return full, sorted(rest, key=lambda x: (-x[2], x[0]))
+    """Full sequences and the other pieces, as (piece, start, length); longest first."""
+    full = [[(d, 0, n)] for d, n in enumerate(lengths) if n == size]
+    return full, sorted(((d, 0, n) for d, n in enumerate(lengths) if 0 < n < size), key=lambda x: (-x[2], x[0]))
 
 
 def fill(bins: list[list[tuple[int, int, int]]], size: int) -> list[list[tuple[int, int, int]]]:
@@ -143,15 +144,16 @@ def fill(bins: list[list[tuple[int, int, int]]], size: int) -> list[list[tuple[i
 
 
 def first_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = 1024, docs_per_group: int = 2048, end_id: int = 0, close_gaps: bool = True) -> DataFrame:
-    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset. With ``close_gaps`` documents that first-fit
+    kept whole may be cut in the end, to fill the gaps that it leaves (:func:`fill`).
 
     Each document's ids end with ``end_id``, so that null and empty texts make one piece of one id. Documents
-    above ``size`` are cut into full sequences and a rest; rests are packed by first-fit decreasing.
-    With ``close_gaps`` the gaps are then filled by cuts (:func:`fill`). Repeated rows are packed as
-    often as they occur; other columns aren't carried. An empty table gives no rows.
+    above ``size``, however long, are cut into full sequences and a rest; rests are packed by first-fit decreasing, equally long ones in
+    any order. Repeated rows are packed as often as they occur, null ids are kept; other columns aren't carried, whatever their names.
+    An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
-    rows, dtype = _grouped(df, id_col, text_col, path, docs_per_group, end_id), id_type(path)
+    rows, dtype = _grouped(df, id_col, text_col, path, size, docs_per_group, end_id), id_type(path)
 
     def pack(table: pa.Table) -> pa.Table:
         give_back()
@@ -166,19 +168,20 @@ def first_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str =
         if close_gaps:
             bins = fill(bins, size)
         base = table.column("g")[0].as_py() << 32
+        begins, totals = table.column("start").to_pylist(), table.column("total").to_pylist()
         at, start, length, crc, seq, offset = [], [], [], [], [], []
         for k, b in enumerate(bins):
             o = 0
             for d, s, n in b:
                 at.append(d)
-                start.append(s)
+                start.append(begins[d] + s)
                 length.append(n)
                 crc.append(zlib.crc32(ids[d][s : s + n]))
                 seq.append(base + k)
                 offset.append(o)
                 o += n
         long = lambda x: pa.array(x, pa.int64())
-        return pa.table([table.column("id").take(pa.array(at, pa.int64())), long(start), long(length), long(crc), long([lengths[d] for d in at]), long(seq), long(offset)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return pa.table([table.column("id").take(pa.array(at, pa.int64())), long(start), long(length), long(crc), long([totals[d] for d in at]), long(seq), long(offset)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = dict(rows.dtypes)["id"]
     return rows.groupBy("g").applyInArrow(pack, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -190,11 +193,13 @@ def best_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     (cumulative segment lengths from 0), ``position_resets`` (where positions start again from 0),
     ``doc_ids`` and ``doc_starts`` (each segment's document and its place in that document's ids).
 
-    Documents above ``size`` are cut into full sequences and a rest, so that the segments of a document
-    in order of ``doc_starts`` are exactly its ids. Null texts count as empty and make a segment of one ``end_id``.
+    Documents above ``size``, however long, are cut into full sequences and a rest, so that the segments of a document
+    in order of ``doc_starts`` are exactly its ids. Null texts count as empty and make a segment of one ``end_id``. Repeated rows are packed as often
+    as they occur, null ids are kept, equally long rests come in any order; other columns aren't carried, whatever their names. An empty table
+    gives no rows.
     """
     path = tokenizer or default_tokenizer()
-    rows, dtype = _grouped(df, id_col, text_col, path, docs_per_group, end_id), id_type(path)
+    rows, dtype = _grouped(df, id_col, text_col, path, size, docs_per_group, end_id), id_type(path)
 
     def pack(table: pa.Table) -> pa.Table:
         give_back()
@@ -204,7 +209,7 @@ def best_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         for x in rest:
             opened.setdefault(tree.take(x[2]), []).append(x)
         bins += opened.values()
-        base, names = table.column("g")[0].as_py() << 32, table.column("id")
+        base, names, begins = table.column("g")[0].as_py() << 32, table.column("id"), table.column("start").to_pylist()
         matrix = np.full((len(bins), size), pad_id, dtype)
         ends, resets, docs, starts = [], [], [], []
         for k, b in enumerate(bins):
@@ -215,7 +220,7 @@ def best_fit_decreasing(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             ends.append(cu)
             resets.append(cu[:-1])
             docs.append([names[d].as_py() for d, _, _ in b])
-            starts.append([s for _, s, _ in b])
+            starts.append([begins[d] + s for d, s, _ in b])
         return pa.table(
             [pa.array([base + k for k in range(len(bins))], pa.int64()), pa.array([x[-1] for x in ends], pa.int32()), pa.array([x.tobytes() for x in matrix], pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array(docs, pa.list_(names.type)), pa.array(starts, pa.list_(pa.int64()))],
             names=["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_resets", "doc_ids", "doc_starts"],

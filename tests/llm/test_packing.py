@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import bpe, packing
 from rollcall.llm.queries import op3_best_fit_packing, op5_first_fit_packing
@@ -82,6 +83,20 @@ def test_ffd_rows(spark):
     assert packing.first_fit_decreasing(df.limit(0)).count() == 0
 
 
+def test_equal_rows_and_long_texts_are_spread(spark):
+    """Groups hold a bounded number of pieces: thousands of equal rows, and a text of many sequences, go to many groups."""
+    long = " ".join(f"word{i % 997}" for i in range(60_000))
+    df = spark.createDataFrame([(1, "the same row")] * 5000 + [(2, long)], "doc_id long, text string").withColumns({"g": F.lit(1), "total": F.lit(2), "ids": F.lit(3)})
+    for pack, size in ((packing.first_fit_decreasing, 1024), (packing.best_fit_decreasing, 64)):
+        rows = packing._grouped(df, "doc_id", "text", bpe.default_tokenizer(), size, 256, 0).groupBy("id", "g").count().collect()
+        assert max(r["count"] for r in rows) <= 512 and len({r.g for r in rows if r.id == 1}) > 10
+        got = pack(df, docs_per_group=256).collect()
+        if pack is packing.first_fit_decreasing:
+            check_ffd(got, [(r.doc_id, r.text) for r in df.collect()])
+        else:
+            check_bfd(got, [(r.doc_id, r.text) for r in df.collect()], 2048)
+
+
 def test_ffd_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     check_ffd(op5_first_fit_packing(spark, sf_dir).collect(), docs)
