@@ -5,8 +5,8 @@ normalised (lower case, white space folded) and hashed; equal hashes join quoted
 same conversation that says them itself, as a whole or line by line. A message replies to the message that
 most of its outermost quotation comes from, else to the one before it.
 
-DataFrame functions only. No step gathers a conversation: the message before is found within spans of turns and
-then across spans, and depths by doubling pointers, so that a conversation may hold any share of the rows.
+DataFrame functions only. No step gathers a conversation: order comes from numbers over the whole table, sorted by range, so that a
+conversation, a turn or the replies to one message may hold any share of the rows; depths come from doubling pointers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SPAN = 256
 PREFIX = r"^[ \t]*((?:>[ \t]?)+)"
 
 
@@ -28,7 +27,20 @@ def messages_of(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """Distinct messages (conv, turn, role, text), how often each occurs, and an id ``mid``; null texts count as empty."""
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = rows.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    return once.withColumn("mid", F.xxhash64("conv", F.col("conv").isNull(), "turn", F.col("turn").isNull(), "role", F.col("role").isNull(), "text"))
+    return once.withColumn("mid", F.md5(F.to_json(F.struct("conv", "turn", "role", "text"))))
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """With ``at``: each row's place in that order over the whole table, from 0. Rows are dealt by ranges of the order; only the
+    partitions' sizes are summed in one place.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    dealt = saved(dealt.withColumn("part", F.shiftright(place, 33).cast("int")).withColumn("at", place.bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before_ = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before_.alias("before"))  # one row a partition
+    return dealt.join(F.broadcast(starts), "part").withColumn("at", F.col("at") + F.col("before")).drop("part", "before")
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -73,11 +85,10 @@ def linked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def before(messages: DataFrame) -> DataFrame:
     """mid and ``prev``: the message before it in its conversation, by turn and then mid; rows without conversation or turn have none."""
-    rows = messages.filter("conv is not null and turn is not null").select("conv", "turn", "mid").withColumn("span", F.floor(F.col("turn") / SPAN))
-    inner = F.lag("mid").over(Window.partitionBy("conv", "span").orderBy("turn", "mid"))
-    ends = rows.groupBy("conv", "span").agg(F.max(F.struct("turn", "mid")).alias("last"))
-    ends = ends.select("conv", "span", F.lag("last.mid").over(Window.partitionBy("conv").orderBy("span")).alias("outer"))
-    return rows.withColumn("inner", inner).join(ends, ["conv", "span"]).select("mid", F.coalesce("inner", "outer").alias("prev"))
+    rows = messages.filter("conv is not null and turn is not null").select("conv", "turn", "mid")
+    placed = saved(numbered(rows, "conv", "turn", "mid"))
+    earlier = placed.select((F.col("at") + 1).alias("at"), F.col("conv").alias("own"), F.col("mid").alias("prev"))
+    return placed.join(earlier, "at", "left").select("mid", F.when(F.col("own") == F.col("conv"), F.col("prev")).alias("prev"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -100,8 +111,9 @@ def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     """One row per distinct message: the four columns (``text`` without quotations), ``copies``, ``link`` ('quote', 'previous' or
     'root'), ``parent_turn``, ``root_turn``, ``depth`` and ``reply_order`` (from 0 in each conversation: by thread, then depth, then turn).
 
-    Rows without a conversation or turn stand alone: link 'root', no ``root_turn`` and no ``reply_order``. Null texts become empty.
-    Repeated rows count as ``copies``; of messages with the same turn the one with the smaller hash comes first.
+    Rows without a conversation or turn stand alone: link 'root', no ``root_turn`` and no ``reply_order``. Null texts become empty; texts may be of any
+    length. Repeated rows count as ``copies``; of messages with the same turn the one with the smaller hash (128 bits of all its columns) comes first.
+    Other columns aren't carried, whatever their names. An empty table gives no rows.
     """
     messages = saved(messages_of(df, conv_col, turn_col, role_col, text_col))
     bodies, origins = linked(messages)
@@ -117,14 +129,10 @@ def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     rows = parents.join(tree, "mid").join(turns, "mid")
     rows = rows.join(turns.select(F.col("mid").alias("parent"), F.col("turn").alias("parent_turn")), "parent", "left")
     rows = saved(rows.join(turns.select(F.col("mid").alias("root"), F.col("turn").alias("root_turn")), "root"))
-    # Order within spans of depths, then the spans' offsets.
-    placed = rows.filter("conv is not null and turn is not null").withColumn("span", F.floor(F.col("depth") / SPAN))
-    key = ["conv", "root_turn", "root", "span"]
-    inner = F.row_number().over(Window.partitionBy(*key).orderBy("depth", "turn", "mid")) - 1
-    offsets = placed.groupBy(*key).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("conv").orderBy("root_turn", "root", "span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n", "root_turn")
-    order = placed.withColumn("inner", inner).join(offsets, ["conv", "root", "span"]).select("mid", (F.col("offset") + F.col("inner")).alias("reply_order"))
+    placed = rows.filter("conv is not null and turn is not null").select("conv", "root_turn", "root", "depth", "turn", "mid")
+    placed = saved(numbered(placed, "conv", "root_turn", "root", "depth", "turn", "mid"))
+    starts = saved(placed.groupBy("conv").agg(F.min("at").alias("start")))
+    order = placed.join(starts, "conv").select("mid", (F.col("at") - F.col("start")).alias("reply_order"))
     out = messages.select("mid", "conv", "turn", "role", "copies").join(bodies, "mid", "left").join(rows.select("mid", "link", "parent_turn", "root_turn", "depth"), "mid").join(order, "mid", "left")
     return out.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.coalesce("body", F.lit("")).alias(text_col), "copies", "link", "parent_turn",
@@ -134,6 +142,7 @@ def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
 
 def quoted(df: DataFrame, levels: int = 2) -> DataFrame:
     """Mail made of a conversation table: every message quotes the turn before it, and that one's quotation of the turn before that."""
+    df = df.select("conv_id", "turn", "role", "text")
     said = df.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("said"))
     out = df.withColumn("mail", F.coalesce("text", F.lit("")))
     for level in range(1, levels + 1):

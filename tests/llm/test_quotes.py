@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from rollcall.llm import quotes
 from rollcall.llm.queries import ORACLE_SQL, op2_quote_links
@@ -51,6 +52,22 @@ def test_long_conversation(spark):
     assert [r.parent_turn for r in got] == [None, *range(0, 1298, 2)]
 
 
+def test_many_replies_and_far_turns(spark):
+    """Thousands of answers to one message, turns like timestamps, and equal turns: nothing is gathered by conversation, and the order is whole."""
+    rows = [(1, 1_700_000_000_000, "a", "the question of all")] + [(1, 1_700_000_000_000 + 1000 * (t // 2), "b", f"> the question of all\nanswer {t}") for t in range(2, 3000)]
+    df = rows_of(spark, rows).withColumns({"said": F.lit(1), "mid": F.lit(2), "conv": F.lit(3), "at": F.lit(4)}).repartition(9)
+    got = sorted(quotes.conversations(df).collect(), key=lambda r: r.reply_order)
+    assert [r.reply_order for r in got] == list(range(len(rows))) and {r.depth for r in got[1:]} == {1} and {r.link for r in got[1:]} == {"quote"}
+    assert [r.turn for r in got] == sorted(r.turn for r in got)
+    assert quotes.quoted(df).columns == ["conv_id", "turn", "role", "text"] and quotes.quoted(df).count() == len(rows)
+
+
+def test_numbers(spark):
+    rows = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(7))).repartition(6)
+    got = sorted((r.at, r.x, r.id) for r in quotes.numbered(rows, "x", "id").collect())
+    assert [g[0] for g in got] == list(range(1000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
 def test_query(spark, sf_dir):
     db = duckdb.connect()
     db.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
