@@ -2,7 +2,7 @@
 
 Emissions come from affixes, character n-grams and lexicons, transitions are learned, and forward-backward gives
 each word's language, also where a text changes between languages. A text's language is the one with the
-most letters in it, where letters at its start count ``lead`` times those at its end: of a text that changes half way, the first.
+most letters in it.
 
 The model is learned from a bounded sample of labelled rows (``per_lang`` rows a language, chosen by a hash of the
 row); their words are spliced into code-switched sequences, so that transitions can be learned.
@@ -11,7 +11,6 @@ row); their words are spliced into code-switched sequences, so that transitions
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices, utf8_parts
 
 BITS = 18
-LONGEST = 48  # bytes; longer runs of letters count as several words
 LETTER = re.compile(r"[^\W\d_]")
 MARK = 2
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
@@ -40,15 +39,6 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     cut[1:] = letter[1:] != letter[:-1]
     cut[off[:-1][off[:-1] < len(raw)]] = True
     starts = np.flatnonzero(cut)
-    long = np.flatnonzero((np.diff(np.append(starts, len(raw))) > LONGEST) & letter[starts])
-    if len(long):
-        for i in long.tolist():
-            a, b = int(starts[i]), int(starts[i + 1]) if i + 1 < len(starts) else len(raw)
-            for p in range(a + LONGEST, b, LONGEST):
-                while (raw[p] & 0xC0) == 0x80:
-                    p -= 1
-                cut[p] = True
-        starts = np.flatnonzero(cut)
     keep = np.flatnonzero(letter[starts])
     bounds = np.append(starts, len(raw)).astype(np.int64)
     pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))).take(pa.array(keep)).dictionary_encode()
@@ -94,7 +84,8 @@ def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     langs: list[str]
     weights: np.ndarray  # buckets x languages
-    lexicon: dict[str, int]  # bits: the languages whose lexicon has the word
+    lexicon: dict[str, int]  # the word's row in ``known``
+    known: np.ndarray  # words x languages: whose lexicons have the word
     lex_weights: np.ndarray  # languages x languages
     bias: np.ndarray
     transitions: np.ndarray  # log scores, from x to
@@ -108,8 +99,10 @@ class Model:
         return out + self.members(words) @ self.lex_weights
 
     def members(self, words: list[str]) -> np.ndarray:
-        bits = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
-        return (bits[:, None] >> np.arange(len(self.langs)) & 1).astype(np.float64)
+        at = np.fromiter((self.lexicon.get(w, -1) for w in words), np.int64, len(words))
+        out = np.zeros((len(words), len(self.langs)))
+        out[at >= 0] = self.known[at[at >= 0]]
+        return out
 
 
 def marginals(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -192,11 +185,11 @@ def train(texts: list[str], labels: list[str], steps: int = 20, rate: float = 0.
     label = np.repeat([langs.index(x) for x in labels], np.diff(off)) if len(texts) else np.zeros(0, np.int64)
     # Lexicons: words that are frequent in a language, and at least as frequent there as elsewhere.
     seen = np.bincount(at * max(k, 1) + label, minlength=len(words) * k).reshape(len(words), k) if k else np.zeros((0, 0))
-    lexicon: Counter = Counter()
+    known = np.zeros(seen.shape, bool)
     for j in range(k):
-        for i in np.argsort(-seen[:, j], kind="stable")[:2000].tolist():
-            if seen[i, j] >= 3 and seen[i, j] * 2 >= seen[i].sum():
-                lexicon[words[i]] |= 1 << j
+        top = np.argsort(-seen[:, j], kind="stable")[:2000]
+        known[top, j] = (seen[top, j] >= 3) & (seen[top, j] * 2 >= seen[top].sum(1))
+    listed = np.flatnonzero(known.any(1))
     # Code-switched sequences: stretches of 3 to 60 words, dealt anew.
     rng = np.random.default_rng(seed)
     cuts = np.concatenate([[0], np.cumsum(rng.integers(3, 61, size=max(1, len(at) // 20)))])
@@ -208,7 +201,7 @@ def train(texts: list[str], labels: list[str], steps: int = 20, rate: float = 0.
     pick = np.concatenate([np.arange(cuts[i], ends[i]) for i in order]) if len(cuts) else np.zeros(0, np.int64)
     w, y = at[pick], label[pick]
     starts = np.arange(0, len(w), 200)
-    model = Model(langs, np.zeros((1 << BITS, k)), dict(lexicon), np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
+    model = Model(langs, np.zeros((1 << BITS, k)), {words[i]: n for n, i in enumerate(listed.tolist())}, known[listed], np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
     owner, bucket = features_of(words)
     member = model.members(words)
     true = np.zeros((len(words), k))
@@ -237,8 +230,8 @@ def train(texts: list[str], labels: list[str], steps: int = 20, rate: float = 0.
 class Labeller:
     """Scores texts; remembers emissions of words seen often (``kept`` at most)."""
 
-    def __init__(self, model: Model, kept: int = 300_000, lead: float = 3.0):
-        self.model, self.kept, self.lead, self.cache = model, kept, lead, {}
+    def __init__(self, model: Model, kept: int = 300_000):
+        self.model, self.kept, self.cache = model, kept, {}
         self.table = np.zeros((0, len(model.langs)))
 
     def emissions(self, words: list[str], often: np.ndarray) -> np.ndarray:
@@ -264,8 +257,6 @@ class Labeller:
         emit = self.emissions(words, np.bincount(at, minlength=len(words)))[at]
         p, _ = marginals(emit, off[:-1][np.diff(off) > 0], self.model.transitions)
         size = np.fromiter(map(len, words), np.float64, len(words))[at]
-        have = np.diff(off)
-        size *= self.lead - (self.lead - 1) * (np.arange(len(at)) - np.repeat(off[:-1], have)) / np.repeat(np.maximum(have, 1), have)
         total = np.zeros((len(col) + 1, k))
         have = np.flatnonzero(np.diff(off) > 0)
         total[have] = np.add.reduceat(p * size[:, None], off[have], axis=0)
@@ -289,16 +280,17 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keys: C
     return train([r.t for r in sample], [r.l for r in sample])
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``id_col``, the columns of ``carry``, ``lang_pred`` and ``score``, one row per row.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``id_col``, the columns of ``carry``, and the two of ``names``: the language and its share of the letters (0 to 1), one row per row.
 
-    ``und`` with score 0 for null texts and texts without a letter.
+    ``und`` with score 0 for null texts and texts without a letter; of languages with equal shares the first by name. Texts are read whole, however
+    long. Repeated rows give equal results, null ids are kept. A carried column that has one of the ``names`` is left out. An empty table gives no rows.
     """
-    carry = [id_col, *(carry or [])]
+    carry = [c for c in dict.fromkeys([id_col, *(carry or [])]) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)
     text = text_col if text_col in carry else "__text"
     rows = df.select(*carry, *([] if text_col in carry else [F.col(text_col).alias(text)]))
-    schema = rows.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([f for f in rows.schema.fields if f.name in carry]).add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(shared.value)
@@ -310,6 +302,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 known = bool(s) and sum(s) > 0 and LETTER.search(t) is not None
                 lang.append(lab.model.langs[b] if known else "und")
                 score.append(min(1.0, s[b]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, *names])
 
     return rows.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices, utf8_parts
 
@@ -212,18 +213,22 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return train(xp, xu, float(np.mean(found)))
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
-    """``id_col``, the columns of ``carry``, ``score`` and ``predicted`` (1 from ``threshold`` on), one row per row; null texts count as empty."""
-    carry = [id_col, *(carry or [])]
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``id_col``, the columns of ``carry``, and the two of ``names``: a score from 0 to 1, and 1 where it is ``threshold`` or more, else 0; one row per row.
+
+    Null texts count as empty, which have a score, too. Texts are read whole, however long. Repeated rows give equal results, null ids are kept. A carried column
+    that has one of the ``names`` is left out. An empty table gives no rows.
+    """
+    carry = [c for c in dict.fromkeys([id_col, *(carry or [])]) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)
     text = text_col if text_col in carry else "__text"
     rows = df.select(*carry, *([] if text_col in carry else [F.col(text_col).alias(text)]))
-    schema = rows.select(*carry).schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([f for f in rows.schema.fields if f.name in carry]).add(names[0], "double").add(names[1], "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_slices(batches, text, 1 << 20):
             for i in range(0, len(col), 2000):
                 score = shared.value.score(features(col.slice(i, 2000)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 2000) for j in range(len(carry))), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 2000) for j in range(len(carry))), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*carry, *names])
 
     return rows.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import langcrf
 from rollcall.llm.queries import op6_crf_language
@@ -77,9 +78,33 @@ def test_rows(spark, model):
     got = sorted(langcrf.predict(df, model).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.doc_id, r.lang_pred) for r in got] == [(None, "de"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (5, "de")]
     assert all(0 <= r.score <= 1 for r in got) and got[1].score == 0
+    clash = langcrf.predict(df.withColumn("lang_pred", F.lit(1)), model, carry=["score", "text", "lang_pred"])
+    assert clash.columns == ["doc_id", "text", "lang_pred", "score"] and {r.lang_pred for r in clash.collect()} == {"en", "de", "und"}
+    kept = langcrf.predict(df, model, carry=["score"], names=("l", "s"))
+    assert kept.columns == ["doc_id", "score", "l", "s"] and {r.score for r in kept.collect()} == {"a", None}
     assert langcrf.predict(df.limit(0), model).count() == 0
 
 
+def test_many_languages_ties_and_order():
+    """Over 63 languages; a text without any hint has the first by name; halves weigh the same at either end of a text."""
+    names = [f"l{i:02d}" for i in range(70)]
+    texts = [" ".join(f"{chr(0x400 + i)}{chr(0x420 + i)}wort{i}x{j % 5}" for j in range(40)) for i in range(70)]
+    model = langcrf.train(texts, names, steps=12)
+    share, *_ = langcrf.Labeller(model).shares(pa.array(texts))
+    assert [model.langs[i] for i in share.argmax(1)] == names
+    two = langcrf.train([EN * 3, DE * 3], ["en", "de"])
+    share, *_ = langcrf.Labeller(two).shares(pa.array([EN + " " + DE, DE + " " + EN]))
+    assert abs(share[0] - share[1]).max() < 0.05
+    flat = langcrf.Model(["a", "b"], np.zeros((1 << langcrf.BITS, 2)), {}, np.zeros((0, 2), bool), np.zeros((2, 2)), np.zeros(2), np.zeros((2, 2)))
+    share, *_ = langcrf.Labeller(flat).shares(pa.array(["same words"]))
+    assert share[0, 0] == share[0, 1] and share.argmax(1)[0] == 0
+
+
+def test_long_runs_of_letters(model):
+    share, _, words, at = langcrf.Labeller(model).shares(pa.array(["x" * 300_000 + " " + DE, "语言" * 5000]))
+    assert len(words[at[0]]) == 300_000 and share.shape == (2, 2)
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     assert langcrf.predict(df, langcrf.learn(df)).collect()[0].lang_pred == "und"

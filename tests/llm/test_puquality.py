@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import puquality as pu
 from rollcall.llm.queries import op7_pu_quality
@@ -54,6 +55,10 @@ def test_rows(spark):
     for r in got:
         by.setdefault(r.doc_id, set()).add(r.score)
     assert by[1] == by[2] and len(by[3]) == 1
+    clash = pu.predict(df.withColumn("predicted", F.lit("p")), pu.learn(df, labels), carry=["score", "text", "predicted"])
+    assert clash.columns == ["doc_id", "text", "score", "predicted"] and sorted(r.score for r in clash.collect()) == sorted(r.score for r in got)
+    kept = pu.predict(df, pu.learn(df, labels), carry=["score"], names=("q", "p"))
+    assert kept.columns == ["doc_id", "score", "q", "p"] and {r.score for r in kept.collect()} == {5.0, None}
     assert pu.predict(df.limit(0), pu.learn(df.limit(0), labels.limit(0))).count() == 0
 
 
