@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import bpe, flac, langcrf, mih, mincut, packing, probminhash, puquality, quotes
+from . import bpe, flac, langcrf, mih, mincut, packing, pipeline, probminhash, puquality, quotes
 from .common import bounded_batches, fold
 
 
@@ -18,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_digest(flac.to_flac(_table(spark, sf_dir, "documents"))).drop("error")
+    return flac.media_digest(flac.to_flac(_table(spark, sf_dir, "documents")))
 
 
 def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mincut_html": op8_mincut_html,
     "op9_mih_neighbours": op9_mih_neighbours,
     "op10_probminhash_near_dedup": op10_probminhash_near_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quote_links": quotes.SQL}
