@@ -1,54 +1,5 @@
-"""From raw documents to packed sequences: language, quality, near-duplicates, packing.
+"""The pipeline over documents: STAGES in order, run(spark, sf_dir), and ORACLE_SQL; see rollcall/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder
-and reads it again for the next one.
-"""
+from rollcall.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rollcall.llm import langcrf, packing, probminhash, puquality
-from rollcall.llm.common import bounded_batches, fold, saved
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go: null texts, texts without a letter, and those of which no language has half."""
-    bounded_batches(spark)
-    model = langcrf.learn(docs.filter(fold(F.col("doc_id"), 3) != 1), keys=F.col("doc_id"))
-    found = langcrf.predict(docs, model, carry=[c for c in docs.columns if c != "doc_id"])
-    return found.filter("lang_pred <> 'und' AND score >= 0.4").select(docs.columns)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts predicted to be of low quality go."""
-    labels = bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    model = puquality.learn(docs, labels, usable=fold(F.col("doc_id"), 4) != 2)
-    found = puquality.predict(docs, model, carry=[c for c in docs.columns if c != "doc_id"])
-    return found.filter("predicted = 1").select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of copies and near-copies stays, the one with the least id."""
-    bounded_batches(spark)
-    return probminhash.deduplicated(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
-    bounded_batches(spark)
-    return packing.first_fit_decreasing(docs)
-
-
-STAGES = [("language_id", language), ("quality_classifier", quality), ("near_dedup", near_dedup), ("packing", pack)]
-
-#: SQL can't express the learned stages; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
