@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import col, similar, similarity, trim, words
 
@@ -60,13 +57,9 @@ def split_name(c: Column | str) -> Column:
 
 def to_latin(c: Column | str) -> Column:
     """Cyrillic letters in Latin script, upper case as a capital; other characters stay."""
-    out = F.coalesce(col(c), F.lit(""))
-    single = {a: b for a, b in LATIN.items() if len(b) == 1}
-    for a, b in LATIN.items():
-        if len(b) > 1:
-            out = F.replace(F.replace(out, F.lit(a), F.lit(b)), F.lit(a.upper()), F.lit(_title(b)))
-    keys, values = "".join(single), "".join(single.values())
-    return F.translate(out, keys + keys.upper(), values + values.upper())
+    table = {**LATIN, **{a.upper(): _title(b) for a, b in LATIN.items() if a.upper() != a}}
+    letters = F.map_from_arrays(F.split(F.lit(",".join(table)), ","), F.split(F.lit(",".join(table.values())), ","))  # folded into one constant
+    return F.array_join(F.transform(F.split(F.coalesce(col(c), F.lit("")), ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
 
 
 def to_cyrillic(c: Column | str) -> Column:
@@ -82,8 +75,8 @@ def to_cyrillic(c: Column | str) -> Column:
     return out
 
 
-def latin_variants(c: Column | str, limit: int = 10) -> Column:
-    """N6 of the text, and of the text with one letter spelled otherwise; the first ``limit`` distinct ones."""
+def latin_variants(c: Column | str, limit: int | None = 10) -> Column:
+    """N6 of the text, and of the text with one letter spelled otherwise; the first ``limit`` distinct ones (a rule of the matching), or all with None."""
     x = col(c)
     table = F.create_map(*[v for k, alts in SPELLINGS.items() for v in (F.lit(k), F.array(*map(F.lit, alts)))])
     size = F.length(x)
@@ -91,7 +84,8 @@ def latin_variants(c: Column | str, limit: int = 10) -> Column:
     at = lambda i: F.coalesce(F.try_element_at(table, F.lower(F.substring(x, i, F.lit(1)))), F.array().cast("array<string>"))
     each = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(at(i), lambda a: F.concat(to_latin(F.substring(x, F.lit(1), i - 1)), a, to_latin(F.substring(x, i + 1, size)))))
     variants = F.concat(F.array(to_latin(x)), F.when(size > 0, F.flatten(each)).otherwise(F.array().cast("array<string>")))
-    return F.when(size > 0, F.slice(F.array_distinct(variants), 1, limit)).otherwise(F.array().cast("array<string>"))
+    distinct = F.array_distinct(variants)
+    return F.when(size > 0, distinct if limit is None else F.slice(distinct, 1, limit)).otherwise(F.array().cast("array<string>"))
 
 
 def has_cyrillic(c: Column | str) -> Column:
@@ -168,20 +162,32 @@ def starts_with_prefix(c: Column | str, prefix: Column | str) -> Column:
     return F.coalesce((F.length(x) > 0) & (F.length(y) > 0) & F.startswith(x, y), F.lit(False))
 
 
-def _lcs(a: str, b: str) -> int:
-    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(y) + 1, np.int64)
-    for ch in x:
-        grown = np.maximum(row[1:], np.where(y == ch, row[:-1] + 1, 0))
-        row[1:] = np.maximum.accumulate(grown)
-    return int(row[-1])
+def lcs_length(a: Column | str, b: Column | str) -> Column:
+    """Length of the longest common subsequence.
+
+    Row by row of the usual table: up to 60 characters on the shorter side its differences are the bits of a number, so that a character of the longer side
+    is one step; beyond that rows are arrays.
+    """
+    a, b = col(a), col(b)
+    x, y = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    m, zero = F.length(y), F.lit(0).cast("long")
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
+    # Where each character stands on the shorter side, as bits.
+    mask = lambda c: F.aggregate(F.sequence(F.lit(1), m), zero, lambda acc, i: F.when(F.substring(y, i, F.lit(1)) == c, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))).otherwise(acc))
+
+    def step(v: Column, c: Column) -> Column:
+        both = v.bitwiseAND(mask(c))
+        return (v + both).bitwiseOR(v - both).bitwiseAND(full)
+
+    short = m - F.bit_count(F.aggregate(chars(x), full, step))
 
+    def row(acc: Column, c: Column) -> Column:
+        grow = lambda r, i: F.concat(r, F.array(F.greatest(F.element_at(r, -1), F.get(acc, i), F.get(acc, i - 1) + F.when(F.substring(y, i, F.lit(1)) == c, 1).otherwise(0))))
+        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), grow)
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence; Spark has none built in."""
-    return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    long = F.element_at(F.aggregate(chars(x), F.array_repeat(F.lit(0), m + 1), row), -1)
+    return F.when(m == 0, 0).when(m <= 60, short).otherwise(long).cast("int")
 
 
 def order_similarity(a: Column | str, b: Column | str) -> Column:
@@ -195,24 +201,28 @@ def order_ratio(common: Column, x: Column, y: Column) -> Column:
     return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).when(x == y, 1.0).otherwise((common / n) * (m / n))
 
 
-def breakpoint_quality(glued: Column | str, surname: Column | str, firstname: Column | str) -> Column:
-    """How well a glued name is a surname and a firstname run together: a struct of ``quality`` and ``type``.
-
-    The longest suffix of each part that occurs in the glued name gives its place; letters only.
-    """
+def place_in(glued: Column | str, part: Column | str) -> tuple[Column, Column]:
+    """Where (from 1) the longest suffix of a part that occurs in the glued name begins, else null, and the part's length; of letters only."""
     letters = lambda c: F.regexp_replace(F.lower(col(c)), "[^a-zа-яіїєґ]", "")
-    g, s, f = letters(glued), letters(surname), letters(firstname)
+    g, p = letters(glued), letters(part)
+    found = F.filter(F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.instr(g, F.substring(p, i, F.length(p)))), lambda at: at > 0)
+    return F.when(F.length(p) > 0, F.get(found, F.lit(0))), F.length(p)
 
-    def place(part: Column) -> Column:
-        found = F.filter(F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: F.instr(g, F.substring(part, i, F.length(part)))), lambda p: p > 0)
-        return F.when(F.length(part) > 0, F.get(found, F.lit(0)))
 
-    ps, pf = place(s), place(f)
+def in_order(ps: Column, ns: Column, pf: Column, nf: Column) -> Column:
+    """A struct of ``quality`` and ``type`` from where surname and firstname begin, and how long they are."""
     both = ps.isNotNull() & pf.isNotNull()
-    q = (
-        F.when(both & (ps < pf) & (ps + F.length(s) <= pf), F.struct(F.lit(0.85).alias("quality"), F.lit("standard").alias("type")))
-        .when(both & (pf < ps) & (pf + F.length(f) <= ps), F.struct(F.lit(0.80).alias("quality"), F.lit("reversed").alias("type")))
+    return (
+        F.when(both & (ps < pf) & (ps + ns <= pf), F.struct(F.lit(0.85).alias("quality"), F.lit("standard").alias("type")))
+        .when(both & (pf < ps) & (pf + nf <= ps), F.struct(F.lit(0.80).alias("quality"), F.lit("reversed").alias("type")))
         .when(ps.isNotNull() | pf.isNotNull(), F.struct(F.lit(0.70).alias("quality"), F.lit("partial").alias("type")))
         .otherwise(F.struct(F.lit(0.0).alias("quality"), F.lit("none").alias("type")))
     )
-    return q
+
+
+def breakpoint_quality(glued: Column | str, surname: Column | str, firstname: Column | str) -> Column:
+    """How well a glued name is a surname and a firstname run together: a struct of ``quality`` and ``type``.
+
+    The longest suffix of each part that occurs in the glued name gives its place; letters only.
+    """
+    return in_order(*place_in(glued, surname), *place_in(glued, firstname))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import ONE_WORD, breakpoint_quality, is_variant_of, lcs_length, order_ratio, possible_forms, standard_form, to_cyrillic
+from ..functions.names import ONE_WORD, in_order, is_variant_of, lcs_length, order_ratio, place_in, possible_forms, standard_form, to_cyrillic
 from ..functions.text import similarity, words
 from ..storage import settle
 from .roster import name_index
@@ -23,30 +23,45 @@ def _people(roster: DataFrame) -> DataFrame:
     return name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"), F.lower("full_name").alias("db_lower"), parts.alias("parts"), F.get(parts, F.lit(1)).alias("first"))
 
 
+def _within(forms: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+    """Where each distinct part of a roster's names begins in each form: ``at`` (of its longest suffix that occurs, letters only), its length
+    ``n``, and whether it occurs as it is (``whole``).
+    """
+    at, size = place_in(F.col("form"), F.col(part))
+    found = forms.join(parts, "roster_id").select("roster_id", "form", part, at.alias(f"at_{part}"), size.alias(f"n_{part}"), F.contains("form", F.col(part)).alias(f"whole_{part}"))
+    return found.filter(F.col(f"at_{part}").isNotNull() | F.col(f"whole_{part}"))
+
+
 def split_glued(keys: DataFrame, roster: DataFrame, min_suffix: int = 1) -> DataFrame:
     """(k, pos, id, db_name, q, combined) of names without spaces (from 6 letters) that a surname and firstname run together make; best row of each id, keys have (roster_id, k, name).
 
-    Suffixes of one letter count, so that no key narrows the pairs of a roster. ``min_suffix`` above 1 asks that as many last
-    letters of the surname occur in the name, and loses only weaker pairs.
+    Distinct forms are compared with distinct surnames and firstnames of their roster. Suffixes of one letter count, so that no key narrows these
+    pairs. ``min_suffix`` above 1 asks that as many last letters of the surname occur in the name, and loses only weaker pairs.
     """
     lower = F.lower("name")
     forms = F.when(F.col("name").rlike(LATIN), F.array_distinct(F.array(F.lower(to_cyrillic("name")), lower))).otherwise(F.array(lower))
     names = keys.filter(~F.contains("name", F.lit(" ")) & (F.length("name") >= 6)).select("roster_id", "k", F.posexplode(forms).alias("f", "form"))
     people = _people(roster).filter(F.size("parts") >= 2).select("roster_id", "pos", "id", "db_name", F.get("parts", F.lit(0)).alias("surname"), F.array_join(F.slice("parts", 2, 1000), " ").alias("firstname"))
-    pairs = names.join(people, "roster_id")
+    every = settle(names.select("roster_id", "form").distinct())
+    surnames = _within(every, people.select("roster_id", "surname").distinct(), "surname")
     if min_suffix > 1:
-        pairs = pairs.filter(F.contains("form", F.substring(F.col("surname"), -min_suffix, min_suffix)))
-    inside = F.contains("form", F.col("surname")) & F.contains("form", F.col("firstname"))
+        surnames = surnames.filter(F.contains("form", F.substring(F.col("surname"), -min_suffix, min_suffix)))
+    firstnames = _within(every, people.select("roster_id", "firstname").distinct(), "firstname")
+    pairs = surnames.join(people, ["roster_id", "surname"]).join(firstnames, ["roster_id", "form", "firstname"])
+    inside = F.col("whole_surname") & F.col("whole_firstname")
+    broken = in_order(F.col("at_surname"), F.col("n_surname"), F.col("at_firstname"), F.col("n_firstname"))
     glue = lambda *p: F.regexp_replace(F.concat(*p), r"[\p{IsWhite_Space}]+", "")
-    ahead, behind = similarity("form", glue("surname", "firstname")), similarity("form", glue("firstname", "surname"))
-    broken = breakpoint_quality("form", "surname", "firstname")
+    ahead = F.when(inside, similarity("form", glue("surname", "firstname")))
+    behind = F.when(inside, similarity("form", glue("firstname", "surname")))
+    pairs = pairs.filter(inside | (broken["quality"] > 0.7)).withColumns({"ahead": ahead, "behind": behind, "broken": broken})
+    rows = names.join(pairs, ["roster_id", "form"])
     item = lambda q, order, kind: F.struct(q.alias("q"), (-order).alias("o"), kind.alias("combined"))
     options = F.array(
-        F.when(inside & (ahead > 0.8), item(ahead, F.col("f") * 3, F.lit("standard"))),
-        F.when(inside & (behind > 0.8), item(behind, F.col("f") * 3 + 1, F.lit("reversed"))),
-        F.when(broken["quality"] > 0.7, item(broken["quality"], F.col("f") * 3 + 2, broken["type"])),
+        F.when(F.col("ahead") > 0.8, item(F.col("ahead"), F.col("f") * 3, F.lit("standard"))),
+        F.when(F.col("behind") > 0.8, item(F.col("behind"), F.col("f") * 3 + 1, F.lit("reversed"))),
+        F.when(F.col("broken.quality") > 0.7, item(F.col("broken.quality"), F.col("f") * 3 + 2, F.col("broken.type"))),
     )
-    found = pairs.withColumn("best", F.array_max(options)).filter("best is not null")
+    found = rows.withColumn("best", F.array_max(options)).filter("best is not null")
     rows = found.groupBy("k", "pos", "id", "db_name").agg(F.max("best").alias("best")).select("k", "pos", "id", "db_name", F.col("best.q").alias("q"), "best.combined")
     w = Window.partitionBy("k", "id").orderBy(F.desc("q"), "pos")
     return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
@@ -76,17 +91,18 @@ def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str
     first = names.join(firsts.withColumnRenamed("first", "v"), ["roster_id", "v"]).select("k", F.lit(3).alias("phase"), F.struct(F.lit(0.0), F.col("pos").cast("long")).alias("o"), "id", "db_name", F.lit(95).alias("quality"), F.lit("firstname-exact").alias("part"))
     first = first.join(full.select("k", "db_name"), ["k", "db_name"], "left_anti").select(first.columns)
     exact = settle(a.unionByName(full).unionByName(first))
-    # Variants and similar words, only for names without any of these.
-    rest = names.join(exact.select("k").distinct(), "k", "left_anti")
+    # Variants and similar words, only for names without any of these; distinct words are compared.
+    rest = settle(names.join(exact.select("k").distinct(), "k", "left_anti"))
     part = people.select("roster_id", "pos", "id", "db_name", F.posexplode("parts").alias("at", "p"))
     short, long = F.least(F.length("v"), F.length("p")), F.greatest(F.length("v"), F.length("p"))
     near = (short >= 3) & (short * short > 0.85 * long * long) & ((F.substring("v", 1, 1) == F.substring("p", 1, 1)) | (short < 4))
-    variant = is_variant_of("v", "p", variants)
-    pairs = rest.join(part, "roster_id").withColumn("variant", variant).withColumn("near", near).filter("variant or near")
+    words_ = rest.select("roster_id", "v").distinct().join(part.select("roster_id", "p").distinct(), "roster_id")
+    words_ = words_.withColumn("variant", is_variant_of("v", "p", variants)).filter(F.col("variant") | near)
+    words_ = words_.withColumn("s", F.when(~F.col("variant"), order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p")))).filter("variant or s > 0.85")
+    pairs = rest.join(words_, ["roster_id", "v"]).join(part, ["roster_id", "p"])
     where = F.when(F.col("at") == 0, "surname").otherwise("firstname")
     same = pairs.filter("variant").select("k", "pos", "id", "db_name", F.lit(90).alias("quality"), F.concat(where, F.lit("-variant")).alias("part"))
-    close = pairs.filter("not variant").withColumn("s", order_ratio(lcs_length(F.col("v"), F.col("p")), F.col("v"), F.col("p"))).filter("s > 0.85")
-    close = close.select("k", "pos", "id", "db_name", F.floor(F.col("s") * 90 + 0.5).cast("int").alias("quality"), F.concat(where, F.lit("-similar")).alias("part"))
+    close = pairs.filter("not variant").select("k", "pos", "id", "db_name", F.floor(F.col("s") * 90 + 0.5).cast("int").alias("quality"), F.concat(where, F.lit("-similar")).alias("part"))
     w = Window.partitionBy("k", "id").orderBy(F.desc("quality"), "pos")
     best = same.unionByName(close).withColumn("n", F.row_number().over(w)).filter("n = 1")
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("quality"), "pos"))).filter("n <= 4")

@@ -21,7 +21,7 @@ def auto_match(matches: DataFrame, roster: DataFrame, variants: dict[str, str])
     name its best split over 85, any other the only unused possible match of 90 or more. Open choices (several matches, ambiguity) take part in the first two only.
     """
     left = matches.filter("id is null").select("chat_id", "roster_id", "name", "first_seq", "ord", "match_type")
-    keys = settle(distinct_keys(left.withColumn("real_name", F.lit(None).cast("string"))))
+    keys = distinct_keys(left.withColumn("real_name", F.lit(None).cast("string")))
     splits = settle(ambiguity.split_glued(keys, roster))
     possible = settle(ambiguity.possible_matches(keys, roster, variants, splits))
     # With more unused candidates than names in the meeting at least two stay unused, so that lists may end there.

@@ -1,8 +1,9 @@
 """Pairs of chat names and roster rows that may match.
 
-``mode='small'`` pairs every name with its own roster. ``mode='large'`` finds the pairs by keys that lose none: equal surnames,
-dictionary forms, and for fuzzy rules segments (a roster string cut into one piece more than the edits allowed keeps a piece
-unchanged, so that a similar string holds that piece).
+Strings are compared, not rows: the distinct parts of names with the distinct parts of their roster's people, in each script that the rules
+look at. Which pairs of strings are alike then gives the pairs of rows. A roster of few strings is compared with all names that are asked
+of it; for a large one keys find the same pairs: a string cut into one piece more than the edits allowed keeps a piece
+unchanged, so that a similar string holds that piece.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import latin_variants, split_name
-from ..functions.text import col
+from ..functions.names import has_cyrillic, latin_variants, split_name
+from ..functions.text import col, near_lengths
+from ..storage import settle
 
 PARTS = ("word", "surname", "firstname", "rev_surname", "rev_firstname", "full")
 
@@ -23,10 +25,6 @@ def described(df: DataFrame, source: Column, prefix: str, parts: tuple[str, ...]
     return df.withColumn(f"{prefix}_latin", F.struct(*[latin_variants(F.coalesce(F.col(f"{prefix}.{p}"), F.lit(""))).alias(p) for p in parts]))
 
 
-def small_pairs(names: DataFrame, roster_names: DataFrame) -> DataFrame:
-    return names.join(roster_names, "roster_id")
-
-
 def edits_allowed(length: Column, threshold: float) -> Column:
     """Most edits between a roster string of that length and a string that is similar enough."""
     return F.floor(F.lit(1 - threshold) * F.floor(length / F.lit(threshold) + F.lit(1e-9)) + F.lit(1e-9)).cast("int")
@@ -62,32 +60,59 @@ def probes(c: Column | str, threshold: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), of_size)))
 
 
-def _spellings(text: Column, latin: Column) -> Column:
-    """The text itself and its Latin spellings, in lower case."""
-    return F.array_distinct(F.transform(F.concat(F.array(F.lower(text)), F.coalesce(latin, F.array().cast("array<string>"))), lambda v: F.lower(v)))
-
-
-def fuzzy_pairs(names: DataFrame, roster_names: DataFrame, name_part: str, roster_part: str, threshold: float) -> DataFrame:
-    """(k, pos, roster_id) of names ``n.name_part`` and roster parts ``d.roster_part`` that may be similar, in any script."""
-    left = names.filter(F.length(f"n.{name_part}") > 0).select("roster_id", "k", F.explode(_spellings(F.col(f"n.{name_part}"), F.col(f"n_latin.{name_part}"))).alias("s"))
-    right = roster_names.filter(F.length(f"d.{roster_part}") > 0).select("roster_id", "pos", F.explode(_spellings(F.col(f"d.{roster_part}"), F.col(f"d_latin.{roster_part}"))).alias("s"))
-    probe = left.filter("s <> ''").select("roster_id", "k", F.explode(probes("s", threshold)).alias("g"))
-    piece = right.filter("s <> ''").select("roster_id", "pos", F.explode(segments("s", threshold)).alias("g"))
-    return probe.join(piece, ["roster_id", "g"]).select("roster_id", "k", "pos").distinct()
-
-
-def large_pairs(names: DataFrame, roster_names: DataFrame) -> DataFrame:
-    """The pairs that any rule may accept: equal surnames are within the fuzzy ones, so that four fuzzy joins and one of dictionary forms find all."""
-    found = [
-        fuzzy_pairs(names, roster_names, "surname", "surname", 0.75),
-        fuzzy_pairs(names, roster_names, "rev_surname", "surname", 0.75),
-        fuzzy_pairs(names, roster_names, "word", "surname", 0.75),
-        fuzzy_pairs(names, roster_names, "word", "firstname", 0.75),
-        fuzzy_pairs(names, roster_names, "full", "full", 0.70),
-    ]
+def alike(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two lower-case texts have a similarity of ``threshold``; edits are counted only as far as that allows."""
+    longest = F.greatest(F.length(x), F.length(y))
+    most = F.floor(F.lit(1 - threshold) * longest + F.lit(1e-9)).cast("int")
+    edits = F.call_function("levenshtein", x, y, most)
+    return near_lengths(x, y, threshold) & ((x == y) | ((edits >= 0) & (1 - edits / longest >= threshold)))
+
+
+def _forms(strings: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """Each string in lower case with its script, and where scripts meet: Latin spellings of a Cyrillic string beside the Latin strings of the other side."""
+    x = F.col(name)
+    form = lambda g, s: F.struct(F.lit(g).alias("g"), s.alias("s"))
+    spelled = F.transform(latin_variants(x), lambda v: form(own, F.lower(v)))
+    each = F.when(has_cyrillic(x), F.concat(F.array(form("cyrillic", F.lower(x))), spelled)).otherwise(F.array(form("latin", F.lower(x)), form(other, F.lower(x))))
+    return strings.select("roster_id", name, F.explode(F.array_distinct(each)).alias("f")).select("roster_id", name, "f.g", "f.s").filter("s <> ''")
+
+
+def similar_strings(left: DataFrame, right: DataFrame, threshold: float, mode: str = "auto", few: int = 2000) -> DataFrame:
+    """(roster_id, a, b) of distinct strings (roster_id, a) and (roster_id, b) that match as :func:`translit_match` has it.
+
+    In rosters of up to ``few`` strings (``mode='auto'``; in all with 'small', in none with 'large') all are compared, in others those with a common piece.
+    """
+    left, right = _forms(left.filter("a <> ''").distinct(), "a", "left", "right"), _forms(right.filter("b <> ''").distinct(), "b", "right", "left").withColumnRenamed("s", "t")
+    test = alike(F.col("s"), F.col("t"), threshold)
+    found = []
+    large = right.groupBy("roster_id").agg(F.count_distinct("b").alias("n")).filter(F.col("n") > few).select("roster_id") if mode == "auto" else None
+    some = lambda rows, how: rows if large is None else rows.join(large, "roster_id", how)
+    if mode != "large":
+        found.append(some(left, "left_anti").join(some(right, "left_anti"), ["roster_id", "g"]).filter(test))
+    if mode != "small":
+        probe = some(left, "left_semi").select("roster_id", "g", "a", "s", F.explode(probes("s", threshold)).alias("piece"))
+        piece = some(right, "left_semi").select("roster_id", "g", "b", "t", F.explode(segments("t", threshold)).alias("piece"))
+        found.append(probe.join(piece, ["roster_id", "g", "piece"]).filter(test))
+    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    return pairs.select("roster_id", "a", "b").distinct()
+
+
+def matching_pairs(names: DataFrame, people: DataFrame, mode: str = "auto") -> DataFrame:
+    """The pairs that any rule may accept: equal surnames are within the similar ones, so that three relations of strings and one of dictionary forms find all."""
+    asked = {
+        "surname": F.array("n.surname", "n.rev_surname", "n.word"),  # each rule on two parts wants similar surnames
+        "firstname": F.array("n.word"),
+        "full": F.array("n.full"),
+    }
+    found = []
+    for part, parts in asked.items():
+        own = names.select("roster_id", "k", F.explode(F.array_distinct(parts)).alias("a")).filter("a is not null")
+        other = people.select("roster_id", "pos", F.col(f"d.{part}").alias("b")).filter("b is not null")
+        same = settle(similar_strings(own.select("roster_id", "a"), other.select("roster_id", "b"), 0.70 if part == "full" else 0.75, mode))
+        found.append(own.join(same, ["roster_id", "a"]).join(other, ["roster_id", "b"]).select("roster_id", "k", "pos"))
     forms = names.filter("n.word is not null").select("roster_id", "k", F.explode("forms").alias("f"))
-    found.append(forms.join(roster_names.select("roster_id", "pos", F.lower("d.firstname").alias("f")), ["roster_id", "f"]).select("roster_id", "k", "pos"))
+    found.append(forms.join(people.select("roster_id", "pos", F.lower("d.firstname").alias("f")), ["roster_id", "f"]).select("roster_id", "k", "pos"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    return every.distinct().join(names, ["roster_id", "k"]).join(roster_names, ["roster_id", "pos"])
+    return every.distinct().join(names, ["roster_id", "k"]).join(people, ["roster_id", "pos"])

@@ -13,7 +13,7 @@ from ..functions.names import is_variant_of, possible_forms, translit_match
 from ..functions.text import similar
 from ..storage import settle
 from . import ambiguity
-from .candidates import described, large_pairs, small_pairs
+from .candidates import described, matching_pairs
 from .roster import name_index, nickname_index
 
 MATCH = "array<struct<id:string,db_name:string,quality:int,match_type:string,reversed:boolean>>"
@@ -26,9 +26,8 @@ def lookups(people: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def distinct_keys(looked: DataFrame) -> DataFrame:
-    """The distinct (roster_id, name, real_name) with a key ``k``: the same person sits in many meetings."""
-    keys = looked.select("roster_id", "name", "real_name").distinct()
-    return keys.withColumn("k", F.xxhash64("roster_id", "name", F.coalesce("real_name", F.lit("")), F.col("real_name").isNull()))
+    """The distinct (roster_id, name, real_name), numbered by ``k`` and written, so that numbers stay: the same person sits in many meetings."""
+    return settle(looked.select("roster_id", "name", "real_name").distinct().withColumn("k", F.monotonically_increasing_id()))
 
 
 def rules(variants: dict[str, str]) -> Column:
@@ -61,13 +60,12 @@ def rules(variants: dict[str, str]) -> Column:
     return out
 
 
-def rule_pairs(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "small") -> DataFrame:
+def rule_pairs(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto") -> DataFrame:
     """(roster_id, k, pos, id, db_name, match_type, quality, reversed) of all pairs with a rule; keys have (roster_id, k, lookup)."""
     names = described(keys.select("roster_id", "k", "lookup"), F.col("lookup"), "n")
     names = settle(names.withColumn("forms", F.transform(possible_forms(F.col("n.word"), variants), lambda x: F.lower(x))))
     people = settle(described(name_index(roster), F.col("full_name"), "d", ("word", "surname", "firstname", "full")))
-    pairs = small_pairs(names, people) if mode == "small" else large_pairs(names, people)
-    found = pairs.withColumn("r", rules(variants)).filter("r is not null")
+    found = matching_pairs(names, people, mode).withColumn("r", rules(variants)).filter("r is not null")
     return found.select("roster_id", "k", "pos", "id", F.col("full_name").alias("db_name"), "r.match_type", "r.quality", "r.reversed")
 
 
@@ -85,7 +83,7 @@ def pick_best(pairs: DataFrame) -> DataFrame:
     )
 
 
-def resolve(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "small", ambiguous: DataFrame | None = None) -> DataFrame:
+def resolve(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto", ambiguous: DataFrame | None = None) -> DataFrame:
     """M2-M18 for distinct keys (roster_id, name, real_name, k): (k, id, match_type, quality, reversed, db_name, all_matches)."""
     index = name_index(roster).select("roster_id", F.col("full_name").alias("db_name"), F.col("id"))
     if ambiguous is None:
@@ -122,10 +120,10 @@ def manual(looked: DataFrame, overrides: DataFrame, roster: DataFrame) -> DataFr
     return rows.groupBy("chat_id", "name").agg(F.max_by("manual_id", F.struct(F.col("only").isNotNull(), "manual_id")).alias("manual_id"))
 
 
-def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "small") -> DataFrame:
+def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """(chat_id, roster_id, name, first_seq, ord, real_name, id, match_type, quality, reversed, db_name, all_matches, auto_matched); unrecognised names have no id."""
     looked = settle(lookups(people, aliases))
-    keys = settle(distinct_keys(looked))
+    keys = distinct_keys(looked)
     found = settle(resolve(keys, roster, variants, mode))
     rows = looked.join(keys.select("roster_id", "name", F.col("real_name").alias("rn"), "k"), (looked["roster_id"] == keys["roster_id"]) & (looked["name"] == keys["name"]) & looked["real_name"].eqNullSafe(F.col("rn")), "left").select(looked["*"], "k")
     rows = rows.join(found, "k", "left").drop("k")
@@ -154,9 +152,11 @@ def select_alternative(matches: DataFrame, choices: DataFrame) -> DataFrame:
     return rows.select(*[F.when(has, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in matches.columns])
 
 
-def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: DataFrame, changed: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "small") -> DataFrame:
-    """Results of chats whose roster is among ``changed`` (roster_id) are made anew; the others stay."""
+def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: DataFrame, changed: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+    """Results of chats whose roster is among ``changed`` (roster_id) are made anew, automatic assignment included; the others stay."""
+    from .assign import auto_match  # which needs this module
+
     ids = changed.select("roster_id").distinct()
-    again = people.join(ids, "roster_id", "left_semi")
-    fresh = match_names(again, aliases, roster.join(ids, "roster_id", "left_semi"), variants, overrides, mode)
+    again, people_of = people.join(ids, "roster_id", "left_semi"), roster.join(ids, "roster_id", "left_semi")
+    fresh = auto_match(settle(match_names(again, aliases, people_of, variants, overrides, mode)), people_of, variants)
     return matches.join(ids, "roster_id", "left_anti").unionByName(fresh)

@@ -20,11 +20,14 @@ def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limi
     asked = open_names.select("chat_id", "roster_id", "name").join(keys.select("roster_id", "name", "k"), ["roster_id", "name"])
     glued = keys.filter(ambiguity.is_one_word(F.col("name")) & (F.length("name") >= 6))
     splits = ambiguity.split_glued(glued, roster).filter("q >= 0.7").select("k", "pos", "id", "db_name", F.col("q").alias("similarity"))
-    forms = lambda c: F.array_distinct(F.array(F.col(c), to_latin(c), to_cyrillic(c)))
-    plain = keys.join(splits.select("k").distinct(), "k", "left_anti").select("roster_id", "k", forms("name").alias("a"))
-    people = name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"), forms("full_name").alias("b"))
-    best = F.array_max(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: similarity(x, y)))))
-    near = plain.join(people, "roster_id").withColumn("similarity", best).filter(F.col("similarity") > at_least).select("k", "pos", "id", "db_name", "similarity")
+    # Each in its own, Latin and Cyrillic form; forms that a name has already aren't compared again. Distinct strings are compared.
+    spelled = lambda c, p: [F.lower(c).alias(f"{p}0"), F.nullif(F.lower(to_latin(c)), F.lower(c)).alias(f"{p}1"), F.nullif(F.lower(to_cyrillic(c)), F.lower(c)).alias(f"{p}2")]
+    plain = keys.join(splits.select("k").distinct(), "k", "left_anti")
+    people = name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"))
+    a, b = plain.select("roster_id", "name", *spelled("name", "a")).distinct(), people.select("roster_id", "db_name", *spelled("db_name", "b")).distinct()
+    best = F.greatest(*[F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), similarity(x, y)) for x in ("a0", "a1", "a2") for y in ("b0", "b1", "b2")])
+    close = a.join(b, "roster_id").select("roster_id", "name", "db_name", best.alias("similarity")).filter(F.col("similarity") > at_least)
+    near = plain.select("roster_id", "k", "name").join(close, ["roster_id", "name"]).join(people, ["roster_id", "db_name"]).select("k", "pos", "id", "db_name", "similarity")
     rows = asked.join(splits.unionByName(near), "k").join(used.select("chat_id", "id").distinct(), ["chat_id", "id"], "left_anti")
     w = Window.partitionBy("chat_id", "name").orderBy(F.desc("similarity"), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("chat_id", "name", "rank", "id", "db_name", "similarity")

@@ -21,7 +21,7 @@ class Attendance:
     rejected: DataFrame
 
 
-def attendance(chats: DataFrame, roster: DataFrame, variants: dict[str, str], keyword: str | None = None, overrides: DataFrame | None = None, mode: str = "small") -> Attendance:
+def attendance(chats: DataFrame, roster: DataFrame, variants: dict[str, str], keyword: str | None = None, overrides: DataFrame | None = None, mode: str = "auto") -> Attendance:
     """Screen, parse, match, assign and report; ``rejected`` are chats with unsafe text."""
     safe, rejected = screen_documents(chats)
     rows = settle(chat.messages(safe))

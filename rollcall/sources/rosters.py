@@ -62,13 +62,14 @@ def roster_csv(files: DataFrame) -> DataFrame:
 
 
 def roster_json(files: DataFrame) -> DataFrame:
-    """{version, entries: [...]}, {database: [...]} or the old {"Surname Firstname": id}."""
+    """{version, entries: [...]}, {database: [...]} or the old {"Surname Firstname": id}. A file that has one of these keys but no list of people gives nothing."""
     person = "array<struct<id:string,surname:string,firstname:string,nicknames:array<string>>>"
     rows = files.select("roster_id", "content", F.from_json("content", f"struct<version:string,entries:{person},database:{person}>").alias("j"))
     people = F.coalesce("j.entries", "j.database")
     new = rows.filter(people.isNotNull()).select("roster_id", F.posexplode(people).alias("pos", "e"))
     new = new.select("roster_id", "pos", "e.id", F.coalesce("e.surname", F.lit("")).alias("surname"), F.coalesce("e.firstname", F.lit("")).alias("firstname"), F.coalesce("e.nicknames", F.expr(NO_NAMES)).alias("nicknames"))
     old = rows.filter(people.isNull()).select("roster_id", F.from_json("content", "map<string,string>").alias("m"))
+    old = old.filter(~F.arrays_overlap(F.map_keys("m"), F.array(*map(F.lit, ("version", "entries", "database")))))
     names = old.select("roster_id", F.posexplode(F.map_entries("m")).alias("pos", "e")).select("roster_id", "pos", F.col("e.key").alias("full_name"), F.col("e.value").alias("id"))
     return new.unionByName(convert_legacy(names))
 
@@ -79,13 +80,13 @@ def convert_legacy(names: DataFrame) -> DataFrame:
     return names.select("roster_id", "pos", F.col("id").cast("string").alias("id"), F.coalesce(n["surname"], n["word"], F.lit("")).alias("surname"), F.coalesce(n["firstname"], F.lit("")).alias("firstname"), F.expr(NO_NAMES).alias("nicknames"))
 
 
-def roster_list(files: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(roster_id, pos, full_name, id) from lines ``Name:ID``, ``Name ID`` or ``Name``; of each file the first ``limit`` lines that aren't blank (a rule of the format).
+def roster_list(files: DataFrame, limit: int | None = 10_000) -> DataFrame:
+    """(roster_id, pos, full_name, id) from lines ``Name:ID``, ``Name ID`` or ``Name``; of each file the first ``limit`` lines that aren't blank (a rule of the format), or all with None.
 
     An id that an earlier line has drops its line. Names without one get their line's number, with ``_1`` behind it if that is taken. A repeated name keeps
     its place and gets the last id.
     """
-    lines = files.select("roster_id", F.posexplode(F.slice(_lines(F.col("content")), 1, limit)).alias("i", "line"))
+    lines = files.select("roster_id", F.posexplode(_lines(F.col("content")) if limit is None else F.slice(_lines(F.col("content")), 1, limit)).alias("i", "line"))
     lines = lines.withColumn("t", trim("line")).filter(~F.col("t").rlike(r"\A[0-9]+\z"))
     form = r"\A([^:]+)(?::|[\p{IsWhite_Space}]+)([0-9]+)\z"
     given = F.col("line").rlike(form)
