@@ -33,14 +33,19 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_nationkey").cast("string").alias("roster_id"), pos.alias("pos"), F.col("c_custkey").cast("string").alias("id"), _pick(SURNAMES, s).alias("surname"), _pick(FIRSTNAMES, f).alias("firstname"), nick.alias("nicknames"))
 
 
-def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, roster_id, custkey, shown, text): who says each turn, and under which display name."""
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the customer who says it."""
     m = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_custkey")
     numbered = c.withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("c_nationkey")))
     sizes = numbered.groupBy("c_nationkey").agg(F.first("size").alias("size"))
     m = m.withColumn("c_nationkey", F.col("conv_id") % ROSTERS).join(sizes, "c_nationkey").withColumn("n", (F.col("conv_id") * 7 + F.col("turn") * 3) % F.col("size"))
-    rows = m.join(numbered.drop("size"), ["c_nationkey", "n"])
+    return m.join(numbered.drop("size"), ["c_nationkey", "n"])
+
+
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, roster_id, custkey, shown, text): who says each turn, and under which display name."""
+    rows = _placed(spark, sf_dir)
     s, f = _name_numbers(F.col("c_custkey"))
     sur, first = _pick(SURNAMES, s), _pick(FIRSTNAMES, f)
     form = (F.col("conv_id") + F.col("turn")) % 6
@@ -52,6 +57,28 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("c_nationkey").cast("string").alias("roster_id"), F.col("c_custkey").alias("custkey"), shown.alias("shown"), "text")
 
 
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chat_id, roster_id, text): transcripts in three languages, with one-word, glued, misspelt and nicknames, ``rnm:`` tags, continuation lines and private messages."""
+    rows = _placed(spark, sf_dir)
+    s, f = _name_numbers(F.col("c_custkey"))
+    sur, first = _pick(SURNAMES, s), _pick(FIRSTNAMES, f)
+    form = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    full = F.concat_ws(" ", sur, first)
+    shown = (
+        F.when(form == 0, first).when(form == 1, sur).when(form == 2, F.lower(F.concat(_pick(LATIN_FIRSTNAMES, f), _pick(LATIN_SURNAMES, s)))).when(form == 3, F.concat(F.lit("user"), F.col("c_custkey").cast("string")))
+        .when(form == 4, F.concat(F.lit("Guest "), F.col("turn").cast("string"))).when(form == 5, F.concat(F.substring(sur, F.lit(1), F.length(sur) - 1), F.lit("а "), first)).when(form == 6, _pick(SHORT, f)).otherwise(full)
+    )
+    said = F.when(form == 4, F.concat(F.lit("rnm: "), full)).otherwise(F.concat(F.lit("plus "), F.col("turn").cast("string")))
+    word = lambda *w: _pick(w, F.col("conv_id") % 3)
+    time = F.format_string("%02d:%02d:%02d", F.lit(9), F.col("turn").cast("int"), (F.col("conv_id") % 60).cast("int"))
+    start, to = word("From", "Від", "От"), word("to", "до", "кому")
+    line = F.concat_ws(" ", time, start, shown, to, F.concat(word("Everyone", "Всі", "Все"), F.lit(":")), said)
+    private = F.concat_ws(" ", time, start, shown, to, F.lit("Bob (Direct Message): secret"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat(line, F.lit("\nmore of it\n"), private).alias("line")))), lambda x: x["line"])
+    rows = rows.groupBy("conv_id", F.col("c_nationkey").cast("string").alias("roster_id")).agg(lines.alias("lines"))
+    return rows.select(F.col("conv_id").cast("string").alias("chat_id"), "roster_id", F.array_join("lines", "\n").alias("text"))
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = speakers(spark, sf_dir)
     line = F.concat(F.format_string("%02d:%02d:%02d", F.lit(9), F.col("turn").cast("int"), (F.col("conv_id") % 60).cast("int")), F.lit(" From "), F.col("shown"), F.lit(" to Everyone: "), F.col("text"))

@@ -15,13 +15,18 @@ from ..functions import text as X
 from ..operators import ambiguity, chat, match, recommend, report, roster, thread
 from ..sources import rosters as R
 from ..sources import screen, sinks
+from ..storage import settle
 from . import fixtures
 from .attendance import attendance, counts_per_chat, review
 from .queries_sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-VARIANTS = N.SEED_VARIANTS
+#: The dictionary of these queries; SQL has its own copy.
+VARIANTS = {
+    "саша": "олександр", "сашко": "олександр", "sasha": "олександр", "оля": "ольга", "olya": "ольга", "коля": "микола", "nick": "микола", "ваня": "іван", "катя": "катерина",
+    "таня": "тетяна", "міша": "михайло", "людмила": "людмила", "люда": "людмила", "женя": "євген", "сергій": "сергій", "сірожа": "сергій",
+}
 
 
 def query(f: Query) -> Query:
@@ -183,6 +188,18 @@ def p11_replies(spark, sf_dir):
     return t.select("chat_id", F.col("msg_id").cast("long").alias("msg_id"), "content", "is_reply", "reply_to", F.array_join("mentions", "|").alias("mentions"), F.array_join(F.transform("reactions", lambda r: F.concat(r["user"], F.lit("="), r["emoji"])), "|").alias("reactions"))
 
 
+@query
+def p1_transcripts(spark, sf_dir):
+    """Messages of transcripts in three languages, with continuation lines and private messages."""
+    return chat.messages(fixtures.meetings(spark, sf_dir)).select("chat_id", "roster_id", F.col("seq").cast("long").alias("seq"), "time", "sender", "body")
+
+
+@query
+def p6_transcript_people(spark, sf_dir):
+    people, aliases = chat.parse_chat(fixtures.meetings(spark, sf_dir))
+    return people.join(aliases, ["chat_id", "name"], "left").select("chat_id", "roster_id", "name", F.col("first_seq").cast("long").alias("first_seq"), F.array_join("messages", "|").alias("messages"), "real_name")
+
+
 @query
 def p15_sender_runs(spark, sf_dir):
     return thread.sender_runs(thread.thread_messages(_mail(spark, sf_dir))).select("chat_id", F.col("msg_id").cast("long").alias("msg_id"), "sender", F.col("run").cast("long").alias("run"))
@@ -357,26 +374,42 @@ def m1_manual(spark, sf_dir):
     return match.manual(looked, by_hand, r)
 
 
+def _meet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    people, aliases = chat.parse_chat(fixtures.meetings(spark, sf_dir))
+    return settle(people), settle(aliases), fixtures.rosters(spark, sf_dir)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_names(*_meet(spark, sf_dir), VARIANTS)
+
+
 @query
 def m3_exact(spark, sf_dir):
-    people, aliases, r = _people(spark, sf_dir)
-    looked = match.lookups(people, aliases)
-    index = roster.name_index(r).select("roster_id", F.col("full_name").alias("name"), "id")
-    return looked.join(index, ["roster_id", "name"]).select("chat_id", "name", "id")
+    return _matched(spark, sf_dir).filter("match_type = 'exact-match'").select("chat_id", "name", "id", "quality")
 
 
 @query
 def m4_tag(spark, sf_dir):
-    people, aliases, r = _people(spark, sf_dir)
-    index = roster.name_index(r).select("roster_id", F.col("full_name").alias("real_name"), "id")
-    return match.lookups(people, aliases).join(index, ["roster_id", "real_name"]).select("chat_id", "name", "id")
+    return _matched(spark, sf_dir).filter("match_type = 'real-name-tag'").select("chat_id", "name", "real_name", "id", "quality")
 
 
 @query
 def m5_nickname(spark, sf_dir):
-    people, aliases, r = _people(spark, sf_dir)
-    looked = match.lookups(people, aliases).withColumn("nick", F.lower(F.regexp_extract("name", r"\A(\S+) \(", 1)))
-    return looked.join(roster.nickname_index(r), ["roster_id", "nick"]).select("chat_id", "name", "nick", "id")
+    return _matched(spark, sf_dir).filter("match_type = 'nickname-match'").select("chat_id", "name", "id", "db_name", "quality")
+
+
+@query
+def m23_matches(spark, sf_dir):
+    return _matched(spark, sf_dir).select("chat_id", "name", "id", "match_type", "quality", "reversed", F.coalesce(_ids(), F.lit("")).alias("candidates"))
+
+
+@query
+def m14_one_word_rules(spark, sf_dir):
+    """The rules for one-word, glued and misspelt names."""
+    people, aliases, r = _meet(spark, sf_dir)
+    keys = match.distinct_keys(match.lookups(people, aliases)).withColumn("lookup", F.coalesce("real_name", "name"))
+    found = match.rule_pairs(keys, r, VARIANTS).join(keys.select("k", "name"), "k")
+    return found.select("roster_id", "name", "id", "match_type", "quality", "reversed")
 
 
 @query
@@ -389,7 +422,7 @@ def m6_rules(spark, sf_dir):
 
 @query
 def m17_rules_by_keys(spark, sf_dir):
-    """The same pairs as m6_rules, found by keys that lose none."""
+    """The same pairs as m6_rules, found by keys that lose none also where a roster is small."""
     people, aliases, r = _people(spark, sf_dir)
     keys = match.distinct_keys(match.lookups(people, aliases)).withColumn("lookup", F.coalesce("real_name", "name"))
     found = match.rule_pairs(keys, r, VARIANTS, mode="large").join(keys.select("k", "name"), "k")
@@ -447,7 +480,7 @@ def m21_split_glued(spark, sf_dir):
 
 def _attendance(spark: SparkSession, sf_dir: str):
     r = fixtures.rosters(spark, sf_dir)
-    return attendance(fixtures.chats(spark, sf_dir), r, VARIANTS), r
+    return attendance(fixtures.meetings(spark, sf_dir), r, VARIANTS), r
 
 
 @query
@@ -471,7 +504,7 @@ def m27_review(spark, sf_dir):
 def m26_select_alternative(spark, sf_dir):
     a, _ = _attendance(spark, sf_dir)
     choices = a.matches.filter("id is null and size(all_matches) > 0").select("chat_id", "name", F.lit(0).alias("k"))
-    return match.select_alternative(a.matches, choices).select("chat_id", "name", "id", "match_type", "quality")
+    return match.select_alternative(a.matches, choices).select("chat_id", "name", "id", F.endswith("match_type", F.lit("-selected")).alias("chosen"), "quality")
 
 
 @query
@@ -527,7 +560,7 @@ def s15_attendance_rows(spark, sf_dir):
 @query
 def s17_attendance_json(spark, sf_dir):
     rows = sinks.attendance_documents(_exact_report(spark, sf_dir), "2024-01-01")
-    return rows.select("chat_id", F.get_json_object("value", "$.totalParticipants").cast("long").alias("total"), F.get_json_object("value", "$.participants[0].nickname").alias("first_nickname"))
+    return rows.select("chat_id", F.get_json_object("value", "$.totalParticipants").cast("long").alias("total"), "value")
 
 
 @query

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from ..functions.names import CORRECTIONS, GROUPS, LATIN, LETTERS, SEED_VARIANTS
-from ..sources.screen import UNSAFE
+from . import match_sql as M
 from .fixtures import FIRSTNAMES, LATIN_FIRSTNAMES, LATIN_SURNAMES, ROSTERS, SHORT, SURNAMES
 
+# What makes a text unsafe, by name, as DuckDB writes it.
+UNSAFE = {
+    "script": r"(?is)<script\b.*?</script>", "javascript": "(?i)javascript:", "handler": r"(?i)on[A-Za-z0-9_]+\s*=", "cookie": r"(?i)document\.cookie", "eval": r"(?i)eval\s*\(", "exec_script": "(?i)execScript",
+    "function": r"(?i)Function\s*\(", "timer": "(?i)setInterval|setTimeout|setImmediate",
+}
+
 
 def _list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -49,48 +54,13 @@ _PEOPLE = """keyed AS (
 _CHAT = f"WITH {_ROSTER}, {_SPEAKERS}, {_SAID}, {_PEOPLE}, {_INDEX} "
 
 
-def _replace(x: str, table: dict[str, str]) -> str:
-    for a, b in table.items():
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
-
-
-def _title(x: str) -> str:
-    return x[:1].upper() + x[1:]
-
-
-def _latin(x: str) -> str:
-    out = _replace(x, {k: v for a, b in LATIN.items() if len(b) > 1 for k, v in ((a, b), (a.upper(), _title(b)))})
-    one = {a: b for a, b in LATIN.items() if len(b) == 1}
-    keys, values = "".join(one), "".join(one.values())
-    return f"translate({out}, '{keys + keys.upper()}', '{values + values.upper()}')"
-
-
-def _cyrillic(x: str) -> str:
-    out = _replace(x, {k: v for a, b in GROUPS.items() for k, v in ((_title(a), b.upper()), (a, b))})
-    out = f"translate({out}, '{LETTERS[0] + LETTERS[0].upper()}', '{LETTERS[1] + LETTERS[1].upper()}')"
-    return _replace(_replace(out, CORRECTIONS), {_title(a): _title(b) for a, b in CORRECTIONS.items()})
-
-
-def _ascii(x: str) -> str:
-    """One byte a letter, as DuckDB's levenshtein counts bytes."""
-    return f"translate(lower({x}), 'абвгґдеєжзиіїйклмнопрстуфхцчшщьюя''', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01234567')"
+_latin, _cyrillic, _similarity, _form = M.latin, M.cyrillic, M.similarity, M.form
 
 
 def _edits(a: str, b: str) -> str:
-    return f"levenshtein({_ascii(a)}, {_ascii(b)})"
-
-
-def _similarity(a: str, b: str) -> str:
-    return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE WHEN lower({a}) = lower({b}) THEN 1.0::DOUBLE ELSE 1 - CAST({_edits(a, b)} AS DOUBLE) / greatest(length({a}), length({b})) END"
+    return f"levenshtein({M.one_byte(a)}, {M.one_byte(b)})"
 
 
-def _form(x: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEED_VARIANTS.items())
-    return f"CASE lower({x}) {cases} ELSE lower({x}) END"
-
-
-_RE2_SCRIPT = r"(?is)<script\b.*?</script>"
 _PAIRS = f"""{_W}, pairs AS (
   SELECT r.roster_id, r.id, b.surname AS b, CASE WHEN r.pos % 2 = 0 THEN substring(b.surname, 1, 3) || substring(b.surname, 5) ELSE upper(r.surname) END AS a
   FROM roster r JOIN roster b ON b.roster_id = r.roster_id AND b.pos = r.pos + 1)"""
@@ -100,7 +70,10 @@ _MAIL = f"""{_WS}, mail AS (
 
 SQL: dict[str, str] = {
     "s2_gate_files": "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages WHERE page_id % 2 = 0 AND octet_length(encode(html)) <= 4000",
-    "s3_flag_unsafe": "SELECT page_id, " + " OR ".join(f"regexp_matches(html, '{_RE2_SCRIPT if k == 'script' else v}')" for k, v in UNSAFE.items()) + f" AS unsafe, regexp_matches(html, '{_RE2_SCRIPT}') AS script, regexp_matches(html, '{UNSAFE['handler']}') AS handler FROM pages",
+    "s3_flag_unsafe": "SELECT page_id, " + " OR ".join(f"regexp_matches(html, '{v}')" for v in UNSAFE.values()) + f" AS unsafe, regexp_matches(html, '{UNSAFE['script']}') AS script, regexp_matches(html, '{UNSAFE['handler']}') AS handler FROM pages",
+    "s5_screen_documents": "SELECT doc_id, CAST(length(CASE WHEN reason = '' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<script', '&lt;script', 'gi'), '</script>', '&lt;/script&gt;', 'gi'), 'javascript:', 'javascript_blocked:', 'gi'), 'on[A-Za-z0-9_]+\\s*=', 'data-blocked-event=', 'gi') ELSE text END) AS BIGINT) AS n, reason FROM (SELECT doc_id, text, CASE "
+    + " ".join(f"WHEN regexp_matches(text, '{v}') THEN '{k}'" for k, v in UNSAFE.items())
+    + " ELSE '' END AS reason FROM documents)",
     "s4_neutralise": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script', '&lt;script', 'gi'), '</script>', '&lt;/script&gt;', 'gi'), 'javascript:', 'javascript_blocked:', 'gi'), 'on[A-Za-z0-9_]+\s*=', 'data-blocked-event=', 'gi') AS html FROM pages",
     "s6_detect_format": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' WHEN 2 THEN 'txt' ELSE CASE WHEN contains(html, ',') AND contains(trim(html), chr(10)) AND NOT contains(html, '{') AND NOT contains(html, '[') THEN 'csv' ELSE 'txt' END END AS format FROM pages",
     "s7_roster_txt": f"{_W} SELECT roster_id, pos, CAST(pos + 1 AS VARCHAR) AS id, surname, firstname FROM roster",
@@ -140,10 +113,145 @@ SQL: dict[str, str] = {
     "d12_convert_legacy": "SELECT CAST(c_nationkey AS VARCHAR) AS roster_id, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS surname, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' x' ELSE '' END AS firstname FROM customer",
     "d13_sort_roster": f"{_W}, o AS (SELECT roster_id, id, surname, pos, list_position({_list(tuple(sorted(SURNAMES, key=lambda x: [('абвгґдеєжзиіїйклмнопрстуфхцчшщьюя'.index(c)) for c in x.lower()])))}, surname) AS k FROM roster) SELECT roster_id, id, surname, row_number() OVER (PARTITION BY roster_id ORDER BY k DESC, pos) AS rank FROM o",
     "m1_manual": f"{_CHAT}, o AS (SELECT surname || ' ' || firstname AS name, CAST(max(custkey) AS VARCHAR) AS id FROM roster GROUP BY 1) SELECT p.chat_id, p.name, o.id AS manual_id FROM people p JOIN o USING (name) JOIN roster r ON r.roster_id = p.roster_id AND r.id = o.id",
-    "m3_exact": f"{_CHAT} SELECT p.chat_id, p.name, idx.id FROM people p JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name",
-    "m4_tag": f"{_CHAT} SELECT p.chat_id, p.name, idx.id FROM people p JOIN real USING (chat_id, name) JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = real.real_name",
-    "m5_nickname": f"{_CHAT} SELECT p.chat_id, p.name, lower(split_part(p.name, ' ', 1)) AS nick, r.id FROM people p JOIN roster r ON r.roster_id = p.roster_id AND r.nicknames[1] = split_part(p.name, ' ', 1) WHERE p.name LIKE '% (%'",
     "r2_exact_report": f"{_CHAT}, j AS (SELECT p.*, idx.id, real.real_name FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, coalesce(id, '?') AS id, CASE WHEN id IS NOT NULL THEN name ELSE real_name END AS n, name AS nickname, id IS NOT NULL AS found, CASE WHEN id IS NOT NULL THEN 'exact-match' WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS match_type FROM j) SELECT chat_id, id, coalesce(split_part(n, ' ', 1), '') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '') AS firstname, nickname, found, match_type FROM i",
     "s15_attendance_rows": f"{_CHAT}, j AS (SELECT p.*, idx.id, real.real_name FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, id, CASE WHEN id IS NOT NULL THEN name ELSE real_name END AS n, name AS nickname FROM j) SELECT chat_id, coalesce(id, '?') AS id, coalesce(split_part(n, ' ', 1), '-') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '-') AS firstname, nickname, CASE WHEN id IS NOT NULL THEN 'В базі' ELSE 'Не знайдено в базі' END AS status FROM i",
-    "s17_attendance_json": f"{_CHAT} SELECT chat_id, count(*) AS total, arg_min(name, first_seq * 2 + CASE WHEN name LIKE '%(%' THEN 1 ELSE 0 END) AS first_nickname FROM people GROUP BY 1",
+}
+
+_RCHAT = _CHAT.replace("WITH ", "WITH RECURSIVE ", 1)
+_ASKED = "asked AS (SELECT DISTINCT p.roster_id, p.name, real.real_name FROM people p LEFT JOIN real USING (chat_id, name))"
+_RULES = f"{_RCHAT}, {_ASKED}, {M._VT}, looked AS (SELECT *, coalesce(real_name, name) AS lookup FROM asked), {M.rules('looked')}"
+_RULE_ROWS = " SELECT roster_id, name, id, kind AS match_type, quality, back AS reversed FROM found JOIN looked USING (roster_id, lookup)"
+_ONE = f"""WITH RECURSIVE {_ROSTER}, {_INDEX}, asked AS (
+  SELECT DISTINCT roster_id, CASE pos % 4 WHEN 0 THEN firstname WHEN 1 THEN surname WHEN 2 THEN lower({M.latin("(firstname || surname)")}) ELSE surname || lower(firstname) END AS name FROM roster)"""
+#: Meetings with one-word, glued and nicknames, tags, other languages and private messages: people are the senders as they are shown.
+_MEET = f"""WITH RECURSIVE {_ROSTER}, {_SPEAKERS}, {_INDEX}, mixed AS (
+  SELECT CAST(conv_id AS VARCHAR) AS chat_id, conv_id, turn, CAST(c_nationkey AS VARCHAR) AS roster_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+         CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN fir WHEN 1 THEN sur WHEN 2 THEN lower(lfir || lsur) WHEN 3 THEN 'user' || c_custkey WHEN 4 THEN 'Guest ' || turn WHEN 5 THEN left(sur, -1) || 'а ' || fir WHEN 6 THEN sfir ELSE sur || ' ' || fir END AS name,
+         CASE WHEN (conv_id * 3 + turn) % 8 = 4 THEN 'rnm: ' || sur || ' ' || fir ELSE 'plus ' || turn END AS body, sur || ' ' || fir AS tagged
+  FROM placed
+), people AS (
+  SELECT chat_id, roster_id, name, min(seq) AS first_seq, string_agg(body, '|' ORDER BY seq) AS messages FROM mixed GROUP BY ALL
+), real AS (
+  SELECT chat_id, name, arg_max(tagged, seq) AS real_name FROM mixed WHERE body LIKE 'rnm:%' GROUP BY ALL
+), {_ASKED}"""
+_MATCHED = f"""{_MEET}, {M.RESOLVED}, matched AS (
+  SELECT p.chat_id, p.roster_id, p.name, p.first_seq, r.real_name, r.id, r.match_type, r.quality, r.reversed, r.db_name, r.candidates
+  FROM people p LEFT JOIN real USING (chat_id, name) JOIN resolved r ON r.roster_id = p.roster_id AND r.name = p.name AND r.real_name IS NOT DISTINCT FROM real.real_name)"""
+_AUTO = f"""{_MATCHED}, open_names AS (
+  SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY first_seq, name) AS i FROM matched WHERE id IS NULL
+), by_first AS (
+  SELECT a.roster_id, a.name, list(f.id ORDER BY f.pos) AS firsts, list(f.full_name ORDER BY f.pos) AS first_names FROM (SELECT DISTINCT roster_id, name FROM asked WHERE NOT contains(name, ' ')) a JOIN folk f ON f.roster_id = a.roster_id AND split_part(f.db_lower, ' ', 2) = lower(a.name) GROUP BY ALL
+), by_split AS (
+  SELECT roster_id, name, list({{'id': id, 'q': q, 'full_name': full_name}} ORDER BY -q, id) AS glue FROM splits WHERE NOT contains(name, ' ') GROUP BY ALL
+), by_possible AS (
+  SELECT roster_id, name, list({{'id': id, 'quality': quality, 'full_name': full_name}} ORDER BY -quality, id) AS maybe FROM possible GROUP BY ALL
+), ready AS (
+  SELECT o.chat_id, o.i, o.name, o.match_type, coalesce(firsts, []) AS firsts, first_names, coalesce(glue, []) AS glue, coalesce(maybe, []) AS maybe
+  FROM open_names o LEFT JOIN by_first USING (roster_id, name) LEFT JOIN by_split USING (roster_id, name) LEFT JOIN by_possible USING (roster_id, name)
+), steps AS (
+  SELECT chat_id, CAST(0 AS BIGINT) AS i, coalesce(list(DISTINCT id) FILTER (id IS NOT NULL), []) AS used, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS new_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS new_quality, CAST(NULL AS VARCHAR) AS new_name, CAST(NULL AS VARCHAR) AS new_candidates
+  FROM matched GROUP BY chat_id
+  UNION ALL
+  SELECT chat_id, i, CASE WHEN new_id IS NULL THEN used ELSE list_append(used, new_id) END, name, new_id, kind, new_quality, new_name, new_candidates FROM (
+    SELECT *, CASE kind WHEN 'auto-match-single-name' THEN ff[1] WHEN 'split-name-match' THEN glue[1].id WHEN 'auto-match' THEN mm[1].id END AS new_id,
+           CASE kind WHEN 'auto-match-single-name' THEN 95 WHEN 'split-name-match' THEN CAST(floor(glue[1].q * 100 + 0.5) AS INTEGER) WHEN 'auto-match' THEN mm[1].quality END AS new_quality,
+           CASE kind WHEN 'auto-match-single-name' THEN first_names[list_position(firsts, ff[1])] WHEN 'split-name-match' THEN glue[1].full_name WHEN 'auto-match' THEN mm[1].full_name END AS new_name,
+           CASE kind WHEN 'split-name-match' THEN array_to_string(list_transform(glue, lambda x: x.id || ':' || CAST(floor(x.q * 100 + 0.5) AS INTEGER)), ',') WHEN 'auto-match' THEN array_to_string(list_transform(mm, lambda x: x.id || ':' || x.quality), ',') END AS new_candidates
+    FROM (SELECT *, CASE WHEN len(ff) = 1 THEN 'auto-match-single-name' WHEN len(glue) > 0 AND glue[1].q > 0.85 AND NOT list_contains(used, glue[1].id) THEN 'split-name-match'
+                         WHEN match_type NOT IN ('multiple-matches', 'ambiguous-name') AND len(mm) = 1 AND mm[1].quality >= 90 THEN 'auto-match' END AS kind
+          FROM (SELECT r.chat_id, r.i, s.used, r.name, r.match_type, r.firsts, r.first_names, r.glue, list_filter(r.firsts, lambda x: NOT list_contains(s.used, x)) AS ff, list_filter(r.maybe, lambda x: NOT list_contains(s.used, x.id)) AS mm FROM steps s JOIN ready r ON r.chat_id = s.chat_id AND r.i = s.i + 1)))
+), assigned AS (
+  SELECT m.chat_id, m.roster_id, m.name, m.first_seq, m.real_name, coalesce(new_id, id) AS id, coalesce(kind, match_type) AS match_type, coalesce(new_quality, quality) AS quality, reversed, CASE WHEN new_id IS NULL THEN db_name ELSE new_name END AS db_name,
+         CASE WHEN new_id IS NULL THEN candidates ELSE new_candidates END AS candidates, new_id IS NOT NULL AS auto_matched
+  FROM matched m LEFT JOIN (SELECT * FROM steps WHERE new_id IS NOT NULL) s USING (chat_id, name))"""
+_INFO = f"""{_AUTO}, info AS (
+  SELECT a.*, a.id IS NOT NULL AS found, CASE WHEN a.id IS NOT NULL THEN coalesce(db_name, nick_name) ELSE real_name END AS n FROM assigned a LEFT JOIN named ON named.roster_id = a.roster_id AND named.nick_id = a.id
+), lines AS (
+  SELECT chat_id, first_seq, coalesce(id, '?') AS id, coalesce(split_part(n, ' ', 1), '') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '') AS firstname, name AS nickname, found, auto_matched,
+         CASE WHEN found AND real_name IS NOT NULL AND match_type <> 'real-name-tag' THEN match_type || ' real-name-tag' WHEN found THEN match_type WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS match_type,
+         CASE WHEN id IS NOT NULL THEN id ELSE '?_' || name END AS person
+  FROM info
+)"""
+_ORDER = "found DESC, try_cast(id AS BIGINT) IS NULL, try_cast(id AS BIGINT), id, nickname COLLATE uk, first_seq"
+_FIRST_WORD = "split_part(shown, ' ', 1)"
+
+SQL |= {
+    "p1_transcripts": f"{_MEET} SELECT chat_id, roster_id, seq, '09:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':' || lpad(CAST(conv_id % 60 AS VARCHAR), 2, '0') AS time, name AS sender, body FROM mixed",
+    "p6_transcript_people": f"{_MEET} SELECT p.chat_id, p.roster_id, p.name, p.first_seq, p.messages, real.real_name FROM people p LEFT JOIN real USING (chat_id, name)",
+    "p5_split_display_name": f"{_WS} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CASE WHEN shown LIKE '%(%' THEN regexp_extract(shown || ' [', '^(.*) \\[$', 1) ELSE shown END WHEN turn % 3 = 1 AND shown LIKE '%(%' THEN regexp_extract(shown, '\\((.*)$', 1) || ' (ІТ' WHEN shown LIKE '%(%' THEN regexp_extract(shown, '\\((.*)\\)$', 1) ELSE shown END AS name, CASE WHEN turn % 3 = 0 THEN 'гр. 2' WHEN turn % 3 = 1 AND shown NOT LIKE '%(%' THEN 'ІТ' WHEN shown LIKE '%(%' THEN {_FIRST_WORD} ELSE '' END AS extra FROM speakers",
+    "n8_latin_variants": f"{_W} SELECT roster_id, id, array_to_string({M.spellings('firstname')}, ',') AS variants FROM roster",
+    "n9_translit_match": f"{_PAIRS}, t AS (SELECT roster_id, id, {_latin('upper(left(a0, 1)) || substring(a0, 2)')} AS l, b, a, {M.spellings('b')} AS spelt FROM (SELECT p.*, r.surname AS a0 FROM pairs p JOIN roster r USING (roster_id, id))) SELECT roster_id, id, CASE WHEN lower(l) = lower(b) THEN true WHEN regexp_matches(l, '{M.CYRILLIC}') THEN ({_similarity('l', 'b')}) >= 0.75 ELSE list_max(list_transform(spelt, lambda v: {_similarity('v', 'l')})) >= 0.75 END AS across, ({_similarity('a', 'b')}) >= 0.75 AS within FROM t",
+    "n11_is_variant": f"{_WS}, {M._VT}, w AS (SELECT conv_id, turn, {_FIRST_WORD} AS x FROM speakers), {M.possible('w', 'f', 'x')}, g AS (SELECT x, string_agg(v, ',' ORDER BY v) AS forms FROM f GROUP BY 1) SELECT conv_id, turn, {M.is_variant('w.x', chr(39) + 'олександр' + chr(39))} AS is_variant, coalesce(g.forms, '') AS forms FROM w LEFT JOIN g ON g.x = lower(w.x)",
+    "m6_rules": _RULES + _RULE_ROWS,
+    "m17_rules_by_keys": _RULES + _RULE_ROWS,
+    "m14_one_word_rules": f"{_MEET}, {M._VT}, looked AS (SELECT *, coalesce(real_name, name) AS lookup FROM asked), {M.rules('looked')}{_RULE_ROWS}",
+    "m18_pick_best": f"{_RULES} SELECT roster_id, name, CASE WHEN NOT open THEN id1 END AS id, CASE WHEN open THEN 'multiple-matches' ELSE kind1 END AS match_type, CASE WHEN open THEN 0 ELSE q1 END AS quality, candidates FROM picked JOIN looked USING (roster_id, lookup)",
+    "m21_split_glued": f"{_ONE}, {M.SPLITS} SELECT roster_id, name, id, q, combined FROM splits",
+    "m19_possible_matches": f"{_ONE}, {M.SPLITS}, {M.POSSIBLE} SELECT roster_id, name, rank, id, quality, part FROM possible",
+    "m20_ambiguous": f"{_ONE}, {M.SPLITS}, {M.POSSIBLE}, {M.AMBIGUOUS} SELECT roster_id, name, candidates FROM ambiguous",
+    "m23_matches": f"{_MATCHED} SELECT chat_id, name, id, match_type, quality, reversed, coalesce(candidates, '') AS candidates FROM matched",
+    "m3_exact": f"{_MATCHED} SELECT chat_id, name, id, quality FROM matched WHERE match_type = 'exact-match'",
+    "m4_tag": f"{_MATCHED} SELECT chat_id, name, real_name, id, quality FROM matched WHERE match_type = 'real-name-tag'",
+    "m5_nickname": f"{_MATCHED} SELECT chat_id, name, id, db_name, quality FROM matched WHERE match_type = 'nickname-match'",
+    "m22_attendance_matches": f"{_AUTO} SELECT chat_id, name, id, match_type, quality, reversed, auto_matched, coalesce(candidates, '') AS candidates FROM assigned",
+    "m26_select_alternative": f"{_AUTO} SELECT chat_id, name, CASE WHEN c THEN split_part(split_part(candidates, ',', 1), ':', 1) ELSE id END AS id, c AS chosen, CASE WHEN c THEN CAST(split_part(split_part(candidates, ',', 1), ':', 2) AS INTEGER) ELSE quality END AS quality FROM (SELECT *, id IS NULL AND coalesce(candidates, '') <> '' AS c FROM assigned)",
+    "r1_report": f"{_INFO} SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY {_ORDER}) AS place, id, surname, firstname, nickname, found, match_type, contains(match_type, 'translit') AS is_translit, contains(match_type, 'reversed') AS is_reversed, contains(match_type, 'variant') AS is_variant, auto_matched OR contains(match_type, 'auto-match') AS is_auto, contains(match_type, 'real-name-tag') AS is_tag, contains(match_type, 'nickname') AS is_nickname, contains(match_type, 'split-name') AS is_split FROM (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY chat_id, person ORDER BY {_ORDER}) = 1)",
+    "r4_counts": f"{_INFO} SELECT chat_id, count(*) AS parsed, count(*) FILTER (NOT found) AS unrecognised, count(DISTINCT person) AS unique_people FROM lines GROUP BY 1",
+}
+
+_FORMS = lambda x: (x, _latin(x), _cyrillic(x))
+_NEAREST = "greatest(" + ", ".join(_similarity(a, b) for a in ("n0", "n1", "n2") for b in ("f0", "f1", "f2")) + ")"
+
+
+def _best(asked: str, used: str, name: str) -> str:
+    """M25 of a table (chat_id, roster_id, name): (chat_id, name, rank, id, full_name, s); glued names have their splits if there are any."""
+    n, f = _FORMS("name"), _FORMS("full_name")
+    return f"""{name}_n AS (
+  SELECT DISTINCT roster_id, name, {n[0]} AS n0, {n[1]} AS n1, {n[2]} AS n2, regexp_matches(name, '{M.ONE_WORD}') AND length(name) >= 6 AS glues FROM {asked}
+), {name}_f AS (
+  SELECT *, {f[0]} AS f0, {f[1]} AS f1, {f[2]} AS f2 FROM idx
+), {name}_s AS (
+  SELECT n.roster_id, n.name, s.id, s.full_name, s.pos, s.q AS s FROM {name}_n n JOIN splits s USING (roster_id, name) WHERE glues AND s.q >= 0.7
+), {name}_p AS (
+  SELECT * FROM {name}_s UNION ALL
+  SELECT roster_id, name, id, full_name, pos, {_NEAREST} AS s FROM (SELECT * FROM {name}_n ANTI JOIN {name}_s USING (roster_id, name)) JOIN {name}_f USING (roster_id) WHERE {_NEAREST} > 0.3
+), {name} AS (
+  SELECT a.chat_id, a.name, p.id, p.full_name, p.s, row_number() OVER (PARTITION BY a.chat_id, a.name ORDER BY p.s DESC, p.pos) AS rank
+  FROM {asked} a JOIN {name}_p p USING (roster_id, name) WHERE NOT EXISTS (SELECT 1 FROM {used} u WHERE u.chat_id = a.chat_id AND u.id = p.id) QUALIFY rank <= 3
+)"""
+
+
+_REVIEW = f"""{_INFO}, unmatched AS (
+  SELECT * FROM assigned WHERE id IS NULL
+), choices AS (
+  SELECT chat_id, name, unnest(range(len(c))) AS o, split_part(unnest(c), ':', 1) AS id, CAST(split_part(unnest(c), ':', 2) AS INTEGER) AS quality FROM (SELECT chat_id, name, string_split(candidates, ',') AS c FROM unmatched WHERE candidates <> '')
+), undecided AS (
+  SELECT chat_id, name FROM unmatched WHERE match_type IN ('ambiguous-name', 'multiple-matches', 'split-name-match') AND candidates IS NOT NULL
+), rest_names AS (
+  SELECT * FROM unmatched ANTI JOIN undecided USING (chat_id, name)
+), second_words AS (
+  SELECT *, split_part(db_lower, ' ', 2) AS second, count(*) OVER (PARTITION BY roster_id, split_part(db_lower, ' ', 2)) AS n FROM folk
+), by_firstname AS (
+  SELECT r.chat_id, r.name, w.pos AS o, w.id, CASE WHEN n = 1 THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS s FROM rest_names r JOIN second_words w ON w.roster_id = r.roster_id AND w.second = lower(r.name) WHERE NOT contains(r.name, ' ')
+), last_names AS (
+  SELECT chat_id, roster_id, name FROM rest_names ANTI JOIN by_firstname USING (chat_id, name)
+), {_best("last_names", "(SELECT chat_id, id FROM assigned WHERE id IS NOT NULL)", "closest")}, recommended AS (
+  SELECT chat_id, name, id, s, row_number() OVER (PARTITION BY chat_id, name ORDER BY o, id) AS rank FROM (
+    SELECT chat_id, name, o, id, quality / 100.0::DOUBLE AS s FROM choices SEMI JOIN undecided USING (chat_id, name) WHERE quality >= 50
+    UNION ALL SELECT * FROM by_firstname UNION ALL SELECT chat_id, name, rank, id, s FROM closest WHERE s >= 0.6)
+), reviewed AS (
+  SELECT chat_id, name, id, quality, row_number() OVER (PARTITION BY chat_id, name ORDER BY quality DESC, step, o) AS rank FROM (
+    SELECT * FROM (SELECT chat_id, name, 0 AS step, o, id, quality FROM choices UNION ALL SELECT chat_id, name, 1, rank, id, CAST(floor(s * 100 + 0.5) AS INTEGER) FROM recommended)
+    QUALIFY row_number() OVER (PARTITION BY chat_id, name, id ORDER BY step, o) = 1)
+)"""
+_FEWER = _AUTO.replace("roster AS (", "roster_before AS (", 1).replace(f"{_SPEAKERS}", f"roster AS (SELECT * FROM roster_before WHERE NOT (CAST(roster_id AS INTEGER) % 5 = 0 AND pos % 2 = 0)), {_SPEAKERS}", 1)
+
+SQL |= {
+    "m24_recommend": f"{_REVIEW} SELECT chat_id, name, rank, id, s AS similarity FROM recommended",
+    "m27_review": f"{_REVIEW} SELECT chat_id, name, rank, id, quality FROM reviewed",
+    "r6_alternatives": f"{_REVIEW} SELECT l.chat_id, l.nickname, l.found, NOT l.found AND EXISTS (SELECT 1 FROM reviewed r WHERE r.chat_id = l.chat_id AND r.name = l.nickname) AS has_alternatives FROM lines l",
+    "m28_rematch": f"{_FEWER} SELECT chat_id, name, id, match_type FROM assigned",
+    "m25_best_matches": f"WITH {_ROSTER}, {_SPEAKERS}, {_INDEX}, cut_names AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS chat_id, roster_id, substring(shown, 2, length(shown) - 2) AS name FROM speakers), splits AS (SELECT roster_id, '' AS name, id, full_name, pos, 0.0::DOUBLE AS q FROM idx WHERE false), {_best('cut_names', '(SELECT DISTINCT CAST(s.conv_id AS VARCHAR) AS chat_id, i.id FROM speakers s JOIN idx i ON i.roster_id = s.roster_id AND i.full_name = s.shown)', 'closest')} SELECT chat_id, name, rank, id, s AS similarity FROM closest",
+    "s11_roster_list": f"{_W}, l AS (SELECT roster_id, pos, pos % 3 <> 0 AS given, CASE WHEN pos % 3 = 0 THEN pos + 1 ELSE pos + 2 END AS claim, surname || ' ' || firstname || CASE WHEN pos % 3 = 0 THEN ' №' ELSE ' x' END || id AS full_name FROM roster), o AS (SELECT *, row_number() OVER (PARTITION BY roster_id, claim ORDER BY pos) = 1 AS first FROM l) SELECT roster_id, pos, full_name, CAST(claim AS VARCHAR) || CASE WHEN first THEN '' ELSE '_1' END AS id FROM o WHERE first OR NOT given",
+    "s17_attendance_json": f"{_CHAT}, j AS (SELECT p.*, idx.id AS found_id, real.real_name, CASE WHEN p.name LIKE '%(%' THEN 1 ELSE 0 END AS ord FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, first_seq, ord, coalesce(found_id, '?') AS id, CASE WHEN found_id IS NOT NULL THEN name ELSE real_name END AS n, name, found_id IS NOT NULL AS found, CASE WHEN found_id IS NOT NULL THEN 'exact-match' WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS kind FROM j) SELECT chat_id, count(*) AS total, CAST(to_json({{'version': '3.0', 'date': '2024-01-01', 'totalParticipants': count(*), 'participants': list({{'id': id, 'surname': coalesce(split_part(n, ' ', 1), ''), 'firstname': coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), ''), 'nickname': name, 'inDatabase': found, 'matchType': kind}} ORDER BY first_seq, ord)}}) AS VARCHAR) AS value FROM i GROUP BY 1",
 }
