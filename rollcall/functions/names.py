@@ -28,11 +28,6 @@ RUSSIAN = {"ы": "и", "э": "е", "ё": "йо", "ъ": "", "ьи": "ьі"}
 
 CYRILLIC = "[а-яА-ЯіІїЇєЄґҐ]"
 ONE_WORD = r"\A[A-Za-zА-Яа-яІіЇїЄєҐґ']+\z"
-#: A short dictionary to start from; real ones are tables (variant, standard_form).
-SEED_VARIANTS = {
-    "саша": "олександр", "сашко": "олександр", "sasha": "олександр", "оля": "ольга", "olya": "ольга", "коля": "микола", "nick": "микола", "ваня": "іван", "катя": "катерина",
-    "таня": "тетяна", "міша": "михайло", "людмила": "людмила", "люда": "людмила", "женя": "євген", "сергій": "сергій", "сірожа": "сергій",
-}
 
 
 def _title(x: str) -> str:

@@ -159,4 +159,4 @@ def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: D
     ids = changed.select("roster_id").distinct()
     again, people_of = people.join(ids, "roster_id", "left_semi"), roster.join(ids, "roster_id", "left_semi")
     fresh = auto_match(settle(match_names(again, aliases, people_of, variants, overrides, mode)), people_of, variants)
-    return matches.join(ids, "roster_id", "left_anti").unionByName(fresh)
+    return matches.join(ids, "roster_id", "left_anti").select(matches.columns).unionByName(fresh)

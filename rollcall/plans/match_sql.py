@@ -15,7 +15,7 @@ GROUPS = "shch щ, sch щ, zh ж, ch ч, kh х, sh ш, ts ц, ya я, ye є, yu 
 SINGLES = ("abvhgdejzyiklmnoprstufxc", "абвгґдежзиіклмнопрстуфхц")
 FIXES = "йа я, йе є, йу ю, йі ї, зг зґ"
 #: The dictionary of the registered queries.
-VARIANTS = "саша олександр, сашко олександр, sasha олександр, оля ольга, olya ольга, коля микола, nick микола, ваня іван, катя катерина, таня тетяна, міша михайло, людмила людмила, люда людмила, женя євген, сергій сергій, сірожа сергій"
+VARIANTS = "ваня іван, саша олександр, оля ольга, люда людмила, коля микола, катя катерина, таня тетяна, міша михайло, женя євген"
 
 
 def _pairs(text: str) -> list[tuple[str, str]]:

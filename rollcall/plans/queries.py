@@ -22,11 +22,8 @@ from .queries_sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: The dictionary of these queries; SQL has its own copy.
-VARIANTS = {
-    "саша": "олександр", "сашко": "олександр", "sasha": "олександр", "оля": "ольга", "olya": "ольга", "коля": "микола", "nick": "микола", "ваня": "іван", "катя": "катерина",
-    "таня": "тетяна", "міша": "михайло", "людмила": "людмила", "люда": "людмила", "женя": "євген", "сергій": "сергій", "сірожа": "сергій",
-}
+#: The dictionary of these queries: the fixtures' own short names. SQL writes it out.
+VARIANTS = {short.lower(): name.lower() for short, name in zip(fixtures.SHORT, fixtures.FIRSTNAMES, strict=True) if short != name}
 
 
 def query(f: Query) -> Query:

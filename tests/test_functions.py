@@ -10,6 +10,7 @@ from rollcall.sources import rosters as R
 from rollcall.sources import screen
 
 L = F.lit
+VARIANTS = {"саша": "олександр", "сашко": "олександр", "оля": "ольга", "olya": "ольга", "ваня": "іван", "катя": "катерина"}
 
 
 def value(spark, c):
@@ -25,8 +26,8 @@ def value(spark, c):
         (lambda: N.to_latin(L("Ольга")), "Olьha"), (lambda: N.to_latin(L("Сергій")), "Serhiy"), (lambda: N.to_latin(L("ЩУКА Юля")), "ShchUKA Yulya"), (lambda: N.to_cyrillic(L("Shcherba")), "Щерба"), (lambda: N.to_cyrillic(L("olhabondar")), "олгабондар"),
         (lambda: N.latin_variants(L("сергій")), ["serhiy", "sierhiy", "sergiy", "serhyy", "serhyiy"]), (lambda: N.latin_variants(L("")), []), (lambda: N.russian_to_ukrainian(L("рыбьи")), "рибьі"), (lambda: N.lcs_length(L("abcbdab"), L("bdcaba")), 4),
         (lambda: N.order_similarity(L("шевченко"), L("шевчинко")), 0.875), (lambda: N.breakpoint_quality(L("іванпетренко"), L("петренко"), L("іван"))["quality"], 0.80), (lambda: N.breakpoint_quality(L("іванпетренко"), L("петренко"), L("іван"))["type"], "reversed"),
-        (lambda: N.breakpoint_quality(L("xyz"), L("петренко"), L("іван"))["quality"], 0.0), (lambda: N.standard_form(L("Саша"), N.SEED_VARIANTS), "олександр"), (lambda: N.is_variant_of(L("Саша"), L("Олександр"), N.SEED_VARIANTS), True),
-        (lambda: N.is_variant_of(L("олександр"), L("саша"), N.SEED_VARIANTS), False), (lambda: N.starts_with_prefix(L("Іван"), L("ів")), True), (lambda: N.starts_with_prefix(L("Іван"), L("")), False), (lambda: N.translit_match(L("Serhiy"), L("Сергій"), 0.75), True),
+        (lambda: N.breakpoint_quality(L("xyz"), L("петренко"), L("іван"))["quality"], 0.0), (lambda: N.standard_form(L("Саша"), VARIANTS), "олександр"), (lambda: N.is_variant_of(L("Саша"), L("Олександр"), VARIANTS), True),
+        (lambda: N.is_variant_of(L("олександр"), L("саша"), VARIANTS), False), (lambda: N.starts_with_prefix(L("Іван"), L("ів")), True), (lambda: N.starts_with_prefix(L("Іван"), L("")), False), (lambda: N.translit_match(L("Serhiy"), L("Сергій"), 0.75), True),
         (lambda: N.split_name(L(" Шевченко  Тарас Іванович "))["firstname"], "Тарас Іванович"), (lambda: N.split_name(L("Шевченко Тарас Іванович"))["rev_surname"], "Іванович"), (lambda: N.split_name(L("Тарас"))["word"], "Тарас"),
         (lambda: chat.split_display_name(L("Bob (Роберт Коваль)"))["name"], "Роберт Коваль"), (lambda: chat.split_display_name(L("Bob (Роберт Коваль)"))["extra"], "Bob"), (lambda: chat.split_display_name(L("Іван (ІТ)"))["name"], "Іван"),
         (lambda: chat.split_display_name(L("Іван [гр. 2]"))["extra"], "гр. 2"), (lambda: chat.split_display_name(L("Іван [гр. 2]"))["name"], "Іван"), (lambda: chat.real_name_tag(L("hi RNM: Шевченко Тарас\n")), "Шевченко Тарас"), (lambda: chat.real_name_tag(L("rnm:  ")), None),
@@ -113,3 +114,16 @@ def test_stream(spark, tmp_path):
     q = stream_messages(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert [(r.sender, r.body) for r in spark.table("seen").collect()] == [("A B", "x")]
+
+
+def test_limits_of_the_format_may_be_lifted(spark):
+    files = spark.createDataFrame([("r", "\n".join(f"Name{chr(97 + i % 26)} X{i}" for i in range(30)))], "roster_id string, content string")
+    assert R.roster_list(files, limit=10).count() == 10 and R.roster_list(files, limit=None).count() == 30
+    some, every = value(spark, N.latin_variants(L("єжехцчєжехцч"))), value(spark, N.latin_variants(L("єжехцчєжехцч"), None))
+    assert len(some) == 10 and every[:10] == some and len(every) == len(set(every)) > 15
+
+
+def test_json_without_people_gives_none(spark):
+    texts = ['{"version":"3.0","entries":null}', '{"entries":{}}', '{"database":"x"}', '{"version":"1"}', "not json", '{"Петренко Іван":"7"}']
+    files = spark.createDataFrame(list(enumerate(texts)), "roster_id int, content string")
+    assert [(r.roster_id, r.surname, r.firstname, r.id) for r in R.roster_json(files).collect()] == [(5, "Петренко", "Іван", "7")]

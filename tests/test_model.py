@@ -4,14 +4,20 @@ import random
 
 import pytest
 
-from rollcall.functions.names import CORRECTIONS, GROUPS, LATIN, LETTERS, SPELLINGS
+from rollcall.functions.names import lcs_length
 from rollcall.operators import assign, match
+from rollcall.plans.match_sql import FIXES, GROUPS as GROUPED, LATIN, OTHERS, SINGLES
 from rollcall.plans import fixtures
 from rollcall.plans.queries import m25_best_matches
 
 VARIANTS = {"саша": "олександр", "оля": "ольга", "olya": "ольга", "ваня": "іван", "міша": "михайло"}
 
 
+# The tables of the SQL, which are written apart from those of the library.
+GROUPS, CORRECTIONS = dict(x.split() for x in GROUPED.split(", ")), dict(x.split() for x in FIXES.split(", "))
+LETTERS, SPELLINGS = SINGLES, {x.split()[0]: x.split()[1:] for x in OTHERS.split("; ")}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -157,6 +163,38 @@ def test_assignment_goes_in_order(spark):
     assert got["b", "Ольга"] == ("2", True) and got["b", "ольга"] == (None, False)
 
 
+def test_rematching_an_unchanged_roster_changes_nothing(spark):
+    from rollcall.plans.attendance import attendance
+
+    roster = spark.createDataFrame([("r", k, str(k), s, f, []) for k, (s, f) in enumerate([("Петренко", "Ольга"), ("Мельник", "Ольга"), ("Шевченко", "Тарас"), ("Бондар", "Іван")])], "roster_id string, pos int, id string, surname string, firstname string, nicknames array<string>")
+    said = lambda *names: "\n".join(f"10:00:{i:02d} From {n} to Everyone: +" for i, n in enumerate(names))
+    chats = spark.createDataFrame([("a", "r", said("Петренко Ольга", "Ольга", "tarasshevchenko")), ("b", "q", said("Бондар"))], "chat_id string, roster_id string, text string")
+    a = attendance(chats, roster, VARIANTS)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    again = match.rematch(a.matches, a.people, a.aliases, roster, roster.select("roster_id").distinct(), VARIANTS)
+    assert plain(again) == plain(a.matches) and sum(r.auto_matched for r in a.matches.collect()) == 2
+    fewer = roster.filter("id <> '1'")
+    got = {r.name: r.match_type for r in match.rematch(a.matches, a.people, a.aliases, fewer, roster.select("roster_id").distinct(), VARIANTS).collect() if r.chat_id == "a"}
+    assert got["Ольга"] == "single-word-firstname-match" and got["tarasshevchenko"] == "split-name-match"
+
+
+def test_common_subsequences(spark):
+    """Short sides as bits, long ones as arrays, against the usual table."""
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("абвгд😀e") for _ in range(n))
+    pairs = [(text(rng.randint(0, 12)), text(rng.randint(0, 12))) for _ in range(150)] + [(text(n), text(m)) for n, m in ((60, 60), (59, 90), (61, 70), (80, 75), (0, 5), (5, 0))] + [(None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lcs_length("a", "b").alias("n")).collect()
+    assert [(r.a, r.b, r.n) for r in got] == [(a, b, None if a is None else brute(a, b)) for a, b in pairs]
+
+
 def test_best_matches_equal_model(spark, sf_dir):
     people, spoken = {}, fixtures.speakers(spark, sf_dir).collect()
     for r in sorted(fixtures.rosters(spark, sf_dir).collect(), key=lambda r: r.pos):
