@@ -318,7 +318,8 @@ def d7_next_id(spark, sf_dir):
 @query
 def d8_add_entries(spark, sf_dir):
     r = fixtures.rosters(spark, sf_dir)
-    new = r.filter("pos < 4").select("roster_id", F.col("pos").alias("ord"), F.when(F.col("pos") == 1, "x1").alias("id"), F.when(F.col("pos") < 3, F.concat(F.lit(" Нова"), "surname")).otherwise(" ").alias("surname"), "firstname", F.array(F.lit(" "), F.lit("n1 ")).alias("nicknames"))
+    kind = F.col("pos") % 4  # of four new people one brings an id, and one has no surname
+    new = r.select("roster_id", F.col("pos").alias("ord"), F.when(kind == 1, F.concat(F.lit("x"), "id")).alias("id"), F.when(kind < 3, F.concat(F.lit(" Нова"), "surname")).otherwise(" ").alias("surname"), "firstname", F.array(F.lit(" "), F.lit("n1 ")).alias("nicknames"))
     return roster.add_entries(r, new).select("roster_id", F.col("pos").cast("long").alias("pos"), "id", "surname", F.array_join("nicknames", ",").alias("nicknames"))
 
 

@@ -106,7 +106,7 @@ SQL: dict[str, str] = {
     "d5_search": f"{_W} SELECT roster_id, id, surname FROM roster WHERE contains(lower(surname), 'енк') OR contains(lower(firstname), 'енк')",
     "d6_ranked_search": f"{_W}, {_INDEX}, q AS (SELECT DISTINCT roster_id, unnest(['ко', 'іван']) AS query FROM roster), f AS (SELECT q.roster_id, query, full_name, id, pos, {_similarity('full_name', 'query')} AS s FROM q JOIN idx USING (roster_id) WHERE contains(lower(full_name), query)) SELECT roster_id, query, full_name, id, row_number() OVER (PARTITION BY roster_id, query ORDER BY s DESC, pos) AS rank FROM f",
     "d7_next_id": f"{_W} SELECT roster_id, CAST(max(custkey) + 1 AS VARCHAR) AS next_id FROM roster GROUP BY 1",
-    "d8_add_entries": f"{_W}, e AS (SELECT roster_id, max(pos) AS last, max(custkey) AS top FROM roster GROUP BY 1) SELECT roster_id, pos, id, surname, array_to_string(nicknames, ',') AS nicknames FROM roster UNION ALL SELECT r.roster_id, last + 1 + r.pos, CASE WHEN r.pos = 1 THEN 'x1' WHEN r.pos = 0 THEN CAST(top + 1 AS VARCHAR) ELSE CAST(top + 2 AS VARCHAR) END, 'Нова' || surname, 'n1' FROM roster r JOIN e USING (roster_id) WHERE r.pos < 3",
+    "d8_add_entries": f"{_W}, e AS (SELECT roster_id, max(pos) AS last, max(custkey) AS top FROM roster GROUP BY 1), n AS (SELECT r.roster_id, r.pos, r.id, r.surname, last, top, row_number() OVER w AS nth, count(*) FILTER (r.pos % 4 <> 1) OVER w AS missing FROM roster r JOIN e USING (roster_id) WHERE r.pos % 4 < 3 WINDOW w AS (PARTITION BY r.roster_id ORDER BY r.pos)) SELECT roster_id, pos, id, surname, array_to_string(nicknames, ',') AS nicknames FROM roster UNION ALL SELECT roster_id, last + nth, CASE WHEN pos % 4 = 1 THEN 'x' || id ELSE CAST(top + missing AS VARCHAR) END, 'Нова' || surname, 'n1' FROM n",
     "d9_update_entries": f"{_W} SELECT roster_id, id, CASE WHEN pos % 3 = 0 THEN 'А' || surname ELSE surname END AS surname, CASE WHEN pos % 3 = 0 THEN 'Нове' ELSE firstname END AS firstname FROM roster",
     "d10_delete_entries": f"{_W} SELECT roster_id, id FROM roster WHERE pos % 4 <> 1",
     "d11_attach_nicknames": f"{_W} SELECT roster_id, id, CASE WHEN len(nicknames) > 0 THEN nicknames[1] || ',n4' ELSE 'n2,n4' END AS nicknames FROM roster",
