@@ -35,14 +35,19 @@ def levenshtein(a: Column | str, b: Column | str) -> Column:
     return F.levenshtein(col(a), col(b))
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """1 less the share of edits of the longer text, without regard to case; 0 if either is empty or null."""
-    x, y = F.lower(col(a)), F.lower(col(b))
+def likeness(x: Column | str, y: Column | str) -> Column:
+    """N2 of texts in lower case: 1 less the share of edits of the longer text; 0 if either is empty or null."""
+    x, y = col(x), col(y)
     longest = F.greatest(F.length(x), F.length(y))
     value = F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).when(x == y, 1.0).otherwise(1 - F.levenshtein(x, y) / longest)
     return F.coalesce(value, F.lit(0.0))
 
 
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """1 less the share of edits of the longer text, without regard to case; 0 if either is empty or null."""
+    return likeness(F.lower(col(a)), F.lower(col(b)))
+
+
 def near_lengths(a: Column, b: Column, threshold: float) -> Column:
     """Whether the lengths allow a similarity of ``threshold``: cheaper than counting edits, and never wrong."""
     x, y = F.length(a), F.length(b)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ONE_WORD, in_order, is_variant_of, lcs_length, order_ratio, place_in, possible_forms, standard_form, to_cyrillic
-from ..functions.text import similarity, words
+from ..functions.text import likeness, words
 from ..storage import settle
 from .roster import name_index
 
@@ -51,8 +51,8 @@ def split_glued(keys: DataFrame, roster: DataFrame, min_suffix: int = 1) -> Data
     inside = F.col("whole_surname") & F.col("whole_firstname")
     broken = in_order(F.col("at_surname"), F.col("n_surname"), F.col("at_firstname"), F.col("n_firstname"))
     glue = lambda *p: F.regexp_replace(F.concat(*p), r"[\p{IsWhite_Space}]+", "")
-    ahead = F.when(inside, similarity("form", glue("surname", "firstname")))
-    behind = F.when(inside, similarity("form", glue("firstname", "surname")))
+    ahead = F.when(inside, likeness("form", glue("surname", "firstname")))
+    behind = F.when(inside, likeness("form", glue("firstname", "surname")))
     pairs = pairs.filter(inside | (broken["quality"] > 0.7)).withColumns({"ahead": ahead, "behind": behind, "broken": broken})
     rows = names.join(pairs, ["roster_id", "form"])
     item = lambda q, order, kind: F.struct(q.alias("q"), (-order).alias("o"), kind.alias("combined"))
@@ -125,7 +125,7 @@ def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> D
     names = one.select("roster_id", "k", F.explode(spellings(variants, False)).alias("v"))
     people = _people(roster).filter("first is not null")
     firsts = people.groupBy("roster_id", "first").agg(F.count_distinct(F.get("parts", F.lit(0))).alias("surnames"), F.count("*").alias("rows"))
-    hit = (F.col("first") == F.col("v")) | is_variant_of("v", "first", variants) | (similarity("first", "v") > 0.95)
+    hit = (F.col("first") == F.col("v")) | is_variant_of("v", "first", variants) | (likeness("first", "v") > 0.95)
     shared = names.join(firsts, "roster_id").filter(hit & (F.col("rows") > 1) & (F.col("surnames") > 1)).select("k", F.lit(True).alias("shared")).distinct()
     possible = settle(possible_matches(one, roster, variants, splits))
     many = possible.groupBy("k").agg(F.count("*").alias("possible"))
