@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import ONE_WORD, in_order, is_variant_of, lcs_length, order_ratio, place_in, possible_forms, standard_form, to_cyrillic
 from ..functions.text import likeness, words
-from ..storage import settle
+from ..storage import settle, spread
 from .roster import name_index
 
 LATIN = "[a-zA-Z]"
@@ -28,7 +28,7 @@ def _within(forms: DataFrame, parts: DataFrame, part: str) -> DataFrame:
     ``n``, and whether it occurs as it is (``whole``).
     """
     at, size = place_in(F.col("form"), F.col(part))
-    found = forms.join(parts, "roster_id").select("roster_id", "form", part, at.alias(f"at_{part}"), size.alias(f"n_{part}"), F.contains("form", F.col(part)).alias(f"whole_{part}"))
+    found = spread(forms, "roster_id", "form").join(parts, "roster_id").select("roster_id", "form", part, at.alias(f"at_{part}"), size.alias(f"n_{part}"), F.contains("form", F.col(part)).alias(f"whole_{part}"))
     return found.filter(F.col(f"at_{part}").isNotNull() | F.col(f"whole_{part}"))
 
 
@@ -96,7 +96,7 @@ def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str
     part = people.select("roster_id", "pos", "id", "db_name", F.posexplode("parts").alias("at", "p"))
     short, long = F.least(F.length("v"), F.length("p")), F.greatest(F.length("v"), F.length("p"))
     near = (short >= 3) & (short * short > 0.85 * long * long) & ((F.substring("v", 1, 1) == F.substring("p", 1, 1)) | (short < 4))
-    words_ = rest.select("roster_id", "v").distinct().join(part.select("roster_id", "p").distinct(), "roster_id")
+    words_ = spread(rest.select("roster_id", "v").distinct(), "roster_id", "v").join(part.select("roster_id", "p").distinct(), "roster_id")
     words_ = words_.withColumn("variant", is_variant_of("v", "p", variants)).filter(F.col("variant") | near)
     words_ = words_.withColumn("s", F.when(~F.col("variant"), order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p")))).filter("variant or s > 0.85")
     pairs = rest.join(words_, ["roster_id", "v"]).join(part, ["roster_id", "p"])
@@ -126,7 +126,7 @@ def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> D
     people = _people(roster).filter("first is not null")
     firsts = people.groupBy("roster_id", "first").agg(F.count_distinct(F.get("parts", F.lit(0))).alias("surnames"), F.count("*").alias("rows"))
     hit = (F.col("first") == F.col("v")) | is_variant_of("v", "first", variants) | (likeness("first", "v") > 0.95)
-    shared = names.join(firsts, "roster_id").filter(hit & (F.col("rows") > 1) & (F.col("surnames") > 1)).select("k", F.lit(True).alias("shared")).distinct()
+    shared = spread(names, "roster_id", "v").join(firsts, "roster_id").filter(hit & (F.col("rows") > 1) & (F.col("surnames") > 1)).select("k", F.lit(True).alias("shared")).distinct()
     possible = settle(possible_matches(one, roster, variants, splits))
     many = possible.groupBy("k").agg(F.count("*").alias("possible"))
     rows = one.select("k").join(count, "k", "left").join(shared, "k", "left").join(many, "k", "left")

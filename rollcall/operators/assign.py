@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import settle, spread
 from . import ambiguity
 from .match import MATCH, distinct_keys
 from .roster import name_index
@@ -63,7 +63,7 @@ def auto_match(matches: DataFrame, roster: DataFrame, variants: dict[str, str])
         return pd.DataFrame(out, columns=["chat_id", "name", "new_id", "new_type", "new_quality", "new_name", "new_all"])
 
     schema = f"chat_id {dict(matches.dtypes)['chat_id']}, name string, new_id string, new_type string, new_quality int, new_name string, new_all {MATCH}"
-    hits = rows.groupBy("chat_id").applyInPandas(choose, schema)
+    hits = spread(rows, "chat_id").groupBy("chat_id").applyInPandas(choose, schema)
     joined = matches.join(hits, ["chat_id", "name"], "left")
     hit = F.col("new_id").isNotNull()
     new = {"id": F.col("new_id"), "match_type": F.col("new_type"), "quality": F.col("new_quality"), "db_name": F.col("new_name"), "all_matches": F.when(F.size("new_all") > 0, F.col("new_all")), "auto_matched": F.lit(True)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import has_cyrillic, latin_variants, split_name
 from ..functions.text import col, near_lengths
-from ..storage import settle
+from ..storage import settle, spread
 
 PARTS = ("word", "surname", "firstname", "rev_surname", "rev_firstname", "full")
 
@@ -82,7 +82,7 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float, mode: s
 
     In rosters of up to ``few`` strings (``mode='auto'``; in all with 'small', in none with 'large') all are compared, in others those with a common piece.
     """
-    left, right = _forms(left.filter("a <> ''").distinct(), "a", "left", "right"), _forms(right.filter("b <> ''").distinct(), "b", "right", "left").withColumnRenamed("s", "t")
+    left, right = spread(_forms(left.filter("a <> ''").distinct(), "a", "left", "right"), "roster_id", "s"), _forms(right.filter("b <> ''").distinct(), "b", "right", "left").withColumnRenamed("s", "t")
     test = alike(F.col("s"), F.col("t"), threshold)
     found = []
     large = right.groupBy("roster_id").agg(F.count_distinct("b").alias("n")).filter(F.col("n") > few).select("roster_id") if mode == "auto" else None
@@ -115,4 +115,4 @@ def matching_pairs(names: DataFrame, people: DataFrame, mode: str = "auto") -> D
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    return every.distinct().join(names, ["roster_id", "k"]).join(people, ["roster_id", "pos"])
+    return spread(every.distinct(), "k", "pos").join(names, ["roster_id", "k"]).join(people, ["roster_id", "pos"])

@@ -65,7 +65,9 @@ def rule_pairs(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mod
     names = described(keys.select("roster_id", "k", "lookup"), F.col("lookup"), "n")
     names = settle(names.withColumn("forms", F.transform(possible_forms(F.col("n.word"), variants), lambda x: F.lower(x))))
     people = settle(described(name_index(roster), F.col("full_name"), "d", ("word", "surname", "firstname", "full")))
-    found = matching_pairs(names, people, mode).withColumn("r", rules(variants)).filter("r is not null")
+    # Exploded, so that the rules are evaluated once and not again for each of their results.
+    rule = F.explode(F.array(rules(variants))).alias("r")
+    found = matching_pairs(names, people, mode).select("roster_id", "k", "pos", "id", "full_name", rule).filter("r is not null")
     return found.select("roster_id", "k", "pos", "id", F.col("full_name").alias("db_name"), "r.match_type", "r.quality", "r.reversed")
 
 

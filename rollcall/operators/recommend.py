@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import to_cyrillic, to_latin
 from ..functions.text import likeness
+from ..storage import spread
 from . import ambiguity
 from .match import distinct_keys
 from .roster import name_index
@@ -26,7 +27,7 @@ def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limi
     people = name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"))
     a, b = plain.select("roster_id", "name", *spelled("name", "a")).distinct(), people.select("roster_id", "db_name", *spelled("db_name", "b")).distinct()
     best = F.greatest(*[F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), likeness(x, y)) for x in ("a0", "a1", "a2") for y in ("b0", "b1", "b2")])
-    close = a.join(b, "roster_id").select("roster_id", "name", "db_name", best.alias("similarity")).filter(F.col("similarity") > at_least)
+    close = spread(a, "roster_id", "name").join(b, "roster_id").select("roster_id", "name", "db_name", best.alias("similarity")).filter(F.col("similarity") > at_least)
     near = plain.select("roster_id", "k", "name").join(close, ["roster_id", "name"]).join(people, ["roster_id", "db_name"]).select("k", "pos", "id", "db_name", "similarity")
     rows = asked.join(splits.unionByName(near), "k").join(used.select("chat_id", "id").distinct(), ["chat_id", "id"], "left_anti")
     w = Window.partitionBy("chat_id", "name").orderBy(F.desc("similarity"), "pos")

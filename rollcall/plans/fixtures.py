@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 SURNAMES = ("Петренко", "Коваленко", "Мельник", "Шевченко", "Іваненко", "Бондар", "Ткачук", "Гончар", "Левченко", "Савчук", "Марченко", "Руденко", "Мороз", "Поліщук", "Кравець", "Лисенко")
 FIRSTNAMES = ("Іван", "Сергій", "Олександр", "Тарас", "Ольга", "Людмила", "Микола", "Катерина", "Тетяна", "Михайло", "Євген", "Дмитро")
 LATIN_SURNAMES = ("Petrenko", "Kovalenko", "Melnyk", "Shevchenko", "Ivanenko", "Bondar", "Tkachuk", "Honchar", "Levchenko", "Savchuk", "Marchenko", "Rudenko", "Moroz", "Polishchuk", "Kravets", "Lysenko")
@@ -40,7 +42,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = c.withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("c_nationkey")))
     sizes = numbered.groupBy("c_nationkey").agg(F.first("size").alias("size"))
     m = m.withColumn("c_nationkey", F.col("conv_id") % ROSTERS).join(sizes, "c_nationkey").withColumn("n", (F.col("conv_id") * 7 + F.col("turn") * 3) % F.col("size"))
-    return m.join(numbered.drop("size"), ["c_nationkey", "n"])
+    return spread(m.join(numbered.drop("size"), ["c_nationkey", "n"]), "conv_id")
 
 
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
