@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import settle, shared_dir
 
 
 #: Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
@@ -26,6 +27,46 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") ->
     return spark
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int, size: str = "16m") -> Iterator[None]:
+    """Arrow batches of few rows within the block, for tables whose rows are large; the session's settings come back afterwards."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def bucketed(df: DataFrame, buckets: int, key: str) -> tuple[str, DataFrame]:
+    """Write a table in buckets of a key to the shared folder: tables with the same buckets join without a shuffle. Its name, for :func:`dropped`."""
+    spark, name = df.sparkSession, f"rollcall_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return name, spark.table(name)
+
+
+def dropped(spark: SparkSession, name: str) -> None:
+    """Delete a table of :func:`bucketed` and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finite(v: Column) -> Column:
+    """Whether an array has components, none of them null or no finite number."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+
+
+def whole(v: Column, scale: int, most: int) -> Column:
+    """``floor(scale * component)`` of each; an error beyond ``most``, as results of such vectors needn't fit a long."""
+    x = F.transform(v, lambda c: F.floor(c * F.lit(float(scale))))
+    too_large = F.exists(v, lambda c: F.abs(c) * F.lit(float(scale)) >= F.lit(float(most)))
+    return F.when(too_large, F.raise_error(F.lit(f"a component times {scale} is beyond {most}"))).otherwise(x)
+
+
 def fold(id_col: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(k))

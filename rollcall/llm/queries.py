@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langcrf, mih, mincut, packing, pipeline, probminhash, puquality, quotes
+from . import bpe, flac, hardneg, heapmeans, langcrf, mih, mincut, packing, pipeline, probminhash, puquality, quotes, warczip
 from .common import bounded_batches, fold
 
 
@@ -62,6 +62,21 @@ def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op11_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heapmeans.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warczip.write_archives(warczip.records(_table(spark, sf_dir, "pages")))
+    return warczip.pages(warczip.read_records(archives))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op2_quote_links": op2_quote_links,
@@ -73,7 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mincut_html": op8_mincut_html,
     "op9_mih_neighbours": op9_mih_neighbours,
     "op10_probminhash_near_dedup": op10_probminhash_near_dedup,
+    "op11_heap_centroids": op11_heap_centroids,
+    "op12_multi_index_negatives": op12_multi_index_negatives,
+    "op13_warc_zip": op13_warc_zip,
     "pipeline": pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quote_links": quotes.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quote_links": quotes.SQL, "op11_heap_centroids": heapmeans.sql(), "op12_multi_index_negatives": hardneg.SQL, "op13_warc_zip": warczip.SQL}
