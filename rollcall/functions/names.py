@@ -196,10 +196,14 @@ def order_ratio(common: Column, x: Column, y: Column) -> Column:
     return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).when(x == y, 1.0).otherwise((common / n) * (m / n))
 
 
+def letters_only(c: Column | str) -> Column:
+    """The lower-case letters of both scripts that a text has."""
+    return F.regexp_replace(F.lower(col(c)), "[^a-zа-яіїєґ]", "")
+
+
 def place_in(glued: Column | str, part: Column | str) -> tuple[Column, Column]:
     """Where (from 1) the longest suffix of a part that occurs in the glued name begins, else null, and the part's length; of letters only."""
-    letters = lambda c: F.regexp_replace(F.lower(col(c)), "[^a-zа-яіїєґ]", "")
-    g, p = letters(glued), letters(part)
+    g, p = letters_only(glued), letters_only(part)
     found = F.filter(F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.instr(g, F.substring(p, i, F.length(p)))), lambda at: at > 0)
     return F.when(F.length(p) > 0, F.get(found, F.lit(0))), F.length(p)
 

@@ -48,10 +48,10 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return likeness(F.lower(col(a)), F.lower(col(b)))
 
 
-def near_lengths(a: Column, b: Column, threshold: float) -> Column:
+def near_lengths(a: Column, b: Column, threshold: float | Column) -> Column:
     """Whether the lengths allow a similarity of ``threshold``: cheaper than counting edits, and never wrong."""
     x, y = F.length(a), F.length(b)
-    return F.least(x, y) >= F.lit(threshold - 1e-9) * F.greatest(x, y)
+    return F.least(x, y) >= (F.lit(threshold) - F.lit(1e-9)) * F.greatest(x, y)
 
 
 def fuzzy_match(a: Column | str, b: Column | str, threshold: float = 0.3) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import ONE_WORD, in_order, is_variant_of, lcs_length, order_ratio, place_in, possible_forms, standard_form, to_cyrillic
+from ..functions.names import ONE_WORD, in_order, lcs_length, letters_only, order_ratio, possible_forms, russian_to_ukrainian, standard_form, to_cyrillic
 from ..functions.text import likeness, words
 from ..storage import settle, spread
+from .candidates import alike_strings
 from .roster import name_index
 
 LATIN = "[a-zA-Z]"
@@ -23,30 +26,64 @@ def _people(roster: DataFrame) -> DataFrame:
     return name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"), F.lower("full_name").alias("db_lower"), parts.alias("parts"), F.get(parts, F.lit(1)).alias("first"))
 
 
-def _within(forms: DataFrame, parts: DataFrame, part: str) -> DataFrame:
-    """Where each distinct part of a roster's names begins in each form: ``at`` (of its longest suffix that occurs, letters only), its length
-    ``n``, and whether it occurs as it is (``whole``).
+def substrings(c: Column | str, most: Column) -> Column:
+    """The distinct substrings of up to ``most`` characters."""
+    x = F.col(c) if isinstance(c, str) else c
+    n = F.length(x)
+    of_size = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(x, i, size))
+    sizes = F.least(n, most)
+    return F.when(sizes > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), sizes), of_size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _suffixes(parts: DataFrame) -> DataFrame:
+    """(roster_id, side, part, n, suffix, longer): every suffix of a part's letters, with the next longer one (null: it is the whole part); those of fewer than ``least`` letters are left out."""
+    last = F.col("n") - F.greatest("least", F.lit(1)) + 1
+    each = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.substring(F.col("p"), i, F.col("n")).alias("suffix"), F.when(i > 1, F.substring(F.col("p"), i - 1, F.col("n"))).alias("longer")))
+    return parts.filter(last > 0).select("roster_id", "side", "part", "n", F.explode(each).alias("e")).select("roster_id", "side", "part", "n", "e.suffix", "e.longer")
+
+
+def _within(forms: DataFrame, parts: DataFrame) -> DataFrame:
+    """(roster_id, form, side, part, at, n, whole): where each distinct part of a roster's names (roster_id, side, part, least) begins in each form (roster_id, form,
+    g): the place of its longest suffix that occurs, the part's length (letters only), and whether it occurs as it is.
+
+    The form's substrings meet the suffixes of the parts by equality. Parts that leave the form at the same letter are one edge, so that
+    the longest suffix is found once for all of them, and parts are only listed where they belong to the result.
     """
-    at, size = place_in(F.col("form"), F.col(part))
-    found = spread(forms, "roster_id", "form").join(parts, "roster_id").select("roster_id", "form", part, at.alias(f"at_{part}"), size.alias(f"n_{part}"), F.contains("form", F.col(part)).alias(f"whole_{part}"))
-    return found.filter(F.col(f"at_{part}").isNotNull() | F.col(f"whole_{part}"))
+    parts = parts.withColumn("p", letters_only("part")).withColumn("n", F.length("p"))
+    rows = _suffixes(parts).withColumn("edge", F.coalesce("longer", F.concat(F.lit("^"), "suffix")))
+    most = parts.groupBy("roster_id").agg(F.max("n").alias("most"), F.max(F.when(F.col("n") == 0, F.length("part"))).alias("odd"))
+    sized = forms.join(most, "roster_id")
+    pieces = sized.select("roster_id", "form", "g", F.explode(substrings("g", F.col("most"))).alias("suffix"))
+    edges = rows.select("roster_id", "side", "suffix", "longer", "edge").distinct()
+    met = pieces.join(edges, ["roster_id", "suffix"]).filter(F.col("longer").isNull() | ~F.contains("g", F.coalesce("longer", "suffix")))
+    met = met.select("roster_id", "form", "side", "edge", F.instr(F.col("g"), F.col("suffix")).alias("at"), F.col("longer").isNull().alias("full"))
+    found = met.join(rows.select("roster_id", "side", "edge", "part", "n"), ["roster_id", "side", "edge"]).select("roster_id", "form", "side", "part", "at", "n", (F.col("full") & F.contains("form", F.col("part"))).alias("whole"))
+    # Parts without any of these letters occur as they are or not at all.
+    raw = sized.filter("odd is not null").select("roster_id", "form", F.explode(substrings("form", F.col("odd"))).alias("part"))
+    whole = raw.join(parts.filter("n = 0").select("roster_id", "side", "part"), ["roster_id", "part"]).select("roster_id", "form", "side", "part", F.lit(None).cast("int").alias("at"), F.lit(0).alias("n"), F.lit(True).alias("whole"))
+    return found.unionByName(whole)
 
 
 def split_glued(keys: DataFrame, roster: DataFrame, min_suffix: int = 1) -> DataFrame:
     """(k, pos, id, db_name, q, combined) of names without spaces (from 6 letters) that a surname and firstname run together make; best row of each id, keys have (roster_id, k, name).
 
-    Distinct forms are compared with distinct surnames and firstnames of their roster. Suffixes of one letter count, so that no key narrows these
-    pairs. ``min_suffix`` above 1 asks that as many last letters of the surname occur in the name, and loses only weaker pairs.
+    Suffixes of one letter count, so that a name may have many rows: they are the result, and no others are made. ``min_suffix`` above 1 asks that as
+    many last letters of the surname occur in the name, and loses only weaker pairs.
     """
     lower = F.lower("name")
     forms = F.when(F.col("name").rlike(LATIN), F.array_distinct(F.array(F.lower(to_cyrillic("name")), lower))).otherwise(F.array(lower))
     names = keys.filter(~F.contains("name", F.lit(" ")) & (F.length("name") >= 6)).select("roster_id", "k", F.posexplode(forms).alias("f", "form"))
-    people = _people(roster).filter(F.size("parts") >= 2).select("roster_id", "pos", "id", "db_name", F.get("parts", F.lit(0)).alias("surname"), F.array_join(F.slice("parts", 2, 1000), " ").alias("firstname"))
-    every = settle(names.select("roster_id", "form").distinct())
-    surnames = _within(every, people.select("roster_id", "surname").distinct(), "surname")
+    people = settle(_people(roster).filter(F.size("parts") >= 2).select("roster_id", "pos", "id", "db_name", F.get("parts", F.lit(0)).alias("surname"), F.array_join(F.slice("parts", F.lit(2), F.size("parts")), " ").alias("firstname")))
+    every = settle(spread(names.select("roster_id", "form").distinct().withColumn("g", letters_only("form")), "roster_id", "form"))
+    # Of surnames only suffixes from the last ``min_suffix`` characters on.
+    tail = F.length(letters_only(F.substring(F.col("surname"), -min_suffix, min_suffix))) if min_suffix > 1 else F.lit(1)
+    part = lambda c, least: F.struct(F.lit(c).alias("side"), F.col(c).alias("part"), least.alias("least"))
+    parts = people.select("roster_id", F.inline(F.array(part("surname", tail), part("firstname", F.lit(1))))).distinct()
+    found = settle(spread(_within(every, parts), "roster_id", "form", "side"))
+    of = lambda c: found.filter(F.col("side") == c).select("roster_id", "form", F.col("part").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("at", "n", "whole")])
+    surnames, firstnames = of("surname"), of("firstname")
     if min_suffix > 1:
         surnames = surnames.filter(F.contains("form", F.substring(F.col("surname"), -min_suffix, min_suffix)))
-    firstnames = _within(every, people.select("roster_id", "firstname").distinct(), "firstname")
     pairs = surnames.join(people, ["roster_id", "surname"]).join(firstnames, ["roster_id", "form", "firstname"])
     inside = F.col("whole_surname") & F.col("whole_firstname")
     broken = in_order(F.col("at_surname"), F.col("n_surname"), F.col("at_firstname"), F.col("n_firstname"))
@@ -61,10 +98,10 @@ def split_glued(keys: DataFrame, roster: DataFrame, min_suffix: int = 1) -> Data
         F.when(F.col("behind") > 0.8, item(F.col("behind"), F.col("f") * 3 + 1, F.lit("reversed"))),
         F.when(F.col("broken.quality") > 0.7, item(F.col("broken.quality"), F.col("f") * 3 + 2, F.col("broken.type"))),
     )
+    # The best option of each row, then of each id: both within one shuffle by (k, id).
     found = rows.withColumn("best", F.array_max(options)).filter("best is not null")
-    rows = found.groupBy("k", "pos", "id", "db_name").agg(F.max("best").alias("best")).select("k", "pos", "id", "db_name", F.col("best.q").alias("q"), "best.combined")
-    w = Window.partitionBy("k", "id").orderBy(F.desc("q"), "pos")
-    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    best = F.max(F.struct(F.col("best.q").alias("q"), (-F.col("pos")).alias("p"), F.col("best.o").alias("o"), F.col("best.combined").alias("combined"), "db_name")).alias("best")
+    return found.groupBy("k", "id").agg(best).select("k", (-F.col("best.p")).alias("pos"), "id", "best.db_name", F.col("best.q").alias("q"), "best.combined")
 
 
 def spellings(variants: dict[str, str], with_possible: bool) -> Column:
@@ -77,6 +114,26 @@ def spellings(variants: dict[str, str], with_possible: bool) -> Column:
     return F.array_distinct(F.when(F.col("name").rlike(LATIN), latin).otherwise(F.concat(F.array(lower), known)))
 
 
+def meanings(c: str, variants: dict[str, str]) -> Column:
+    """The lower-case words of which a word is a variant (:func:`is_variant_of`): itself, and its dictionary form, or that of its Ukrainian spelling."""
+    x = F.lower(F.col(c))
+    form, other = standard_form(x, variants), russian_to_ukrainian(x)
+    more = F.when(form != x, F.array(form)).when(other != x, F.array(standard_form(other, variants))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(F.concat(F.array(x), more)), lambda w: w != "")
+
+
+def _near_keys(c: str, asked: bool) -> Column:
+    """Keys (length of a roster's word, first letter) of words that may have an order similarity over 0.85: the squared ratio of their lengths is above that, so that
+    lengths are equal up to 12 letters; words of three letters may begin otherwise, but then only equal ones are so similar.
+    """
+    n = F.length(c)
+    low = F.floor(n * F.lit(0.85**0.5) + F.lit(1e-9)).cast("int")
+    high = F.ceil(n / F.lit(0.85**0.5) - F.lit(1e-9)).cast("int")
+    sizes = F.sequence(F.greatest(low, F.lit(3)), F.greatest(high, F.lit(3))) if asked else F.array(n)
+    keys = F.transform(sizes, lambda size: F.struct(size.alias("size"), F.substring(F.col(c), 1, 1).alias("letter")))
+    return F.when(n >= 3, keys).otherwise(F.array().cast("array<struct<size:int,letter:string>>"))
+
+
 def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str], splits: DataFrame | None = None) -> DataFrame:
     """(k, rank, id, db_name, quality, part): glued splits over 85 alone; else splits and exact names; else up to four similar ones."""
     splits = settle(split_glued(keys, roster)) if splits is None else splits
@@ -94,11 +151,12 @@ def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str
     # Variants and similar words, only for names without any of these; distinct words are compared.
     rest = settle(names.join(exact.select("k").distinct(), "k", "left_anti"))
     part = people.select("roster_id", "pos", "id", "db_name", F.posexplode("parts").alias("at", "p"))
-    short, long = F.least(F.length("v"), F.length("p")), F.greatest(F.length("v"), F.length("p"))
-    near = (short >= 3) & (short * short > 0.85 * long * long) & ((F.substring("v", 1, 1) == F.substring("p", 1, 1)) | (short < 4))
-    words_ = spread(rest.select("roster_id", "v").distinct(), "roster_id", "v").join(part.select("roster_id", "p").distinct(), "roster_id")
-    words_ = words_.withColumn("variant", is_variant_of("v", "p", variants)).filter(F.col("variant") | near)
-    words_ = words_.withColumn("s", F.when(~F.col("variant"), order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p")))).filter("variant or s > 0.85")
+    asked, parts = settle(rest.select("roster_id", "v").distinct()), settle(part.select("roster_id", "p").distinct())
+    variant = asked.select("roster_id", "v", F.explode(meanings("v", variants)).alias("p")).join(parts, ["roster_id", "p"]).select("roster_id", "v", "p", F.lit(True).alias("variant"), F.lit(None).cast("double").alias("s"))
+    # The measure asks for much the same length, and of words from 4 letters for the same first letter: a key that loses none.
+    near = asked.select("roster_id", "v", F.explode(_near_keys("v", True)).alias("near")).join(parts.select("roster_id", "p", F.explode(_near_keys("p", False)).alias("near")), ["roster_id", "near"])
+    similar = near.withColumn("s", order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p"))).filter("s > 0.85").join(variant.select("roster_id", "v", "p"), ["roster_id", "v", "p"], "left_anti")
+    words_ = variant.unionByName(similar.select("roster_id", "v", "p", F.lit(False).alias("variant"), "s"))
     pairs = rest.join(words_, ["roster_id", "v"]).join(part, ["roster_id", "p"])
     where = F.when(F.col("at") == 0, "surname").otherwise("firstname")
     same = pairs.filter("variant").select("k", "pos", "id", "db_name", F.lit(90).alias("quality"), F.concat(where, F.lit("-variant")).alias("part"))
@@ -117,20 +175,50 @@ def as_matches(possible: DataFrame) -> DataFrame:
     return possible.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["m"]).alias("all_matches"))
 
 
-def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> DataFrame:
-    """(k, all_matches) of one-word names that fit several rows; the candidates are those of M19."""
+@dataclass
+class Evidence:
+    """What is known of names (roster_id, name, k): glued splits (M21) and possible matches (M19), both by ``k``."""
+
+    keys: DataFrame
+    splits: DataFrame
+    possible: DataFrame
+
+    def extended(self, keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> Evidence:
+        """For other keys of the same roster: names that are known aren't looked up again."""
+        names = keys.select("roster_id", "name", "k")
+        unknown = settle(names.join(self.keys, ["roster_id", "name"], "left_anti"))
+        rest = None if unknown.isEmpty() else gather(unknown, roster, variants)
+        known = names.join(self.keys.select("roster_id", "name", F.col("k").alias("old")), ["roster_id", "name"]).select("k", "old")
+        again = lambda df: df.withColumnRenamed("k", "old").join(known, "old").select(df.columns)
+        splits, possible = again(self.splits), again(self.possible)
+        return Evidence(keys, splits, possible) if rest is None else Evidence(keys, splits.unionByName(rest.splits), possible.unionByName(rest.possible))
+
+
+def gather(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> Evidence:
+    """Splits and possible matches of keys (roster_id, name, k), each computed once and written."""
+    splits = settle(split_glued(keys, roster))
+    return Evidence(keys, splits, settle(possible_matches(keys, roster, variants, splits)))
+
+
+def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str], evidence: Evidence | None = None) -> DataFrame:
+    """(k, all_matches) of one-word names that fit several rows; the candidates are those of M19.
+
+    Firstnames are looked up by what a name may mean: itself, its dictionary form, and firstnames so close (0.95) that keys find them.
+    """
     one = keys.filter(is_one_word(F.col("name")))
-    splits = settle(split_glued(one, roster))
-    count = splits.groupBy("k").agg(F.count("*").alias("splits"), F.max("q").alias("q"))
-    names = one.select("roster_id", "k", F.explode(spellings(variants, False)).alias("v"))
+    evidence = evidence or gather(one, roster, variants)
+    count = evidence.splits.groupBy("k").agg(F.count("*").alias("splits"), F.max("q").alias("q"))
+    names = settle(one.select("roster_id", "k", F.explode(spellings(variants, False)).alias("v")))
     people = _people(roster).filter("first is not null")
     firsts = people.groupBy("roster_id", "first").agg(F.count_distinct(F.get("parts", F.lit(0))).alias("surnames"), F.count("*").alias("rows"))
-    hit = (F.col("first") == F.col("v")) | is_variant_of("v", "first", variants) | (likeness("first", "v") > 0.95)
-    shared = spread(names, "roster_id", "v").join(firsts, "roster_id").filter(hit & (F.col("rows") > 1) & (F.col("surnames") > 1)).select("k", F.lit(True).alias("shared")).distinct()
-    possible = settle(possible_matches(one, roster, variants, splits))
-    many = possible.groupBy("k").agg(F.count("*").alias("possible"))
+    firsts = settle(firsts.filter((F.col("rows") > 1) & (F.col("surnames") > 1)).select("roster_id", "first"))
+    meant = names.select("roster_id", "k", F.explode(meanings("v", variants)).alias("first")).join(firsts, ["roster_id", "first"], "left_semi").select("k")
+    close = alike_strings(names.select("roster_id", F.col("v").alias("s")), firsts.select("roster_id", F.col("first").alias("t")), 0.95).filter("similarity > 0.95")
+    close = names.join(close.select("roster_id", F.col("s").alias("v")), ["roster_id", "v"], "left_semi").select("k")
+    shared = meant.unionByName(close).distinct().withColumn("shared", F.lit(True))
+    many = evidence.possible.groupBy("k").agg(F.count("*").alias("possible"))
     rows = one.select("k").join(count, "k", "left").join(shared, "k", "left").join(many, "k", "left")
     clear = (F.col("splits") == 1) & (F.col("q") > 0.9)
     yes = F.when(clear, False).when(F.col("splits") > 1, True).when(F.col("shared"), True).otherwise(F.coalesce(F.col("possible") > 1, F.lit(False)))
-    rows = rows.filter(yes).select("k").join(as_matches(possible), "k", "left")
+    rows = rows.filter(yes).select("k").join(as_matches(evidence.possible), "k", "left")
     return rows.select("k", F.coalesce("all_matches", F.expr("cast(array() as array<struct<id:string,db_name:string,quality:int,match_type:string,reversed:boolean>>)")).alias("all_matches"))

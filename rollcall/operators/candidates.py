@@ -8,7 +8,7 @@ unchanged, so that a similar string holds that piece.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import has_cyrillic, latin_variants, split_name
@@ -60,6 +60,28 @@ def probes(c: Column | str, threshold: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), of_size)))
 
 
+def bag(c: Column | str) -> Column:
+    """The letters of a text as bits, in 21 classes: one bit for the first of a class, one for the second, one for all further ones. Rarer bits are the lower ones."""
+    x = col(c)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def add(acc: Column, letter: Column) -> Column:
+        first, second, more = (F.call_function("shiftleft", one, F.pmod(F.ascii(letter), F.lit(21)) + at) for at in (42, 21, 0))
+        return acc.bitwiseOR(F.when(acc.bitwiseAND(first) == 0, first).when(acc.bitwiseAND(second) == 0, second).otherwise(more))
+
+    return F.aggregate(F.filter(F.split(x, ""), lambda l: l != ""), zero, add)
+
+
+def shared(x: Column, y: Column, bx: Column, by: Column) -> Column:
+    """At most so many letters of one text are also in the other; an edit distance is at least what the longer one has besides."""
+    return F.bit_count(bx.bitwiseAND(by)) + F.least(F.length(x) - F.bit_count(bx), F.length(y) - F.bit_count(by))
+
+
+def may_be_alike(x: Column, y: Column, bx: Column, by: Column, threshold: float | Column) -> Column:
+    """Whether lengths and letters allow a similarity of ``threshold``: some operations on numbers, and never wrong."""
+    return near_lengths(x, y, threshold) & (shared(x, y, bx, by) >= F.lit(threshold) * F.greatest(F.length(x), F.length(y)) - F.lit(1e-9))
+
+
 def alike(x: Column, y: Column, threshold: float) -> Column:
     """Whether two lower-case texts have a similarity of ``threshold``; edits are counted only as far as that allows."""
     longest = F.greatest(F.length(x), F.length(y))
@@ -68,6 +90,89 @@ def alike(x: Column, y: Column, threshold: float) -> Column:
     return near_lengths(x, y, threshold) & ((x == y) | ((edits >= 0) & (1 - edits / longest >= threshold)))
 
 
+def rare_letters(x: Column, b: Column, threshold: float | Column) -> Column:
+    """The bits of a text (:func:`bag`) of which a similar text has one: so many, rarest first, that the others are too few for ``threshold``."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: b.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    besides = F.length(x) - F.bit_count(b)  # letters without a bit of their own
+    need = F.greatest(F.ceil(F.lit(threshold) * F.length(x) - F.lit(1e-9)).cast("int") - besides, F.lit(1))
+    return F.slice(held, F.lit(1), F.greatest(F.size(held) - need + 1, F.lit(1)))
+
+
+#: From this similarity on pieces of strings are long enough to be selective; below rare letters are.
+PIECES_FROM = 0.7
+
+
+def _by_keys(left: DataFrame, right: DataFrame, on: list[str], threshold: float, least: Column) -> DataFrame:
+    """Pairs of strings ``s`` (with bits ``bs``) and ``t`` (``bt``), equal in ``on``, with a common piece or a common rare letter; the same pair may come several times."""
+    if threshold >= PIECES_FROM:
+        probe = left.withColumn("piece", F.explode(probes("s", threshold)))
+        return probe.join(right.withColumn("piece", F.explode(segments("t", threshold))), [*on, "piece"]).drop("piece")
+    probe = left.withColumn("letter", F.explode(rare_letters(F.col("s"), F.col("bs"), least)))
+    both = F.col("bs").bitwiseAND(F.col("bt"))
+    met = probe.join(right.withColumn("letter", F.explode(rare_letters(F.col("t"), F.col("bt"), threshold))), [*on, "letter"])
+    # Each pair once: at the rarest letter that both have.
+    return met.filter(both.bitwiseAND(-both) == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("letter"))).drop("letter")
+
+
+def by_size(left: DataFrame, right: DataFrame, mode: str, few: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The strings to compare with all of their roster, and those to look for by keys: rosters of up to ``few`` strings ``t`` are small (``mode='auto'``); with 'small' all are, with 'large' none."""
+    if mode == "auto" and right.count() <= few:
+        mode = "small"
+    if mode != "auto":
+        return (left, None) if mode == "small" else (None, left)
+    large = settle(right.groupBy("roster_id").agg(F.count_distinct("t").alias("n")).filter(F.col("n") > few).select("roster_id"))
+    if large.isEmpty():
+        return left, None
+    return left.join(large, "roster_id", "left_anti"), left.join(large, "roster_id", "left_semi")
+
+
+def _paired(left: DataFrame, right: DataFrame, on: list[str], threshold: float, mode: str, few: int) -> DataFrame:
+    """Pairs that lengths and letters allow; ``left`` may have a column ``least``, a higher threshold of its own."""
+    # Spread and written, so that letters are made bits once a string and pairs are compared in many tasks.
+    left, right = spread(left.withColumn("bs", bag("s")), "roster_id", "s"), settle(right.withColumn("bt", bag("t")))
+    least = F.greatest(F.lit(threshold), "least") if "least" in left.columns else F.lit(threshold)
+    test = may_be_alike(F.col("s"), F.col("t"), F.col("bs"), F.col("bt"), least)
+    small, large = by_size(left, right, mode, few)
+    found = [] if small is None else [small.join(right, on).filter(test)]
+    if large is not None:
+        found.append(_by_keys(settle(large), right, on, threshold, least).filter(test))
+    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).drop("bs", "bt")
+
+
+def _measured(pairs: DataFrame, least: Column) -> DataFrame:
+    """(roster_id, s, t, similarity) of the pairs that are ``least`` alike."""
+    s, t = F.col("s"), F.col("t")
+    longest = F.greatest(F.length(s), F.length(t))
+    most = F.floor((1 - least) * longest + F.lit(1e-9)).cast("int")
+    rows = pairs.withColumn("edits", F.when(s == t, 0).otherwise(F.call_function("levenshtein", s, t, most)))
+    rows = rows.filter("edits >= 0").withColumn("similarity", F.when(F.col("edits") == 0, 1.0).otherwise(1 - F.col("edits") / longest))
+    return rows.filter(F.col("similarity") >= least).select("roster_id", "s", "t", "similarity")
+
+
+def alike_strings(left: DataFrame, right: DataFrame, threshold: float, mode: str = "auto", few: int = 2000) -> DataFrame:
+    """(roster_id, s, t, similarity) of distinct lower-case strings (roster_id, s) and (roster_id, t) that are ``threshold`` alike, or as much as ``least`` of ``left`` asks, if it has that column."""
+    least = F.greatest(F.lit(threshold), "least") if "least" in left.columns else F.lit(threshold)
+    left, right = left.filter("s <> ''"), right.filter("t <> ''").distinct()
+    left = left.groupBy("roster_id", "s").agg(F.min("least").alias("least")) if "least" in left.columns else left.distinct()
+    return _measured(_paired(left, right, ["roster_id"], threshold, mode, few), least).distinct()
+
+
+def best_bounds(left: DataFrame, right: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(roster_id, s, t, similarity): each string with at least ``n`` strings of its roster of which it may share most letters, if they are ``threshold`` alike.
+
+    Bounds are counted by hundredths, so that nothing is sorted; then only the pairs above the string's own level are measured.
+    """
+    left, right = settle(left.distinct().withColumn("bs", bag("s"))), settle(right.distinct().withColumn("bt", bag("t")))
+    bound = F.floor(shared(F.col("s"), F.col("t"), F.col("bs"), F.col("bt")) * 100 / F.greatest(F.length("s"), F.length("t"))).cast("int")
+    pairs = spread(left, "roster_id", "s").join(right, "roster_id").filter(may_be_alike(F.col("s"), F.col("t"), F.col("bs"), F.col("bt"), threshold)).withColumn("bound", bound)
+    counts = pairs.groupBy("roster_id", "s", "bound").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("roster_id", "s").orderBy(F.desc("bound")))
+    level = counts.withColumn("above", above).filter(F.col("above") - F.col("n") < n).groupBy("roster_id", "s").agg(F.min("bound").alias("level"))
+    own = settle(left.join(level, ["roster_id", "s"]))
+    pairs = spread(own, "roster_id", "s").join(right, "roster_id").filter(may_be_alike(F.col("s"), F.col("t"), F.col("bs"), F.col("bt"), F.greatest(F.col("level") / 100, F.lit(threshold))))
+    return _measured(pairs, F.lit(threshold))
+
+
 def _forms(strings: DataFrame, name: str, own: str, other: str) -> DataFrame:
     """Each string in lower case with its script, and where scripts meet: Latin spellings of a Cyrillic string beside the Latin strings of the other side."""
     x = F.col(name)
@@ -82,18 +187,8 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float, mode: s
 
     In rosters of up to ``few`` strings (``mode='auto'``; in all with 'small', in none with 'large') all are compared, in others those with a common piece.
     """
-    left, right = spread(_forms(left.filter("a <> ''").distinct(), "a", "left", "right"), "roster_id", "s"), _forms(right.filter("b <> ''").distinct(), "b", "right", "left").withColumnRenamed("s", "t")
-    test = alike(F.col("s"), F.col("t"), threshold)
-    found = []
-    large = right.groupBy("roster_id").agg(F.count_distinct("b").alias("n")).filter(F.col("n") > few).select("roster_id") if mode == "auto" else None
-    some = lambda rows, how: rows if large is None else rows.join(large, "roster_id", how)
-    if mode != "large":
-        found.append(some(left, "left_anti").join(some(right, "left_anti"), ["roster_id", "g"]).filter(test))
-    if mode != "small":
-        probe = some(left, "left_semi").select("roster_id", "g", "a", "s", F.explode(probes("s", threshold)).alias("piece"))
-        piece = some(right, "left_semi").select("roster_id", "g", "b", "t", F.explode(segments("t", threshold)).alias("piece"))
-        found.append(probe.join(piece, ["roster_id", "g", "piece"]).filter(test))
-    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    left, right = _forms(left.filter("a <> ''").distinct(), "a", "left", "right"), _forms(right.filter("b <> ''").distinct(), "b", "right", "left").withColumnRenamed("s", "t")
+    pairs = _paired(left, right, ["roster_id", "g"], threshold, mode, few).filter(alike(F.col("s"), F.col("t"), threshold))
     return pairs.select("roster_id", "a", "b").distinct()
 
 

@@ -85,11 +85,18 @@ def pick_best(pairs: DataFrame) -> DataFrame:
     )
 
 
-def resolve(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto", ambiguous: DataFrame | None = None) -> DataFrame:
+def one_word_names(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> ambiguity.Evidence:
+    """What splits and possible matches the distinct one-word names of keys have."""
+    names = keys.filter(ambiguity.is_one_word(F.col("name"))).select("roster_id", "name").withColumn("real_name", F.lit(None).cast("string"))
+    return ambiguity.gather(distinct_keys(names), roster, variants)
+
+
+def resolve(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto", evidence: ambiguity.Evidence | None = None) -> DataFrame:
     """M2-M18 for distinct keys (roster_id, name, real_name, k): (k, id, match_type, quality, reversed, db_name, all_matches)."""
     index = name_index(roster).select("roster_id", F.col("full_name").alias("db_name"), F.col("id"))
-    if ambiguous is None:
-        ambiguous = ambiguity.ambiguous(keys, roster, variants)
+    evidence = evidence or one_word_names(keys, roster, variants)
+    found = ambiguity.ambiguous(evidence.keys, roster, variants, evidence).join(evidence.keys.select("roster_id", "name", "k"), "k")
+    ambiguous = keys.select("roster_id", "name", "k").join(found.drop("k"), ["roster_id", "name"])
     exact = index.select("roster_id", F.col("db_name").alias("name"), F.col("id").alias("exact_id"))
     tag = index.select("roster_id", F.col("db_name").alias("real_name"), F.col("id").alias("tag_id"))
     nick = nickname_index(roster).select("roster_id", "nick", F.col("id").alias("nick_id"))
@@ -124,9 +131,17 @@ def manual(looked: DataFrame, overrides: DataFrame, roster: DataFrame) -> DataFr
 
 def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """(chat_id, roster_id, name, first_seq, ord, real_name, id, match_type, quality, reversed, db_name, all_matches, auto_matched); unrecognised names have no id."""
+    return match_with_evidence(people, aliases, roster, variants, overrides, mode)[0]
+
+
+def match_with_evidence(
+    people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto"
+) -> tuple[DataFrame, ambiguity.Evidence]:
+    """The result of :func:`match_names`, and what was found out about one-word names, for automatic assignment."""
     looked = settle(lookups(people, aliases))
     keys = distinct_keys(looked)
-    found = settle(resolve(keys, roster, variants, mode))
+    evidence = one_word_names(keys, roster, variants)
+    found = settle(resolve(keys, roster, variants, mode, evidence))
     rows = looked.join(keys.select("roster_id", "name", F.col("real_name").alias("rn"), "k"), (looked["roster_id"] == keys["roster_id"]) & (looked["name"] == keys["name"]) & looked["real_name"].eqNullSafe(F.col("rn")), "left").select(looked["*"], "k")
     rows = rows.join(found, "k", "left").drop("k")
     if overrides is not None:
@@ -137,7 +152,7 @@ def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, varian
             F.when(by_hand, 100).otherwise(F.col("quality")).alias("quality"), F.when(by_hand, False).otherwise(F.col("reversed")).alias("reversed"), F.when(~by_hand, F.col("db_name")).alias("db_name"), F.when(~by_hand, F.col("all_matches")).alias("all_matches"),
         )
     columns = ("chat_id", "roster_id", "name", "first_seq", "ord", "real_name", "id", "match_type", "quality", "reversed", "db_name", "all_matches")
-    return rows.select(*columns, F.lit(False).alias("auto_matched"))
+    return rows.select(*columns, F.lit(False).alias("auto_matched")), evidence
 
 
 def unrecognised(matches: DataFrame) -> DataFrame:
@@ -160,5 +175,6 @@ def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: D
 
     ids = changed.select("roster_id").distinct()
     again, people_of = people.join(ids, "roster_id", "left_semi"), roster.join(ids, "roster_id", "left_semi")
-    fresh = auto_match(settle(match_names(again, aliases, people_of, variants, overrides, mode)), people_of, variants)
+    found, evidence = match_with_evidence(again, aliases, people_of, variants, overrides, mode)
+    fresh = auto_match(settle(found), people_of, variants, evidence=evidence)
     return matches.join(ids, "roster_id", "left_anti").select(matches.columns).unionByName(fresh)

@@ -6,32 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import to_cyrillic, to_latin
-from ..functions.text import likeness
-from ..storage import spread
+from ..storage import settle
 from . import ambiguity
+from .candidates import PIECES_FROM, alike_strings, best_bounds, by_size
 from .match import distinct_keys
 from .roster import name_index
 
 
-def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limit: int = 3, at_least: float = 0.3) -> DataFrame:
+def _spelled(rows: DataFrame, name: str, form: str) -> DataFrame:
+    """(roster_id, name, form): a name in lower case as it is, in Latin and in Cyrillic script."""
+    c = F.col(name)
+    forms = F.array_distinct(F.array(F.lower(c), F.lower(to_latin(c)), F.lower(to_cyrillic(c))))
+    return rows.select("roster_id", name).distinct().select("roster_id", name, F.explode(forms).alias(form)).filter(F.col(form) != "")
+
+
+def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limit: int = 3, at_least: float = 0.3, mode: str = "auto", few: int = 2000) -> DataFrame:
     """(chat_id, name, rank, id, db_name, similarity). Glued names give their splits; others the greatest similarity over both names as they are,
     in Latin and in Cyrillic script. ``used`` (chat_id, id) are left out. ``at_least`` is exclusive.
+
+    In two steps. First each name is measured against the few people with whom it may share most letters (in rosters above ``few`` strings: against all who are
+    ``PIECES_FROM`` alike, found by keys). The ``limit``-th best unused one of a name, in the meeting where that is least, is then the threshold for the name:
+    whoever can't reach it isn't measured.
     """
     keys = distinct_keys(open_names.select("roster_id", "name").withColumn("real_name", F.lit(None).cast("string")))
-    asked = open_names.select("chat_id", "roster_id", "name").join(keys.select("roster_id", "name", "k"), ["roster_id", "name"])
+    asked = settle(open_names.select("chat_id", "roster_id", "name").join(keys.select("roster_id", "name", "k"), ["roster_id", "name"]))
     glued = keys.filter(ambiguity.is_one_word(F.col("name")) & (F.length("name") >= 6))
-    splits = ambiguity.split_glued(glued, roster).filter("q >= 0.7").select("k", "pos", "id", "db_name", F.col("q").alias("similarity"))
-    # Each in its own, Latin and Cyrillic form; forms that a name has already aren't compared again. Distinct strings are compared.
-    spelled = lambda c, p: [F.lower(c).alias(f"{p}0"), F.nullif(F.lower(to_latin(c)), F.lower(c)).alias(f"{p}1"), F.nullif(F.lower(to_cyrillic(c)), F.lower(c)).alias(f"{p}2")]
-    plain = keys.join(splits.select("k").distinct(), "k", "left_anti")
-    people = name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name"))
-    a, b = plain.select("roster_id", "name", *spelled("name", "a")).distinct(), people.select("roster_id", "db_name", *spelled("db_name", "b")).distinct()
-    best = F.greatest(*[F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), likeness(x, y)) for x in ("a0", "a1", "a2") for y in ("b0", "b1", "b2")])
-    close = spread(a, "roster_id", "name").join(b, "roster_id").select("roster_id", "name", "db_name", best.alias("similarity")).filter(F.col("similarity") > at_least)
-    near = plain.select("roster_id", "k", "name").join(close, ["roster_id", "name"]).join(people, ["roster_id", "db_name"]).select("k", "pos", "id", "db_name", "similarity")
-    rows = asked.join(splits.unionByName(near), "k").join(used.select("chat_id", "id").distinct(), ["chat_id", "id"], "left_anti")
+    splits = settle(ambiguity.split_glued(glued, roster).filter("q >= 0.7").select("k", "pos", "id", "db_name", F.col("q").alias("similarity")))
+    people = settle(name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name")))
+    taken = settle(used.select("chat_id", "id").distinct())
+    unused = lambda rows: rows.join(taken, ["chat_id", "id"], "left_anti")
+    left = keys.join(splits.select("k").distinct(), "k", "left_anti")
+    forms, theirs = settle(_spelled(left, "name", "s")), settle(_spelled(people, "db_name", "t"))
+    s, t = forms.select("roster_id", "s"), theirs.select("roster_id", "t")
+
+    def found(close: DataFrame) -> DataFrame:
+        """(k, pos, id, db_name, similarity) of pairs of strings, the best of each name and person."""
+        best = forms.join(close, ["roster_id", "s"]).join(theirs, ["roster_id", "t"]).groupBy("roster_id", "name", "db_name").agg(F.max("similarity").alias("similarity"))
+        rows = keys.select("roster_id", "name", "k").join(best.filter(F.col("similarity") > at_least), ["roster_id", "name"]).join(people, ["roster_id", "db_name"])
+        return rows.select("k", "pos", "id", "db_name", "similarity")
+
+    small, large = by_size(s, t, mode, few)
+    first = [] if small is None else [best_bounds(small, t, 4 * limit, at_least)]
+    if large is not None:
+        first.append(alike_strings(large, t, max(at_least, PIECES_FROM), "large"))
+    close = settle(found(first[0] if len(first) == 1 else first[0].unionByName(first[1])))
+    last = Window.partitionBy("chat_id", "k").orderBy(F.desc("similarity"), "pos")
+    reached = unused(asked.join(close, "k")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") == limit).select("chat_id", "k", "similarity")
+    least = asked.join(reached, ["chat_id", "k"], "left").groupBy("roster_id", "name").agg(F.min(F.coalesce("similarity", F.lit(at_least))).alias("least"))
+    certain = found(alike_strings(forms.join(least, ["roster_id", "name"]).select("roster_id", "s", "least"), t, at_least, mode, few))
     w = Window.partitionBy("chat_id", "name").orderBy(F.desc("similarity"), "pos")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("chat_id", "name", "rank", "id", "db_name", "similarity")
+    return unused(asked.join(splits.unionByName(certain), "k")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("chat_id", "name", "rank", "id", "db_name", "similarity")
 
 
 def recommend(matches: DataFrame, roster: DataFrame) -> DataFrame:
@@ -49,7 +73,7 @@ def recommend(matches: DataFrame, roster: DataFrame) -> DataFrame:
     b = one.join(first, ["roster_id", "first"]).join(count, ["roster_id", "first"]).select("chat_id", "name", F.col("pos").cast("long").alias("o"), "id", "db_name", F.when(F.col("n") == 1, 0.95).otherwise(0.9).alias("similarity"))
     last = rest.join(b.select("chat_id", "name").distinct(), ["chat_id", "name"], "left_anti")
     used = matches.filter("id is not null").select("chat_id", "id")
-    c = best_matches(last, used, roster).filter("similarity >= 0.6").select("chat_id", "name", F.col("rank").cast("long").alias("o"), "id", "db_name", "similarity")
+    c = best_matches(last, used, roster, at_least=0.6 - 1e-9).filter("similarity >= 0.6").select("chat_id", "name", F.col("rank").cast("long").alias("o"), "id", "db_name", "similarity")
     w = Window.partitionBy("chat_id", "name").orderBy("o", "id")
     return a.unionByName(b).unionByName(c).withColumn("rank", F.row_number().over(w)).select("chat_id", "name", "rank", "id", "db_name", "similarity")
 

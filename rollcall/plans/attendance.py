@@ -26,8 +26,8 @@ def attendance(chats: DataFrame, roster: DataFrame, variants: dict[str, str], ke
     safe, rejected = screen_documents(chats)
     rows = settle(chat.messages(safe))
     people, aliases = settle(chat.keyword_filter(chat.participants(rows), keyword)), settle(chat.aliases(rows))
-    found = settle(match.match_names(people, aliases, roster, variants, overrides, mode))
-    found = settle(assign.auto_match(found, roster, variants))
+    found, evidence = match.match_with_evidence(people, aliases, roster, variants, overrides, mode)
+    found = settle(assign.auto_match(settle(found), roster, variants, evidence=evidence))
     return Attendance(people, aliases, found, report.participant_info(found, roster), rejected)
 
 
