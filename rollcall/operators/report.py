@@ -26,7 +26,7 @@ def participant_info(matches: DataFrame, roster: DataFrame) -> DataFrame:
         "chat_id", "first_seq", "ord", F.coalesce("id", F.lit("?")).alias("id"),
         F.coalesce(n["surname"], F.when(~by_first, n["word"]), F.lit("")).alias("surname"), F.coalesce(n["firstname"], F.when(by_first, n["word"]), F.lit("")).alias("firstname"), F.col("name").alias("nickname"), found.alias("found"),
         F.when(found & tagged & (kind != "real-name-tag"), F.concat(kind, F.lit(" real-name-tag"))).when(found, kind).when(tagged, "real-name-tag").otherwise("not-found").alias("match_type"),
-        F.when(found & (F.size("all_matches") > 1), F.slice("all_matches", 2, 1000)).otherwise(F.expr(NONE)).alias("alternatives"), F.coalesce("auto_matched", F.lit(False)).alias("auto_matched"),
+        F.when(found & (F.size("all_matches") > 1), F.slice("all_matches", F.lit(2), F.size("all_matches"))).otherwise(F.expr(NONE)).alias("alternatives"), F.coalesce("auto_matched", F.lit(False)).alias("auto_matched"),
     )
 
 

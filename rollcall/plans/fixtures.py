@@ -17,6 +17,10 @@ LATIN_SURNAMES = ("Petrenko", "Kovalenko", "Melnyk", "Shevchenko", "Ivanenko", "
 LATIN_FIRSTNAMES = ("Ivan", "Serhiy", "Oleksandr", "Taras", "Olha", "Liudmyla", "Mykola", "Kateryna", "Tetiana", "Mykhailo", "Yevhen", "Dmytro")
 SHORT = ("Ваня", "Сергій", "Саша", "Тарас", "Оля", "Люда", "Коля", "Катя", "Таня", "Міша", "Женя", "Дмитро")
 ROSTERS = 25
+#: The first person of each roster has a firstname of their own.
+ALONE, LATIN_ALONE = "Устим", "Ustym"
+#: A real name that is in no roster.
+STRANGER = "Qwx Zvb"
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -32,7 +36,21 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, f = _name_numbers(F.col("c_custkey"))
     pos = (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("int")
     nick = F.when(F.col("c_custkey") % 5 == 0, F.array(F.concat(F.lit("user"), F.col("c_custkey").cast("string")))).otherwise(F.array().cast("array<string>"))
-    return c.select(F.col("c_nationkey").cast("string").alias("roster_id"), pos.alias("pos"), F.col("c_custkey").cast("string").alias("id"), _pick(SURNAMES, s).alias("surname"), _pick(FIRSTNAMES, f).alias("firstname"), nick.alias("nicknames"))
+    rows = c.select(F.col("c_nationkey").cast("string").alias("roster_id"), pos.alias("pos"), F.col("c_custkey").cast("string").alias("id"), _pick(SURNAMES, s).alias("surname"), _pick(FIRSTNAMES, f).alias("firstname"), nick.alias("nicknames"))
+    return rows.withColumn("firstname", F.when(F.col("pos") == 0, ALONE).otherwise(F.col("firstname")))
+
+
+def small_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters of few people: a nation's suppliers."""
+    c = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    s, f = _name_numbers(F.col("s_suppkey"))
+    pos = (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("int")
+    return c.select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("roster_id"), pos.alias("pos"), F.col("s_suppkey").cast("string").alias("id"), _pick(SURNAMES, s).alias("surname"), _pick(FIRSTNAMES, f).alias("firstname"), F.array().cast("array<string>").alias("nicknames"))
+
+
+def _given(values: tuple[str, ...], alone: str, f: Column) -> Column:
+    """A firstname of turns as :func:`_placed` gives them."""
+    return F.when(F.col("n") == 0, alone).otherwise(_pick(values, f))
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,28 +67,29 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, roster_id, custkey, shown, text): who says each turn, and under which display name."""
     rows = _placed(spark, sf_dir)
     s, f = _name_numbers(F.col("c_custkey"))
-    sur, first = _pick(SURNAMES, s), _pick(FIRSTNAMES, f)
-    form = (F.col("conv_id") + F.col("turn")) % 6
+    sur, first, short = _pick(SURNAMES, s), _given(FIRSTNAMES, ALONE, f), _given(SHORT, ALONE, f)
+    form = (F.col("conv_id") + F.col("turn")) % 8
     join = lambda *p: F.concat_ws(" ", *p)
     shown = (
-        F.when(form == 0, join(sur, first)).when(form == 1, join(first, sur)).when(form == 2, join(_pick(LATIN_FIRSTNAMES, f), _pick(LATIN_SURNAMES, s))).when(form == 3, join(_pick(SHORT, f), sur))
-        .when(form == 4, join(sur, F.substring(first, F.lit(1), F.length(first) - 1))).otherwise(F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit(" ("), join(first, sur), F.lit(")")))
+        F.when(form == 0, join(sur, first)).when(form == 1, join(first, sur)).when(form == 2, join(_given(LATIN_FIRSTNAMES, LATIN_ALONE, f), _pick(LATIN_SURNAMES, s))).when(form == 3, join(short, sur))
+        .when(form == 4, join(sur, F.substring(first, F.lit(1), F.length(first) - 1))).when(form == 6, join(sur, short)).when(form == 7, join(F.substring(first, F.lit(1), F.length(first) - 1), sur)).otherwise(F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit(" ("), join(first, sur), F.lit(")")))
     )
     return rows.select("conv_id", "turn", F.col("c_nationkey").cast("string").alias("roster_id"), F.col("c_custkey").alias("custkey"), shown.alias("shown"), "text")
 
 
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chat_id, roster_id, text): transcripts in three languages, with one-word, glued, misspelt and nicknames, ``rnm:`` tags, continuation lines and private messages."""
+    """(chat_id, roster_id, text): transcripts in three languages, with one-word, glued, misspelt, cut, short, reversed and nicknames, ``rnm:`` tags (of people and of a stranger), continuation lines and private messages."""
     rows = _placed(spark, sf_dir)
     s, f = _name_numbers(F.col("c_custkey"))
-    sur, first = _pick(SURNAMES, s), _pick(FIRSTNAMES, f)
-    form = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    sur, first, short = _pick(SURNAMES, s), _given(FIRSTNAMES, ALONE, f), _given(SHORT, ALONE, f)
+    form = (F.col("conv_id") * 3 + F.col("turn")) % 14
     full = F.concat_ws(" ", sur, first)
     shown = (
-        F.when(form == 0, first).when(form == 1, sur).when(form == 2, F.lower(F.concat(_pick(LATIN_FIRSTNAMES, f), _pick(LATIN_SURNAMES, s)))).when(form == 3, F.concat(F.lit("user"), F.col("c_custkey").cast("string")))
-        .when(form == 4, F.concat(F.lit("Guest "), F.col("turn").cast("string"))).when(form == 5, F.concat(F.substring(sur, F.lit(1), F.length(sur) - 1), F.lit("а "), first)).when(form == 6, _pick(SHORT, f)).otherwise(full)
+        F.when(form == 0, first).when(form == 1, sur).when(form == 2, F.lower(F.concat(_given(LATIN_FIRSTNAMES, LATIN_ALONE, f), _pick(LATIN_SURNAMES, s)))).when(form == 3, F.concat(F.lit("user"), F.col("c_custkey").cast("string")))
+        .when(form == 4, F.concat(F.lit("Guest "), F.col("turn").cast("string"))).when(form == 5, F.concat(F.substring(sur, F.lit(1), F.length(sur) - 1), F.lit("а "), first)).when(form == 6, short)
+        .when(form == 8, F.concat_ws(" ", first, sur)).when(form == 9, F.concat_ws(" ", sur, short)).when(form == 10, ALONE).when(form == 11, ALONE.lower()).when(form == 12, F.lower(full)).when(form == 13, F.concat_ws(" ", F.substring(first, F.lit(1), F.length(first) - 1), sur)).otherwise(full)
     )
-    said = F.when(form == 4, F.concat(F.lit("rnm: "), full)).otherwise(F.concat(F.lit("plus "), F.col("turn").cast("string")))
+    said = F.when(form == 4, F.concat(F.lit("rnm: "), full)).when(form.between(10, 12), F.lit(f"rnm: {STRANGER}")).otherwise(F.concat(F.lit("plus "), F.col("turn").cast("string")))
     word = lambda *w: _pick(w, F.col("conv_id") % 3)
     time = F.format_string("%02d:%02d:%02d", F.lit(9), F.col("turn").cast("int"), (F.col("conv_id") % 60).cast("int"))
     start, to = word("From", "Від", "От"), word("to", "до", "кому")

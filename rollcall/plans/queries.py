@@ -451,10 +451,12 @@ def d4_filter_entries(spark, sf_dir):
 
 
 def _one_word(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Keys of one-word names: firstnames, surnames, and both run together."""
-    r = fixtures.rosters(spark, sf_dir)
-    name = F.when(F.col("pos") % 4 == 0, F.col("firstname")).when(F.col("pos") % 4 == 1, F.col("surname")).when(F.col("pos") % 4 == 2, F.lower(N.to_latin(F.concat("firstname", "surname")))).otherwise(F.concat("surname", F.lower("firstname")))
-    keys = r.select("roster_id", name.alias("name"), F.lit(None).cast("string").alias("real_name")).distinct()
+    """Keys of firstnames, surnames, both run together, and full names in lower case; of small rosters, surnames with a wrong letter."""
+    r = fixtures.rosters(spark, sf_dir).unionByName(fixtures.small_rosters(spark, sf_dir))
+    kind = F.col("pos") % 5
+    name = F.when(kind == 0, F.col("firstname")).when(kind == 1, F.col("surname")).when(kind == 2, F.lower(N.to_latin(F.concat("firstname", "surname")))).when(kind == 3, F.concat("surname", F.lower("firstname"))).otherwise(F.lower(F.concat_ws(" ", "surname", "firstname")))
+    wrong = F.concat(F.substring("surname", 1, 3), F.lit("щ"), F.expr("substring(surname, 5)"))
+    keys = r.select("roster_id", F.when(F.startswith("roster_id", F.lit("s")), wrong).otherwise(name).alias("name"), F.lit(None).cast("string").alias("real_name")).distinct()
     return match.distinct_keys(keys), r
 
 

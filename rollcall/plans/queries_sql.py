@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import match_sql as M
-from .fixtures import FIRSTNAMES, LATIN_FIRSTNAMES, LATIN_SURNAMES, ROSTERS, SHORT, SURNAMES
+from .fixtures import ALONE, FIRSTNAMES, LATIN_ALONE, LATIN_FIRSTNAMES, LATIN_SURNAMES, ROSTERS, SHORT, STRANGER, SURNAMES
 
 # What makes a text unsafe, by name, as DuckDB writes it.
 UNSAFE = {
@@ -23,17 +23,18 @@ def _at(values: tuple[str, ...], index: str) -> str:
 _S, _F = f"c_custkey % {len(SURNAMES)}", f"(c_custkey // {len(SURNAMES)}) % {len(FIRSTNAMES)}"
 _ROSTER = f"""roster AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS roster_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, CAST(c_custkey AS VARCHAR) AS id, c_custkey AS custkey,
-         {_at(SURNAMES, _S)} AS surname, {_at(FIRSTNAMES, _F)} AS firstname, CASE WHEN c_custkey % 5 = 0 THEN ['user' || c_custkey] ELSE CAST([] AS VARCHAR[]) END AS nicknames
+         {_at(SURNAMES, _S)} AS surname, CASE WHEN pos = 0 THEN '{ALONE}' ELSE {_at(FIRSTNAMES, _F)} END AS firstname, CASE WHEN c_custkey % 5 = 0 THEN ['user' || c_custkey] ELSE CAST([] AS VARCHAR[]) END AS nicknames
   FROM customer)"""
 _SPEAKERS = f"""numbered AS (
   SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer
 ), placed AS (
-  SELECT conv_id, turn, text, (conv_id + turn) % 6 AS form, c.c_custkey, c.c_nationkey, {_at(SURNAMES, _S)} AS sur, {_at(FIRSTNAMES, _F)} AS fir, {_at(LATIN_SURNAMES, _S)} AS lsur, {_at(LATIN_FIRSTNAMES, _F)} AS lfir, {_at(SHORT, _F)} AS sfir
+  SELECT conv_id, turn, text, (conv_id + turn) % 8 AS form, c.c_custkey, c.c_nationkey, {_at(SURNAMES, _S)} AS sur, {_at(LATIN_SURNAMES, _S)} AS lsur,
+         CASE WHEN c.n = 0 THEN '{ALONE}' ELSE {_at(FIRSTNAMES, _F)} END AS fir, CASE WHEN c.n = 0 THEN '{LATIN_ALONE}' ELSE {_at(LATIN_FIRSTNAMES, _F)} END AS lfir, CASE WHEN c.n = 0 THEN '{ALONE}' ELSE {_at(SHORT, _F)} END AS sfir
   FROM conversations m JOIN numbered c ON c.c_nationkey = m.conv_id % {ROSTERS} AND c.n = (m.conv_id * 7 + m.turn * 3) % c.size
 ), speakers AS (
   SELECT conv_id, turn, text, CAST(c_nationkey AS VARCHAR) AS roster_id, c_custkey AS custkey,
          CASE form WHEN 0 THEN sur || ' ' || fir WHEN 1 THEN fir || ' ' || sur WHEN 2 THEN lfir || ' ' || lsur WHEN 3 THEN sfir || ' ' || sur WHEN 4 THEN sur || ' ' || left(fir, -1)
-              ELSE 'user' || c_custkey || ' (' || fir || ' ' || sur || ')' END AS shown
+              WHEN 6 THEN sur || ' ' || sfir WHEN 7 THEN left(fir, -1) || ' ' || sur ELSE 'user' || c_custkey || ' (' || fir || ' ' || sur || ')' END AS shown
   FROM placed)"""
 _W, _WS = f"WITH {_ROSTER} ", f"WITH {_SPEAKERS} "
 _BOTH = f"WITH {_ROSTER}, {_SPEAKERS} "
@@ -121,13 +122,19 @@ _RCHAT = _CHAT.replace("WITH ", "WITH RECURSIVE ", 1)
 _ASKED = "asked AS (SELECT DISTINCT p.roster_id, p.name, real.real_name FROM people p LEFT JOIN real USING (chat_id, name))"
 _RULES = f"{_RCHAT}, {_ASKED}, {M._VT}, looked AS (SELECT *, coalesce(real_name, name) AS lookup FROM asked), {M.rules('looked')}"
 _RULE_ROWS = " SELECT roster_id, name, id, kind AS match_type, quality, back AS reversed FROM found JOIN looked USING (roster_id, lookup)"
-_ONE = f"""WITH RECURSIVE {_ROSTER}, {_INDEX}, asked AS (
-  SELECT DISTINCT roster_id, CASE pos % 4 WHEN 0 THEN firstname WHEN 1 THEN surname WHEN 2 THEN lower({M.latin("(firstname || surname)")}) ELSE surname || lower(firstname) END AS name FROM roster)"""
+_ONE = f"""WITH RECURSIVE {_ROSTER.replace("roster AS (", "large AS (", 1)}, roster AS (
+  SELECT roster_id, pos, id, surname, firstname FROM large UNION ALL
+  SELECT 's' || s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1, CAST(s_suppkey AS VARCHAR), {_at(SURNAMES, _S.replace("c_custkey", "s_suppkey"))}, {_at(FIRSTNAMES, _F.replace("c_custkey", "s_suppkey"))} FROM supplier
+), {_INDEX}, asked AS (
+  SELECT DISTINCT roster_id, CASE WHEN roster_id LIKE 's%' THEN left(surname, 3) || 'щ' || substring(surname, 5)
+                                  ELSE CASE pos % 5 WHEN 0 THEN firstname WHEN 1 THEN surname WHEN 2 THEN lower({M.latin("(firstname || surname)")}) WHEN 3 THEN surname || lower(firstname) ELSE lower(surname || ' ' || firstname) END END AS name FROM roster)"""
 #: Meetings with one-word, glued and nicknames, tags, other languages and private messages: people are the senders as they are shown.
 _MEET = f"""WITH RECURSIVE {_ROSTER}, {_SPEAKERS}, {_INDEX}, mixed AS (
   SELECT CAST(conv_id AS VARCHAR) AS chat_id, conv_id, turn, CAST(c_nationkey AS VARCHAR) AS roster_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
-         CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN fir WHEN 1 THEN sur WHEN 2 THEN lower(lfir || lsur) WHEN 3 THEN 'user' || c_custkey WHEN 4 THEN 'Guest ' || turn WHEN 5 THEN left(sur, -1) || 'а ' || fir WHEN 6 THEN sfir ELSE sur || ' ' || fir END AS name,
-         CASE WHEN (conv_id * 3 + turn) % 8 = 4 THEN 'rnm: ' || sur || ' ' || fir ELSE 'plus ' || turn END AS body, sur || ' ' || fir AS tagged
+         CASE (conv_id * 3 + turn) % 14 WHEN 0 THEN fir WHEN 1 THEN sur WHEN 2 THEN lower(lfir || lsur) WHEN 3 THEN 'user' || c_custkey WHEN 4 THEN 'Guest ' || turn WHEN 5 THEN left(sur, -1) || 'а ' || fir WHEN 6 THEN sfir
+              WHEN 8 THEN fir || ' ' || sur WHEN 9 THEN sur || ' ' || sfir WHEN 10 THEN '{ALONE}' WHEN 11 THEN lower('{ALONE}') WHEN 12 THEN lower(sur || ' ' || fir) WHEN 13 THEN left(fir, -1) || ' ' || sur ELSE sur || ' ' || fir END AS name,
+         CASE WHEN (conv_id * 3 + turn) % 14 = 4 THEN 'rnm: ' || sur || ' ' || fir WHEN (conv_id * 3 + turn) % 14 BETWEEN 10 AND 12 THEN 'rnm: {STRANGER}' ELSE 'plus ' || turn END AS body,
+         CASE WHEN (conv_id * 3 + turn) % 14 = 4 THEN sur || ' ' || fir ELSE '{STRANGER}' END AS tagged
   FROM placed
 ), people AS (
   SELECT chat_id, roster_id, name, min(seq) AS first_seq, string_agg(body, '|' ORDER BY seq) AS messages FROM mixed GROUP BY ALL
