@@ -5,8 +5,9 @@ edges to the two terminals; neighbours in the page get edges, and so do blocks a
 costly to part what is close in the DOM. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
 
 The classifier is a logistic model over a block's text and its own tag, learned from blocks that markup gives away (within ``nav``,
-``footer``, ``article`` and the like) on a bounded sample of pages. Markup itself is one more capacity, smaller than the classifier's
-largest one: neither decides alone, and neighbours can overrule both.
+``footer``, ``article`` and the like) on a bounded sample of pages. Markup itself is one more capacity. An explicit sign of boilerplate (an element made for it,
+a role, hiding, a name like ``comments`` of an element that holds others) weighs more than the classifier's largest score, as sentences stand in footers and
+comments, too; what is told by names alone, or by an article around it, weighs less: neither decides alone, and neighbours can overrule both.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s>/]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
-    re.S,
-)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The next attribute's name, and whether a value follows.
+NAMED = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(\s*+=\s*+)?)?+")
+BARE = re.compile(r"[^\s>]*+")
+TOLD = set("class id role hidden aria-hidden style".split())
 SPACE = re.compile(r"\s+")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORDS = re.compile(r"\w+")
@@ -62,6 +63,8 @@ PARTS = set("area bar block bottom box button center col column container conten
 TALK = set("comment comments commenter discussion disqus respond reply replies".split())
 #: What may stand in a head; anything else ends it.
 HEAD = set("title base link meta style script noscript template head html".split())
+#: A firm name of one of these is a word beside its own text.
+INLINE = set("p h1 h2 h3 h4 h5 h6 span b i em strong a q cite li td dd dt blockquote".split())
 TAGS = ("p", "h1", "h2", "h3", "h4", "div", "blockquote", "pre")
 FEATURES = 14 + len(TAGS)
 
@@ -74,6 +77,7 @@ class Block:
     depth: int
     seed: int  # what markup says: 1 content, -1 boilerplate, 0 nothing
     linked: int  # characters within links
+    sure: bool = False  # by an explicit sign, not by a word of a class alone
 
 
 @dataclass
@@ -125,13 +129,14 @@ class Element:
     """What is known of an element once the page has been read."""
 
     tag: str
-    attrs: str
+    attrs: list[tuple[str, str]]
     up: int
     size: int = 0  # characters of the blocks within it
     articles: int = 0  # articles that it is or holds
     mains: int = 0
     seed: int = 0
     firm: bool = False
+    sure: bool = False
 
 
 def boilerplate_names(values: list[str]) -> set[str]:
@@ -144,13 +149,13 @@ def boilerplate_names(values: list[str]) -> set[str]:
     return found
 
 
-def _says(tag: str, attrs: str, up: Element, wraps: int) -> tuple[int, bool]:
-    """What the element's markup says of its blocks, and whether that holds within an article. Neither a form nor a firm name
+def _says(tag: str, attrs: list[tuple[str, str]], up: Element, wraps: int) -> tuple[int, bool, bool]:
+    """What the element's markup says of its blocks, whether that holds within an article, and whether the sign is explicit: an element made for
+    such parts, a role, hiding, or a firm name of an element that holds others. Neither a form nor a firm name
     says anything of an element that ``wraps`` the main text (2), or all articles (1; but comments may be articles).
     """
     values, role, hidden = [], "", False
-    for key, value in ATTR.findall(attrs) if attrs else ():
-        key, value = key.lower(), value.strip("\"'")
+    for key, value in attrs:
         if key in ("class", "id"):
             values += value.split()
         elif key == "role":
@@ -161,21 +166,21 @@ def _says(tag: str, attrs: str, up: Element, wraps: int) -> tuple[int, bool]:
     main, article = tag == "main" or role == "main", tag in ("article", "main") or role in ("article", "main")
     firm = bool(names & FIRM) and wraps < (2 if names & TALK else 1)
     if hidden or (tag in OUTSIDE or role in OUTSIDE_ROLES) and not (wraps and (tag == "form" or role == "form")):
-        return -1, True
+        return -1, True, True
     if firm and not article and tag not in ("html", "body"):
-        return -1, True
+        return -1, True, up.sure or tag not in INLINE
     if article:
         if up.seed < 0 and up.firm and not main:
-            return up.seed, True
-        return (0, False) if firm and not main else (1, False)
+            return up.seed, True, up.sure
+        return (0, False, False) if firm and not main else (1, False, False)
     if up.seed < 0:
-        return up.seed, up.firm
+        return up.seed, up.firm, up.sure
     if tag == "header" and up.seed <= 0:
-        return -1, False
+        return -1, False, False
     loose = names & LOOSE - HEADS if up.seed > 0 else names & LOOSE
     if loose and wraps < 2 and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "span", "b", "i", "em", "strong"):
-        return -1, False
-    return up.seed, up.firm
+        return -1, False, False
+    return up.seed, up.firm, up.sure
 
 
 def _settle(elements: list[Element], blocks: list[Block]) -> None:
@@ -192,17 +197,89 @@ def _settle(elements: list[Element], blocks: list[Block]) -> None:
         # It holds the main part, or most of the text or articles while no article is outside it.
         all_articles = not within[e.up] and e.articles == root.articles
         wraps = 2 if e.mains or all_articles and 2 * e.size > root.size else int(all_articles and e.articles > 0)
-        e.seed, e.firm = _says(e.tag, e.attrs, elements[e.up], wraps)
+        e.seed, e.firm, e.sure = _says(e.tag, e.attrs, elements[e.up], wraps)
     for b in blocks:
-        b.seed = elements[b.parent].seed
+        b.seed, b.sure = elements[b.parent].seed, elements[b.parent].sure
+
+
+class Reader:
+    """The tokens of a page, in one pass: each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.plain = page, False
+        # Where the last of each is: what begins behind it never ends.
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.comments = page.rfind("-->")
+
+    def tag(self, at: int, quotes: bool) -> tuple[int, list[tuple[str, str]]] | None:
+        """(end, attributes) of a tag whose name ends at ``at``; None where it has no end."""
+        page, told = self.page, []
+        if page[at : at + 1] == ">":
+            return at + 1, told
+        while True:
+            m = NAMED.match(page, at)
+            at, name = m.end(), m[1]
+            if name is None:
+                return (at + 1, told) if page[at : at + 1] == ">" else None
+            value = ""
+            if m[2]:
+                q = page[at : at + 1]
+                if quotes and q and q in "\"'" and self.last[q] > at:
+                    end = page.index(q, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    end = BARE.match(page, at).end()
+                    value, at = page[at:end], end
+            name = name.lower()
+            if name in TOLD:
+                told.append((name, value))
+
+    def tokens(self) -> Iterator[tuple[str, str, bool, list[tuple[str, str]], int]]:
+        """(text, tag, whether it closes, attributes, end): either text or a tag. A place may be sent back, from which reading goes on."""
+        page, at, none = self.page, 0, []
+        while at < len(page):
+            start = page.find("<", at)
+            if start < 0:
+                yield page[at:], "", False, none, len(page)
+                return
+            if start > at:
+                yield page[at:start], "", False, none, start
+            at = start
+            if at > self.last[">"]:  # no tag any more
+                rest = page[at:].split("<!--", 1)[0]
+                if rest:
+                    yield rest, "", False, none, len(page)
+                return
+            m = TAG.match(page, at)
+            if m:
+                found = self.tag(m.end(), not self.plain)
+                if found is None:
+                    # A quote has swallowed the page's last tag: from here on tags end at the first '>'.
+                    self.plain = True
+                    found = self.tag(m.end(), False) or (page.index(">", at) + 1, none)
+                at = found[0]
+                back = yield "", m[2].lower(), bool(m[1]), found[1], at
+                if back is not None:
+                    at = back
+                    yield "", "", False, none, at
+            elif page.startswith("<!--", at):
+                if page.startswith((">", "->"), at + 4):
+                    at = page.index(">", at) + 1
+                else:
+                    at = page.index("-->", at + 4) + 3 if self.comments >= at + 4 else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                at = page.index(">", at) + 1
+            else:
+                yield "<", "", False, none, at + 1
+                at += 1
 
 
 def read_page(page: str) -> tuple[list[Block], list[Element]]:
     """The page's blocks of text in order, with character references decoded and white space folded, and its elements. Linear in the page's length."""
     stack = Stack()
     out, part, linked = [], [], 0
-    elements = [Element("", "", 0)]
-    at, low = 0, None
+    elements = [Element("", [], 0)]
+    low = None
 
     def flush() -> None:
         nonlocal linked
@@ -214,10 +291,9 @@ def read_page(page: str) -> tuple[list[Block], list[Element]]:
                 out.append(Block(text, holder.tag, holder.number, len(stack.open), 0, min(linked, len(text))))
         linked = 0
 
-    while (m := TOKEN.match(page, at)) is not None:
-        at = m.end()
-        text = m["text"]
-        if text is not None:
+    tokens = Reader(page).tokens()
+    for text, tag, ends, attrs, at in tokens:
+        if text:
             if (head := stack.last("head")) and stack.open[-1].tag == "head" and not text.isspace():
                 stack.cut(head)
             top = stack.open[-1]
@@ -226,11 +302,7 @@ def read_page(page: str) -> tuple[list[Block], list[Element]]:
                 if top.link:
                     linked += len(text.strip())
             continue
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
+        if ends:
             if depth := stack.last(tag):
                 if stack.blocks[-1] >= depth:
                     flush()
@@ -238,7 +310,6 @@ def read_page(page: str) -> tuple[list[Block], list[Element]]:
             elif tag in BLOCK:
                 flush()
             continue
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
         if tag not in HEAD and (head := stack.last("head")):
             stack.cut(head)
         if tag in BLOCK or tag == "hr":
@@ -246,7 +317,7 @@ def read_page(page: str) -> tuple[list[Block], list[Element]]:
             stack.end_implied(*IMPLIED.get(tag, ((), ())))
         if tag == "br":
             part.append(" ")
-        if tag in VOID or attrs and attrs.endswith("/") and tag not in BLOCK:
+        if tag in VOID or page[at - 2] == "/" and tag not in BLOCK:
             continue
         up = stack.open[-1]
         elements.append(Element(tag, attrs, up.number, articles=tag == "article", mains=tag == "main"))
@@ -254,7 +325,7 @@ def read_page(page: str) -> tuple[list[Block], list[Element]]:
             if low is None:
                 low = page.lower()
             end = low.find(f"</{tag}", at) if len(low) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            tokens.send(len(page) if end < 0 else (page.find(">", end) + 1 or len(page)))
             continue
         stack.push(Open(tag, len(elements) - 1, up.skipped or tag in SKIPPED, up.link or tag == "a"))
     flush()
@@ -428,9 +499,9 @@ def cut(gain: list[int], edges: dict[tuple[int, int], int], settle_above: int =
     return label  # type: ignore[return-value]
 
 
-def gains(blocks: list[Block], weights: np.ndarray, most: float = 3.0, markup: float = 2.0) -> np.ndarray:
-    """What each block gains by being content: the classifier's score, at most ``most`` either way, and what markup says."""
-    return np.clip(describe(blocks) @ weights, -most, most) + markup * np.array([b.seed for b in blocks])
+def gains(blocks: list[Block], weights: np.ndarray, most: float = 3.0, markup: float = 2.0, explicit: float = 8.0) -> np.ndarray:
+    """What each block gains by being content: the classifier's score, at most ``most`` either way, and what markup says: less than that by names, more by an explicit sign."""
+    return np.clip(describe(blocks) @ weights, -most, most) + np.array([b.seed * (explicit if b.sure else markup) for b in blocks])
 
 
 def main_text(page: str, weights: np.ndarray, near: float = 0.6, kin: float = 0.8, up: float = 0.3, scale: int = 1000) -> str:

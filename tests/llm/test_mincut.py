@@ -110,11 +110,47 @@ def test_classifier_and_flow_without_helpful_markup(spark):
     assert np.mean(scores) >= 0.97 and flipped > 0 and np.mean(flowed) > 0.99
 
 
-def test_markup_is_one_capacity_among_others():
-    """What markup says is smaller than the classifier's largest score."""
-    page = "<nav>" + STORY + "</nav>" + "<article><a href=1>x</a></article>"
+def test_names_are_one_capacity_among_others():
+    """What names and an article say is smaller than the classifier's largest score; an explicit sign is larger."""
+    page = '<div class="menu">' + STORY + "</div>" + "<article><a href=1>x</a></article><footer>" + STORY.replace("This", "That") + "</footer>"
     gain = dict(zip((b.text[:9] for b in mincut.blocks_of(page)), mincut.gains(mincut.blocks_of(page), mincut.START), strict=True))
-    assert gain["This is a"] > 0 > gain["x"]
+    assert gain["This is a"] > 0 > gain["x"] and gain["That is a"] < -3
+
+
+def test_quotes_within_bare_values_and_stray_signs():
+    """Tags end at their first '>' outside a quoted value; quotes elsewhere in a tag mean nothing."""
+    assert texts("<p title=it's>First paragraph.</p><p>Second one.</p><p title=that's>Third one.</p>") == ["First paragraph.", "Second one.", "Third one."]
+    assert texts("<img alt=Bob's><p>It's Bob's.</p><p>And so on.") == ["It's Bob's.", "And so on."]
+    assert texts("<p a=\"x>y\" b='>' c = d>1</p><p \"odd'>2</p><p a=>3<p =b>4<p/>5") == ["1", "2", "3", "4", "5"]
+    assert texts("<p>a<!-->b<!--->c<!-- > -- >d-->e<!x>f<?y>g</ z>h<!-- never") == ["abcefgh"]
+    assert texts("1 < 2 <3 <é> </ \x00>4") == ["1 < 2 <3 <é> 4"] and texts("a <b") == ["a <b"] and texts("a <b c='d>e") == ["a e"]
+    assert texts("<p title='x>one</p><p title=\"y>two</p>") == ["one", "two"]
+    assert texts('<a href="x"title="y">1</a><P CLASS=Ad>2') == ["1", "2"] and [b.seed for b in mincut.blocks_of('<p>some more text</p><P CLASS="Ad">2')] == [0, -1]
+
+
+@pytest.mark.parametrize("bad", ["a <b and ", "<a ", "<a '", "<a b='", "</a \"", "<!-- ", "<!-", "<script>", "<p a=\"x>'", "&lt;<", "<a/b/"])
+def test_odd_pages_take_linear_time(bad):
+    began = time.time()
+    mincut.main_text(bad * (1_000_000 // len(bad)) + ("" if bad != "<a b='" else ">"), mincut.START)
+    assert time.time() - began < 5
+
+
+SENTENCE = "This is a whole sentence, as long as those of the story itself, with commas, and it ends in a full stop."
+BESIDE = [
+    "<footer><p>%s</p></footer>", '<section id="comments"><p>%s</p><p>%s</p></section>', '<aside class="sidebar"><p>%s</p></aside>', '<div class="cookie-banner"><p>%s</p></div>', "<form><p>%s</p></form>", "<div hidden><p>%s</p></div>",
+    '<nav><p>%s</p></nav>', '<div role="contentinfo"><p>%s</p></div>', '<div style="display:none"><p>%s</p></div>', '<div class="newsletter"><p>%s</p></div>', '<div class="ad"><p>%s</p></div>',
+]
+
+
+def test_sentences_of_other_parts_go(spark):
+    """Beside and within the article, before and after it, with weights learned as the query learns them, and with none."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for weights in (mincut.learn(df, keys=F.col("page_id")), mincut.START):
+        for part in BESIDE:
+            other = part.replace("%s", SENTENCE)
+            for page in (f"<article>{STORY}</article>{other}", f"{other}<article>{STORY}</article>", f"<article>{STORY.replace('</h1>', '</h1>' + other)}</article>", f'<div class="content">{STORY}</div>{other}'):
+                got = mincut.main_text(f"<html><body>{page}</body></html>", weights)
+                assert "whole sentence" not in got and got.count("It goes on") == 3, (part, page)
 
 
 def test_deep_nesting_is_linear():
