@@ -105,12 +105,16 @@ def variants_map(variants: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for k, v in variants.items() for x in (k, v)])
 
 
-def load_variants(df: DataFrame, limit: int = 20_000) -> dict[str, str]:
-    """A (variant, standard_form) table as a dictionary; a later row of a variant wins by ``pos`` if there is one."""
+def load_variants(df: DataFrame, limit: int = 5_000) -> dict[str, str] | DataFrame:
+    """A (variant, standard_form) table as a dictionary if it has up to ``limit`` rows, else the table itself: operators take either.
+
+    Of repeated variants that with the largest ``pos`` wins, without that column the largest form.
+    """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} name variants")
-    order = sorted(rows, key=lambda r: r.pos) if "pos" in df.columns else rows
+        return df
+    rows = [r for r in rows if r.variant and r.standard_form is not None]
+    order = sorted(rows, key=lambda r: (r.pos, r.standard_form)) if "pos" in df.columns else sorted(rows, key=lambda r: r.standard_form)
     return {r.variant.lower(): r.standard_form for r in order}
 
 

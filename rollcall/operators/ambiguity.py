@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import ONE_WORD, in_order, lcs_length, letters_only, order_ratio, possible_forms, russian_to_ukrainian, standard_form, to_cyrillic
+from ..functions.names import ONE_WORD, in_order, lcs_length, letters_only, order_ratio, to_cyrillic
 from ..functions.text import likeness, words
 from ..storage import settle, spread
 from .candidates import alike_strings
+from .dictionary import Variants, with_forms
 from .roster import name_index
 
 LATIN = "[a-zA-Z]"
@@ -104,22 +105,19 @@ def split_glued(keys: DataFrame, roster: DataFrame, min_suffix: int = 1) -> Data
     return found.groupBy("k", "id").agg(best).select("k", (-F.col("best.p")).alias("pos"), "id", "best.db_name", F.col("best.q").alias("q"), "best.combined")
 
 
-def spellings(variants: dict[str, str], with_possible: bool) -> Column:
-    """The forms of ``name`` that are looked up: with Latin letters its Cyrillic form and dictionary forms, else the dictionary form; and itself."""
+def spelled(keys: DataFrame, variants: Variants, with_possible: bool) -> DataFrame:
+    """(roster_id, k, v): the forms of names that are looked up: with Latin letters the Cyrillic form and dictionary forms, else the dictionary form; and the name itself."""
     lower = F.lower("name")
-    form = standard_form(lower, variants)
-    known = F.when(form != lower, F.array(form)).otherwise(F.array().cast("array<string>"))
-    possible = possible_forms(lower, variants) if with_possible else F.array().cast("array<string>")
-    latin = F.concat(F.array(F.lower(to_cyrillic("name"))), known, possible, F.array(lower))
-    return F.array_distinct(F.when(F.col("name").rlike(LATIN), latin).otherwise(F.concat(F.array(lower), known)))
+    rows = with_forms(keys, {"d": lower}, variants, with_possible)
+    known = F.when(F.col("d.form") != lower, F.array("d.form")).otherwise(F.array().cast("array<string>"))
+    latin = F.concat(F.array(F.lower(to_cyrillic("name"))), known, F.col("d.possible"), F.array(lower))
+    forms = F.array_distinct(F.when(F.col("name").rlike(LATIN), latin).otherwise(F.concat(F.array(lower), known)))
+    return rows.select("roster_id", "k", F.explode(forms).alias("v"))
 
 
-def meanings(c: str, variants: dict[str, str]) -> Column:
-    """The lower-case words of which a word is a variant (:func:`is_variant_of`): itself, and its dictionary form, or that of its Ukrainian spelling."""
-    x = F.lower(F.col(c))
-    form, other = standard_form(x, variants), russian_to_ukrainian(x)
-    more = F.when(form != x, F.array(form)).when(other != x, F.array(standard_form(other, variants))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(F.concat(F.array(x), more)), lambda w: w != "")
+def meant(words: DataFrame, variants: Variants) -> DataFrame:
+    """The rows of words (``v``), each with the words of which it is a variant (``p``)."""
+    return with_forms(words, {"d": F.col("v")}, variants, False).withColumn("p", F.explode("d.means")).drop("d")
 
 
 def _near_keys(c: str, asked: bool) -> Column:
@@ -134,13 +132,13 @@ def _near_keys(c: str, asked: bool) -> Column:
     return F.when(n >= 3, keys).otherwise(F.array().cast("array<struct<size:int,letter:string>>"))
 
 
-def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str], splits: DataFrame | None = None) -> DataFrame:
+def possible_matches(keys: DataFrame, roster: DataFrame, variants: Variants, splits: DataFrame | None = None) -> DataFrame:
     """(k, rank, id, db_name, quality, part): glued splits over 85 alone; else splits and exact names; else up to four similar ones."""
     splits = settle(split_glued(keys, roster)) if splits is None else splits
     one = keys.filter(is_one_word(F.col("name")) & (F.length("name") >= 6)).select("k")
     a = splits.join(one, "k", "left_semi").select("k", F.lit(1).alias("phase"), F.struct(-F.col("q"), F.col("pos").cast("long")).alias("o"), "id", "db_name", F.floor(F.col("q") * 100 + 0.5).cast("int").alias("quality"), F.concat(F.lit("split-name-"), F.col("combined")).alias("part"))
     top = a.groupBy("k").agg(F.max("quality").alias("top")).filter("top > 85").select("k")
-    names = settle(keys.join(top, "k", "left_anti").select("roster_id", "k", F.explode(spellings(variants, True)).alias("v")))
+    names = settle(spelled(keys.join(top, "k", "left_anti"), variants, True))
     people = _people(roster)
     # Exact names, and firstnames that only one person has.
     full = names.join(people.withColumn("v", F.col("db_lower")), ["roster_id", "v"]).select("k", F.lit(2).alias("phase"), F.struct(F.lit(0.0), F.col("pos").cast("long")).alias("o"), "id", "db_name", F.lit(100).alias("quality"), F.lit("full-name-exact").alias("part"))
@@ -152,7 +150,7 @@ def possible_matches(keys: DataFrame, roster: DataFrame, variants: dict[str, str
     rest = settle(names.join(exact.select("k").distinct(), "k", "left_anti"))
     part = people.select("roster_id", "pos", "id", "db_name", F.posexplode("parts").alias("at", "p"))
     asked, parts = settle(rest.select("roster_id", "v").distinct()), settle(part.select("roster_id", "p").distinct())
-    variant = asked.select("roster_id", "v", F.explode(meanings("v", variants)).alias("p")).join(parts, ["roster_id", "p"]).select("roster_id", "v", "p", F.lit(True).alias("variant"), F.lit(None).cast("double").alias("s"))
+    variant = meant(asked, variants).join(parts, ["roster_id", "p"]).select("roster_id", "v", "p", F.lit(True).alias("variant"), F.lit(None).cast("double").alias("s"))
     # The measure asks for much the same length, and of words from 4 letters for the same first letter: a key that loses none.
     near = asked.select("roster_id", "v", F.explode(_near_keys("v", True)).alias("near")).join(parts.select("roster_id", "p", F.explode(_near_keys("p", False)).alias("near")), ["roster_id", "near"])
     similar = near.withColumn("s", order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p"))).filter("s > 0.85").join(variant.select("roster_id", "v", "p"), ["roster_id", "v", "p"], "left_anti")
@@ -183,7 +181,7 @@ class Evidence:
     splits: DataFrame
     possible: DataFrame
 
-    def extended(self, keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> Evidence:
+    def extended(self, keys: DataFrame, roster: DataFrame, variants: Variants) -> Evidence:
         """For other keys of the same roster: names that are known aren't looked up again."""
         names = keys.select("roster_id", "name", "k")
         unknown = settle(names.join(self.keys, ["roster_id", "name"], "left_anti"))
@@ -194,13 +192,13 @@ class Evidence:
         return Evidence(keys, splits, possible) if rest is None else Evidence(keys, splits.unionByName(rest.splits), possible.unionByName(rest.possible))
 
 
-def gather(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> Evidence:
+def gather(keys: DataFrame, roster: DataFrame, variants: Variants) -> Evidence:
     """Splits and possible matches of keys (roster_id, name, k), each computed once and written."""
     splits = settle(split_glued(keys, roster))
     return Evidence(keys, splits, settle(possible_matches(keys, roster, variants, splits)))
 
 
-def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str], evidence: Evidence | None = None) -> DataFrame:
+def ambiguous(keys: DataFrame, roster: DataFrame, variants: Variants, evidence: Evidence | None = None) -> DataFrame:
     """(k, all_matches) of one-word names that fit several rows; the candidates are those of M19.
 
     Firstnames are looked up by what a name may mean: itself, its dictionary form, and firstnames so close (0.95) that keys find them.
@@ -208,14 +206,14 @@ def ambiguous(keys: DataFrame, roster: DataFrame, variants: dict[str, str], evid
     one = keys.filter(is_one_word(F.col("name")))
     evidence = evidence or gather(one, roster, variants)
     count = evidence.splits.groupBy("k").agg(F.count("*").alias("splits"), F.max("q").alias("q"))
-    names = settle(one.select("roster_id", "k", F.explode(spellings(variants, False)).alias("v")))
+    names = settle(spelled(one, variants, False))
     people = _people(roster).filter("first is not null")
     firsts = people.groupBy("roster_id", "first").agg(F.count_distinct(F.get("parts", F.lit(0))).alias("surnames"), F.count("*").alias("rows"))
     firsts = settle(firsts.filter((F.col("rows") > 1) & (F.col("surnames") > 1)).select("roster_id", "first"))
-    meant = names.select("roster_id", "k", F.explode(meanings("v", variants)).alias("first")).join(firsts, ["roster_id", "first"], "left_semi").select("k")
+    same = meant(names, variants).withColumnRenamed("p", "first").join(firsts, ["roster_id", "first"], "left_semi").select("k")
     close = alike_strings(names.select("roster_id", F.col("v").alias("s")), firsts.select("roster_id", F.col("first").alias("t")), 0.95).filter("similarity > 0.95")
     close = names.join(close.select("roster_id", F.col("s").alias("v")), ["roster_id", "v"], "left_semi").select("k")
-    shared = meant.unionByName(close).distinct().withColumn("shared", F.lit(True))
+    shared = same.unionByName(close).distinct().withColumn("shared", F.lit(True))
     many = evidence.possible.groupBy("k").agg(F.count("*").alias("possible"))
     rows = one.select("k").join(count, "k", "left").join(shared, "k", "left").join(many, "k", "left")
     clear = (F.col("splits") == 1) & (F.col("q") > 0.9)

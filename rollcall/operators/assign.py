@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import settle
 from . import ambiguity
+from .dictionary import Variants
 from .match import MATCH, distinct_keys
 from .roster import name_index
 
@@ -81,7 +82,7 @@ def choose(rows: DataFrame, log: list[int] | None = None) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], f"chat_id {dict(rows.dtypes)['chat_id']}, {schema}")
 
 
-def auto_match(matches: DataFrame, roster: DataFrame, variants: dict[str, str], log: list[int] | None = None, evidence: ambiguity.Evidence | None = None) -> DataFrame:
+def auto_match(matches: DataFrame, roster: DataFrame, variants: Variants, log: list[int] | None = None, evidence: ambiguity.Evidence | None = None) -> DataFrame:
     """The match table with more ids: in order of appearance, a one-word name takes the only unused person of that firstname, a glued
     name its best split over 85, any other the only unused possible match of 90 or more. Open choices (several matches, ambiguity) take part in the first two only.
 

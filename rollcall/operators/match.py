@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import is_variant_of, possible_forms, translit_match
+from ..functions.names import translit_match
 from ..functions.text import similar
 from ..storage import settle
 from . import ambiguity
 from .candidates import described, matching_pairs
+from .dictionary import Variants, with_forms
 from .roster import name_index, nickname_index
 
 MATCH = "array<struct<id:string,db_name:string,quality:int,match_type:string,reversed:boolean>>"
@@ -30,13 +31,13 @@ def distinct_keys(looked: DataFrame) -> DataFrame:
     return settle(looked.select("roster_id", "name", "real_name").distinct().withColumn("k", F.monotonically_increasing_id()))
 
 
-def rules(variants: dict[str, str]) -> Column:
-    """The first rule that fits a pair of ``n`` (the name) and ``d`` (the roster row), as a struct (match_type, quality, reversed), or null."""
+def rules() -> Column:
+    """The first rule that fits a pair of ``n`` (the name, with what the dictionary says of its parts) and ``d`` (the roster row), as a struct (match_type, quality, reversed), or null."""
     n, d = (lambda p: F.col(f"n.{p}")), (lambda p: F.col(f"d.{p}"))
     same = lambda a, b: F.lower(n(a)) == F.lower(d(b))
     fuzzy = lambda a, b: similar(n(a), d(b), 0.75)
     sounds = lambda a, b, t: translit_match(n(a), d(b), t, F.col(f"n_latin.{a}"), F.col(f"d_latin.{b}"))
-    variant = lambda a, b: is_variant_of(n(a), d(b), variants)
+    variant = lambda a, b: F.coalesce(F.array_contains(F.col(f"n_{a}.means"), F.lower(d(b))), F.lit(False))
     full = d("surname").isNotNull()
     two, one = n("surname").isNotNull() & full, n("word").isNotNull() & full
     table = [
@@ -60,13 +61,15 @@ def rules(variants: dict[str, str]) -> Column:
     return out
 
 
-def rule_pairs(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto") -> DataFrame:
+def rule_pairs(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str = "auto") -> DataFrame:
     """(roster_id, k, pos, id, db_name, match_type, quality, reversed) of all pairs with a rule; keys have (roster_id, k, lookup)."""
     names = described(keys.select("roster_id", "k", "lookup"), F.col("lookup"), "n")
-    names = settle(names.withColumn("forms", F.transform(possible_forms(F.col("n.word"), variants), lambda x: F.lower(x))))
+    names = with_forms(names, {"n_word": F.col("n.word")}, variants)
+    names = with_forms(names, {"n_firstname": F.col("n.firstname"), "n_rev_firstname": F.col("n.rev_firstname")}, variants, False)
+    names = settle(names.withColumn("forms", F.transform("n_word.possible", lambda x: F.lower(x))).drop("n_word"))
     people = settle(described(name_index(roster), F.col("full_name"), "d", ("word", "surname", "firstname", "full")))
     # Exploded, so that the rules are evaluated once and not again for each of their results.
-    rule = F.explode(F.array(rules(variants))).alias("r")
+    rule = F.explode(F.array(rules())).alias("r")
     found = matching_pairs(names, people, mode).select("roster_id", "k", "pos", "id", "full_name", rule).filter("r is not null")
     return found.select("roster_id", "k", "pos", "id", F.col("full_name").alias("db_name"), "r.match_type", "r.quality", "r.reversed")
 
@@ -85,13 +88,13 @@ def pick_best(pairs: DataFrame) -> DataFrame:
     )
 
 
-def one_word_names(keys: DataFrame, roster: DataFrame, variants: dict[str, str]) -> ambiguity.Evidence:
+def one_word_names(keys: DataFrame, roster: DataFrame, variants: Variants) -> ambiguity.Evidence:
     """What splits and possible matches the distinct one-word names of keys have."""
     names = keys.filter(ambiguity.is_one_word(F.col("name"))).select("roster_id", "name").withColumn("real_name", F.lit(None).cast("string"))
     return ambiguity.gather(distinct_keys(names), roster, variants)
 
 
-def resolve(keys: DataFrame, roster: DataFrame, variants: dict[str, str], mode: str = "auto", evidence: ambiguity.Evidence | None = None) -> DataFrame:
+def resolve(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str = "auto", evidence: ambiguity.Evidence | None = None) -> DataFrame:
     """M2-M18 for distinct keys (roster_id, name, real_name, k): (k, id, match_type, quality, reversed, db_name, all_matches)."""
     index = name_index(roster).select("roster_id", F.col("full_name").alias("db_name"), F.col("id"))
     evidence = evidence or one_word_names(keys, roster, variants)
@@ -129,13 +132,13 @@ def manual(looked: DataFrame, overrides: DataFrame, roster: DataFrame) -> DataFr
     return rows.groupBy("chat_id", "name").agg(F.max_by("manual_id", F.struct(F.col("only").isNotNull(), "manual_id")).alias("manual_id"))
 
 
-def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+def match_names(people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: Variants, overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """(chat_id, roster_id, name, first_seq, ord, real_name, id, match_type, quality, reversed, db_name, all_matches, auto_matched); unrecognised names have no id."""
     return match_with_evidence(people, aliases, roster, variants, overrides, mode)[0]
 
 
 def match_with_evidence(
-    people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto"
+    people: DataFrame, aliases: DataFrame, roster: DataFrame, variants: Variants, overrides: DataFrame | None = None, mode: str = "auto"
 ) -> tuple[DataFrame, ambiguity.Evidence]:
     """The result of :func:`match_names`, and what was found out about one-word names, for automatic assignment."""
     looked = settle(lookups(people, aliases))
@@ -169,7 +172,7 @@ def select_alternative(matches: DataFrame, choices: DataFrame) -> DataFrame:
     return rows.select(*[F.when(has, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in matches.columns])
 
 
-def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: DataFrame, changed: DataFrame, variants: dict[str, str], overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+def rematch(matches: DataFrame, people: DataFrame, aliases: DataFrame, roster: DataFrame, changed: DataFrame, variants: Variants, overrides: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """Results of chats whose roster is among ``changed`` (roster_id) are made anew, automatic assignment included; the others stay."""
     from .assign import auto_match  # which needs this module
 

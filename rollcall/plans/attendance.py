@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assign, chat, match, recommend, report
+from ..operators.dictionary import Variants
 from ..sources.screen import screen_documents
 from ..storage import settle
 
@@ -21,7 +22,7 @@ class Attendance:
     rejected: DataFrame
 
 
-def attendance(chats: DataFrame, roster: DataFrame, variants: dict[str, str], keyword: str | None = None, overrides: DataFrame | None = None, mode: str = "auto") -> Attendance:
+def attendance(chats: DataFrame, roster: DataFrame, variants: Variants, keyword: str | None = None, overrides: DataFrame | None = None, mode: str = "auto") -> Attendance:
     """Screen, parse, match, assign and report; ``rejected`` are chats with unsafe text."""
     safe, rejected = screen_documents(chats)
     rows = settle(chat.messages(safe))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
-from ..operators import ambiguity, chat, match, recommend, report, roster, thread
+from ..operators import ambiguity, chat, dictionary, match, recommend, report, roster, thread
 from ..sources import rosters as R
 from ..sources import screen, sinks
 from ..storage import settle
@@ -258,6 +258,15 @@ def n11_is_variant(spark, sf_dir):
     return names.select("conv_id", "turn", N.is_variant_of("first", F.lit("олександр"), VARIANTS).alias("is_variant"), F.array_join(F.array_sort(N.possible_forms("first", VARIANTS)), ",").alias("forms"))
 
 
+@query
+def n13_forms_by_table(spark, sf_dir):
+    """A dictionary as a table, of the longer words of the benchmark texts with their beginnings as forms, asked for all words of the conversations."""
+    words = lambda name: _read(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w")).distinct()
+    table = words("benchmark").filter(F.length("w") >= 6).select(F.col("w").alias("variant"), F.substring("w", 1, 5).alias("standard_form"))
+    found = dictionary.look_up(words("conversations"), table)
+    return found.select("w", "form", F.array_join("means", ",").alias("means"), F.array_join(F.array_sort("possible"), ",").alias("forms"))
+
+
 @query
 def n15_order_similarity(spark, sf_dir):
     p = _pairs(spark, sf_dir)

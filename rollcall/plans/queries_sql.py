@@ -262,3 +262,14 @@ SQL |= {
     "s11_roster_list": f"{_W}, l AS (SELECT roster_id, pos, pos % 3 <> 0 AS given, CASE WHEN pos % 3 = 0 THEN pos + 1 ELSE pos + 2 END AS claim, surname || ' ' || firstname || CASE WHEN pos % 3 = 0 THEN ' №' ELSE ' x' END || id AS full_name FROM roster), o AS (SELECT *, row_number() OVER (PARTITION BY roster_id, claim ORDER BY pos) = 1 AS first FROM l) SELECT roster_id, pos, full_name, CAST(claim AS VARCHAR) || CASE WHEN first THEN '' ELSE '_1' END AS id FROM o WHERE first OR NOT given",
     "s17_attendance_json": f"{_CHAT}, j AS (SELECT p.*, idx.id AS found_id, real.real_name, CASE WHEN p.name LIKE '%(%' THEN 1 ELSE 0 END AS ord FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, first_seq, ord, coalesce(found_id, '?') AS id, CASE WHEN found_id IS NOT NULL THEN name ELSE real_name END AS n, name, found_id IS NOT NULL AS found, CASE WHEN found_id IS NOT NULL THEN 'exact-match' WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS kind FROM j) SELECT chat_id, count(*) AS total, CAST(to_json({{'version': '3.0', 'date': '2024-01-01', 'totalParticipants': count(*), 'participants': list({{'id': id, 'surname': coalesce(split_part(n, ' ', 1), ''), 'firstname': coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), ''), 'nickname': name, 'inDatabase': found, 'matchType': kind}} ORDER BY first_seq, ord)}}) AS VARCHAR) AS value FROM i GROUP BY 1",
 }
+
+_WORDS = lambda table: f"(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM {table})"
+_CLOSE = "w = k OR 1 - CAST(levenshtein(w, k) AS DOUBLE) / greatest(length(w), length(k)) > 0.7"
+
+SQL |= {
+    "n13_forms_by_table": f"""WITH d AS (SELECT w AS k, left(w, 5) AS v FROM {_WORDS("benchmark")} WHERE length(w) >= 6), x AS (
+  SELECT w, v AS direct FROM {_WORDS("conversations")} LEFT JOIN d ON k = w
+), f AS (
+  SELECT w, string_agg(DISTINCT v, ',' ORDER BY v) AS forms FROM x JOIN d ON starts_with(w, k) OR starts_with(k, w) OR {_CLOSE} WHERE direct IS NULL GROUP BY w
+) SELECT w, coalesce(direct, w) AS form, CASE WHEN direct <> w THEN w || ',' || direct ELSE w END AS means, coalesce(direct, forms, '') AS forms FROM x LEFT JOIN f USING (w)""",
+}
