@@ -10,16 +10,18 @@ LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "h", "ґ": "g", "д": "d", "е": "e", "є": "ye", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "yi", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
     "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya",
 }
-OTHERS = "г g h; и y i; і i y yi; е e ie; є ye ie je; ж zh j; х kh h x; ц ts c; ч ch tch; ш sh; щ shch sch; ю yu iu ju; я ya ia ja"
-GROUPS = "shch щ, sch щ, zh ж, ch ч, kh х, sh ш, ts ц, ya я, ye є, yu ю, yi ї, ia я, ie є, iu ю, ja я, je є, ju ю"
+OTHERS = {
+    "г": ["g", "h"], "и": ["y", "i"], "і": ["i", "y", "yi"], "е": ["e", "ie"], "є": ["ye", "ie", "je"], "ж": ["zh", "j"], "х": ["kh", "h", "x"], "ц": ["ts", "c"], "ч": ["ch", "tch"], "ш": ["sh"], "щ": ["shch", "sch"],
+    "ю": ["yu", "iu", "ju"], "я": ["ya", "ia", "ja"],
+}
+# Latin letter groups in Cyrillic script, then single letters, then corrections, each in the order in which they apply.
+GROUPS = {
+    "shch": "щ", "sch": "щ", "zh": "ж", "ch": "ч", "kh": "х", "sh": "ш", "ts": "ц", "ya": "я", "ye": "є", "yu": "ю", "yi": "ї", "ia": "я", "ie": "є", "iu": "ю", "ja": "я", "je": "є", "ju": "ю",
+}
 SINGLES = ("abvhgdejzyiklmnoprstufxc", "абвгґдежзиіклмнопрстуфхц")
-FIXES = "йа я, йе є, йу ю, йі ї, зг зґ"
+FIXES = {"йа": "я", "йе": "є", "йу": "ю", "йі": "ї", "зг": "зґ"}
 #: The dictionary of the registered queries.
-VARIANTS = "ваня іван, саша олександр, оля ольга, люда людмила, коля микола, катя катерина, таня тетяна, міша михайло, женя євген"
-
-
-def _pairs(text: str) -> list[tuple[str, str]]:
-    return [tuple(x.split()) for x in text.split(", ")]
+VARIANTS = {"ваня": "іван", "саша": "олександр", "оля": "ольга", "люда": "людмила", "коля": "микола", "катя": "катерина", "таня": "тетяна", "міша": "михайло", "женя": "євген"}
 
 
 def _title(x: str) -> str:
@@ -31,7 +33,7 @@ def _map(items: dict[str, str]) -> str:
 
 
 _LETTERS = _map({k: f"'{v}'" for a, b in LATIN.items() for k, v in ((a, b), (a.upper(), _title(b)))})
-_OTHERS = _map({x.split()[0]: "[" + ", ".join(f"'{v}'" for v in x.split()[1:]) + "]" for x in OTHERS.split("; ")})
+_OTHERS = _map({k: "[" + ", ".join(f"'{v}'" for v in spelt) + "]" for k, spelt in OTHERS.items()})
 ONE_WORD = "^[A-Za-zА-Яа-яІіЇїЄєҐґ'']+$"
 CYRILLIC = "[а-яА-ЯіІїЇєЄґҐ]"
 
@@ -41,12 +43,12 @@ def latin(x: str) -> str:
 
 
 def cyrillic(x: str) -> str:
-    for a, b in _pairs(GROUPS):
+    for a, b in GROUPS.items():
         x = f"replace(replace({x}, '{_title(a)}', '{b.upper()}'), '{a}', '{b}')"
     x = f"translate({x}, '{SINGLES[0] + SINGLES[0].upper()}', '{SINGLES[1] + SINGLES[1].upper()}')"
-    for a, b in _pairs(FIXES):
+    for a, b in FIXES.items():
         x = f"replace({x}, '{a}', '{b}')"
-    for a, b in _pairs(FIXES):
+    for a, b in FIXES.items():
         x = f"replace({x}, '{_title(a)}', '{_title(b)}')"
     return x
 
@@ -73,7 +75,7 @@ def russian(x: str) -> str:
 
 
 def form(x: str) -> str:
-    return f"CASE lower({x}) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _pairs(VARIANTS)) + f" ELSE lower({x}) END"
+    return f"CASE lower({x}) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in VARIANTS.items()) + f" ELSE lower({x}) END"
 
 
 def is_variant(a: str, b: str) -> str:
@@ -82,7 +84,7 @@ def is_variant(a: str, b: str) -> str:
     return f"coalesce(length({a}) > 0 AND length({b}) > 0 AND CASE WHEN lower({a}) = lower({b}) THEN true WHEN ({form(a)}) <> lower({a}) THEN ({form(a)}) = lower({b}) WHEN {other} <> lower({a}) THEN ({form(other)}) = lower({b}) ELSE false END, false)"
 
 
-_VT = "vt AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _pairs(VARIANTS)) + ") AS t(k, v))"
+_VT = "vt AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in VARIANTS.items()) + ") AS t(k, v))"
 
 
 def possible(table: str, name: str, column: str) -> str:

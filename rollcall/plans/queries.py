@@ -5,6 +5,7 @@ Arrays and structs are written as text, so that both engines give the same value
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from ..functions import text as X
 from ..operators import ambiguity, chat, dictionary, match, recommend, report, roster, thread
 from ..sources import rosters as R
 from ..sources import screen, sinks
-from ..storage import settle
+from ..sources.chats import read_chats
+from ..storage import settle, shared_dir
 from . import fixtures
 from .attendance import attendance, counts_per_chat, review
 from .queries_sql import SQL
@@ -120,6 +122,15 @@ def _roster_files(spark: SparkSession, sf_dir: str, sep: str, columns: tuple[str
 # ---------------------------------------------------------------- transcripts
 
 
+@query
+def s1_read_chats(spark, sf_dir):
+    """Transcripts written as a file each, and read as such."""
+    path = f"{shared_dir(spark)}/chats-{uuid.uuid4().hex}"
+    fixtures.chats(spark, sf_dir).select("chat_id", "text").repartition("chat_id").write.partitionBy("chat_id").text(path)
+    rows = read_chats(spark, path, "r")
+    return rows.select(F.regexp_extract("chat_id", "chat_id=([0-9]+)", 1).alias("chat_id"), "roster_id", "text")
+
+
 @query
 def p1_messages(spark, sf_dir):
     return chat.extract_messages(fixtures.chats(spark, sf_dir)).select("chat_id", F.col("seq").cast("long").alias("seq"), "time", "sender_raw")
@@ -307,6 +318,13 @@ def d3_lookups(spark, sf_dir):
     return roster.lookup_nickname(named, r).select("roster_id", "asked", "by_name", F.col("id").alias("by_nickname"))
 
 
+@query
+def d3_lookup_id(spark, sf_dir):
+    r = fixtures.rosters(spark, sf_dir)
+    asked = r.select("roster_id", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("id"))
+    return roster.lookup_id(asked, r).select("roster_id", "id", F.col("pos").cast("long").alias("pos"), "surname", "firstname")
+
+
 @query
 def d5_search(spark, sf_dir):
     return roster.search(fixtures.rosters(spark, sf_dir), "ЕНК").select("roster_id", "id", "surname")
@@ -410,6 +428,14 @@ def m23_matches(spark, sf_dir):
     return _matched(spark, sf_dir).select("chat_id", "name", "id", "match_type", "quality", "reversed", F.coalesce(_ids(), F.lit("")).alias("candidates"))
 
 
+@query
+def m1_matched_by_hand(spark, sf_dir):
+    """Whole matching with manual assignments of full names, which go before everything else where the person is in the meeting's roster."""
+    people, aliases, r = _meet(spark, sf_dir)
+    by_hand = r.groupBy(roster.full_name().alias("name")).agg(F.max(F.col("id").cast("long")).cast("string").alias("id")).select(F.lit(None).cast("string").alias("chat_id"), "name", "id")
+    return match.match_names(people, aliases, r, VARIANTS, by_hand).select("chat_id", "name", "id", "match_type", "quality")
+
+
 @query
 def m14_one_word_rules(spark, sf_dir):
     """The rules for one-word, glued and misspelt names."""
@@ -566,6 +592,14 @@ def s15_attendance_rows(spark, sf_dir):
     return rows.toDF("chat_id", "first_seq", "ord", "id", "surname", "firstname", "nickname", "status").select("chat_id", "id", "surname", "firstname", "nickname", "status")
 
 
+@query
+def s16_attendance_csv(spark, sf_dir):
+    """The lines of the files that the CSV sink writes, headers included."""
+    path = f"{shared_dir(spark)}/attendance-{uuid.uuid4().hex}"
+    sinks.write_attendance_csv(_exact_report(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("chat_id").cast("string").alias("chat_id"), F.col("value").alias("line"))
+
+
 @query
 def s17_attendance_json(spark, sf_dir):
     rows = sinks.attendance_documents(_exact_report(spark, sf_dir), "2024-01-01")

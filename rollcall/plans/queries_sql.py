@@ -116,6 +116,7 @@ SQL: dict[str, str] = {
     "m1_manual": f"{_CHAT}, o AS (SELECT surname || ' ' || firstname AS name, CAST(max(custkey) AS VARCHAR) AS id FROM roster GROUP BY 1) SELECT p.chat_id, p.name, o.id AS manual_id FROM people p JOIN o USING (name) JOIN roster r ON r.roster_id = p.roster_id AND r.id = o.id",
     "r2_exact_report": f"{_CHAT}, j AS (SELECT p.*, idx.id, real.real_name FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, coalesce(id, '?') AS id, CASE WHEN id IS NOT NULL THEN name ELSE real_name END AS n, name AS nickname, id IS NOT NULL AS found, CASE WHEN id IS NOT NULL THEN 'exact-match' WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS match_type FROM j) SELECT chat_id, id, coalesce(split_part(n, ' ', 1), '') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '') AS firstname, nickname, found, match_type FROM i",
     "s15_attendance_rows": f"{_CHAT}, j AS (SELECT p.*, idx.id, real.real_name FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, id, CASE WHEN id IS NOT NULL THEN name ELSE real_name END AS n, name AS nickname FROM j) SELECT chat_id, coalesce(id, '?') AS id, coalesce(split_part(n, ' ', 1), '-') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '-') AS firstname, nickname, CASE WHEN id IS NOT NULL THEN 'В базі' ELSE 'Не знайдено в базі' END AS status FROM i",
+    "s16_attendance_csv": f"""{_CHAT}, j AS (SELECT p.*, idx.id, real.real_name FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, id, CASE WHEN id IS NOT NULL THEN name ELSE real_name END AS n, name AS nickname FROM j), v AS (SELECT chat_id, coalesce(id, '?') AS id, coalesce(split_part(n, ' ', 1), '-') AS surname, coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), '-') AS firstname, nickname, CASE WHEN id IS NOT NULL THEN 'В базі' ELSE 'Не знайдено в базі' END AS status FROM i) SELECT chat_id, '"' || id || '","' || surname || '","' || firstname || '","' || nickname || '","' || status || '"' AS line FROM v UNION ALL SELECT DISTINCT chat_id, '"ID","Прізвище","Ім''я","Zoom nickname","Статус"' FROM v""",
 }
 
 _RCHAT = _CHAT.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -272,4 +273,16 @@ SQL |= {
 ), f AS (
   SELECT w, string_agg(DISTINCT v, ',' ORDER BY v) AS forms FROM x JOIN d ON starts_with(w, k) OR starts_with(k, w) OR {_CLOSE} WHERE direct IS NULL GROUP BY w
 ) SELECT w, coalesce(direct, w) AS form, CASE WHEN direct <> w THEN w || ',' || direct ELSE w END AS means, coalesce(direct, forms, '') AS forms FROM x LEFT JOIN f USING (w)""",
+    "s1_read_chats": f"{_WS} SELECT CAST(conv_id AS VARCHAR) AS chat_id, 'r' AS roster_id, string_agg('09:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':' || lpad(CAST(conv_id % 60 AS VARCHAR), 2, '0') || ' From ' || shown || ' to Everyone: ' || text, chr(10) ORDER BY turn) || chr(10) AS text FROM speakers GROUP BY conv_id",
+    "d3_lookup_id": f"{_W} SELECT roster_id, CASE WHEN pos % 3 = 0 THEN 'x' || id ELSE id END AS id, CASE WHEN pos % 3 > 0 THEN pos END AS pos, CASE WHEN pos % 3 > 0 THEN surname END AS surname, CASE WHEN pos % 3 > 0 THEN firstname END AS firstname FROM roster",
+    "m1_matched_by_hand": f"""{_MATCHED}, o AS (SELECT surname || ' ' || firstname AS name, CAST(max(custkey) AS VARCHAR) AS given FROM roster GROUP BY 1
+), hand AS (
+  SELECT m.*, r.id AS hand_id FROM matched m LEFT JOIN o ON o.name = m.name LEFT JOIN roster r ON r.roster_id = m.roster_id AND r.id = o.given
+) SELECT chat_id, name, coalesce(hand_id, id) AS id, CASE WHEN hand_id IS NULL THEN match_type ELSE 'manual-assignment' END AS match_type, CASE WHEN hand_id IS NULL THEN quality ELSE 100 END AS quality FROM hand""",
+    "n15_order_similarity": f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, words AS (SELECT DISTINCT lower(a) AS v, lower(b) AS p FROM pairs), lcs AS (
+  SELECT v, p, 0 AS i, list_transform(range(0, length(p) + 1), lambda j: 0) AS r FROM words UNION ALL
+  SELECT v, p, i + 1, [0] || list_transform(range(1, length(p) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: greatest(r[q + 1], r[q] + CASE WHEN substring(v, i + 1, 1) = substring(p, q, 1) THEN 1 ELSE 0 END)))) FROM lcs WHERE i < length(v)
+), done AS (
+  SELECT v, p, CAST(r[-1] AS BIGINT) AS n FROM lcs WHERE i = length(v)
+) SELECT roster_id, id, n AS lcs, CASE WHEN v = p THEN 1.0::DOUBLE ELSE (CAST(n AS DOUBLE) / greatest(length(v), length(p))) * (CAST(least(length(v), length(p)) AS DOUBLE) / greatest(length(v), length(p))) END AS similarity FROM pairs JOIN done ON v = lower(a) AND p = lower(b)""",
 }

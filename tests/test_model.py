@@ -14,8 +14,7 @@ VARIANTS = {"саша": "олександр", "оля": "ольга", "olya": "
 
 
 # The tables of the SQL, which are written apart from those of the library.
-GROUPS, CORRECTIONS = dict(x.split() for x in GROUPED.split(", ")), dict(x.split() for x in FIXES.split(", "))
-LETTERS, SPELLINGS = SINGLES, {x.split()[0]: x.split()[1:] for x in OTHERS.split("; ")}
+GROUPS, CORRECTIONS, LETTERS, SPELLINGS = GROUPED, FIXES, SINGLES, OTHERS
 
 
 def distance(a, b):
