@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import to_cyrillic, to_latin
 from ..storage import settle
 from . import ambiguity
-from .candidates import PIECES_FROM, alike_strings, best_bounds, by_size
+from .candidates import PIECES_FROM, alike_strings, by_size
 from .match import distinct_keys
 from .roster import name_index
 
@@ -24,18 +24,18 @@ def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limi
     """(chat_id, name, rank, id, db_name, similarity). Glued names give their splits; others the greatest similarity over both names as they are,
     in Latin and in Cyrillic script. ``used`` (chat_id, id) are left out. ``at_least`` is exclusive.
 
-    In two steps. First each name is measured against the few people with whom it may share most letters (in rosters above ``few`` strings: against all who are
-    ``PIECES_FROM`` alike, found by keys). The ``limit``-th best unused one of a name, in the meeting where that is least, is then the threshold for the name:
-    whoever can't reach it isn't measured.
+    Names of rosters of up to ``few`` strings are measured against all people with whom they share letters enough. For larger rosters the threshold falls in two steps:
+    keys find all who are ``PIECES_FROM`` alike; the ``limit``-th best unused one of a name, in the meeting where that is least, is then the threshold for
+    the name, and whoever can't reach it isn't looked at.
     """
     keys = distinct_keys(open_names.select("roster_id", "name").withColumn("real_name", F.lit(None).cast("string")))
     asked = settle(open_names.select("chat_id", "roster_id", "name").join(keys.select("roster_id", "name", "k"), ["roster_id", "name"]))
-    glued = keys.filter(ambiguity.is_one_word(F.col("name")) & (F.length("name") >= 6))
-    splits = settle(ambiguity.split_glued(glued, roster).filter("q >= 0.7").select("k", "pos", "id", "db_name", F.col("q").alias("similarity")))
+    glued = settle(keys.filter(ambiguity.is_one_word(F.col("name")) & (F.length("name") >= 6)))
+    splits = None if glued.isEmpty() else settle(ambiguity.split_glued(glued, roster).filter("q >= 0.7").select("k", "pos", "id", "db_name", F.col("q").alias("similarity")))
     people = settle(name_index(roster).select("roster_id", "pos", "id", F.col("full_name").alias("db_name")))
     taken = settle(used.select("chat_id", "id").distinct())
     unused = lambda rows: rows.join(taken, ["chat_id", "id"], "left_anti")
-    left = keys.join(splits.select("k").distinct(), "k", "left_anti")
+    left = keys if splits is None else keys.join(splits.select("k").distinct(), "k", "left_anti")
     forms, theirs = settle(_spelled(left, "name", "s")), settle(_spelled(people, "db_name", "t"))
     s, t = forms.select("roster_id", "s"), theirs.select("roster_id", "t")
 
@@ -46,16 +46,21 @@ def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limi
         return rows.select("k", "pos", "id", "db_name", "similarity")
 
     small, large = by_size(s, t, mode, few)
-    first = [] if small is None else [best_bounds(small, t, 4 * limit, at_least)]
+    rows = [] if splits is None else [splits]
+    if small is not None:
+        rows.append(found(alike_strings(small, t, at_least, "small")))
     if large is not None:
-        first.append(alike_strings(large, t, max(at_least, PIECES_FROM), "large"))
-    close = settle(found(first[0] if len(first) == 1 else first[0].unionByName(first[1])))
-    last = Window.partitionBy("chat_id", "k").orderBy(F.desc("similarity"), "pos")
-    reached = unused(asked.join(close, "k")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") == limit).select("chat_id", "k", "similarity")
-    least = asked.join(reached, ["chat_id", "k"], "left").groupBy("roster_id", "name").agg(F.min(F.coalesce("similarity", F.lit(at_least))).alias("least"))
-    certain = found(alike_strings(forms.join(least, ["roster_id", "name"]).select("roster_id", "s", "least"), t, at_least, mode, few))
+        close = settle(found(alike_strings(large, t, max(at_least, PIECES_FROM), "large")))
+        last = Window.partitionBy("chat_id", "k").orderBy(F.desc("similarity"), "pos")
+        reached = unused(asked.join(close, "k")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") == limit).select("chat_id", "k", "similarity")
+        least = asked.join(reached, ["chat_id", "k"], "left").groupBy("roster_id", "name").agg(F.min(F.coalesce("similarity", F.lit(at_least))).alias("least"))
+        mine = forms.join(large.distinct(), ["roster_id", "s"], "left_semi").join(least, ["roster_id", "name"])
+        rows.append(found(alike_strings(mine.select("roster_id", "s", "least"), t, at_least, "large")))
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
     w = Window.partitionBy("chat_id", "name").orderBy(F.desc("similarity"), "pos")
-    return unused(asked.join(splits.unionByName(certain), "k")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("chat_id", "name", "rank", "id", "db_name", "similarity")
+    return unused(asked.join(every, "k")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("chat_id", "name", "rank", "id", "db_name", "similarity")
 
 
 def recommend(matches: DataFrame, roster: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def test_best_matches_measure_few_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(candidates, "_measured", counted)
     asked = spark.createDataFrame([("c", "r", n) for n in names], "chat_id string, roster_id string, name string")
-    rows = recommend.best_matches(asked, spark.createDataFrame([], "chat_id string, id string"), rosters(spark, unique)).collect()
+    rows = recommend.best_matches(asked, spark.createDataFrame([], "chat_id string, id string"), rosters(spark, unique), mode="large").collect()
     assert len(rows) == 3 * len(names) and all(r.db_name.split()[0] == r.name.split()[0] for r in rows)
     assert sum(measured) < 0.12 * len(names) * len(unique)
 
