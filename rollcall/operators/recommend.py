@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import to_cyrillic, to_latin
-from ..storage import settle
+from ..functions.text import likeness
+from ..storage import settle, spread
 from . import ambiguity
 from .candidates import PIECES_FROM, alike_strings, by_size
 from .match import distinct_keys
@@ -20,11 +21,24 @@ def _spelled(rows: DataFrame, name: str, form: str) -> DataFrame:
     return rows.select("roster_id", name).distinct().select("roster_id", name, F.explode(forms).alias(form)).filter(F.col(form) != "")
 
 
+def _forms(rows: DataFrame, name: str, p: str) -> DataFrame:
+    """Distinct names with their forms as columns; a form that the name has already is null."""
+    c = F.col(name)
+    return rows.select("roster_id", name, F.lower(c).alias(f"{p}0"), F.nullif(F.lower(to_latin(c)), F.lower(c)).alias(f"{p}1"), F.nullif(F.lower(to_cyrillic(c)), F.lower(c)).alias(f"{p}2")).distinct()
+
+
+def _near_people(names: DataFrame, people: DataFrame) -> DataFrame:
+    """(roster_id, name, db_name, similarity) of all names and people of a roster: for thresholds so low that letters rule out hardly any."""
+    a, b = spread(_forms(names, "name", "a"), "roster_id", "name"), settle(_forms(people, "db_name", "b"))
+    best = F.greatest(*[F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), likeness(x, y)) for x in ("a0", "a1", "a2") for y in ("b0", "b1", "b2")])
+    return a.join(b, "roster_id").select("roster_id", "name", "db_name", best.alias("similarity"))
+
+
 def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limit: int = 3, at_least: float = 0.3, mode: str = "auto", few: int = 2000) -> DataFrame:
     """(chat_id, name, rank, id, db_name, similarity). Glued names give their splits; others the greatest similarity over both names as they are,
     in Latin and in Cyrillic script. ``used`` (chat_id, id) are left out. ``at_least`` is exclusive.
 
-    Names of rosters of up to ``few`` strings are measured against all people with whom they share letters enough. For larger rosters the threshold falls in two steps:
+    Names of rosters of up to ``few`` strings are measured against all people, from 0.5 on against those with whom they share letters enough. For larger rosters the threshold falls in two steps:
     keys find all who are ``PIECES_FROM`` alike; the ``limit``-th best unused one of a name, in the meeting where that is least, is then the threshold for
     the name, and whoever can't reach it isn't looked at.
     """
@@ -36,26 +50,29 @@ def best_matches(open_names: DataFrame, used: DataFrame, roster: DataFrame, limi
     taken = settle(used.select("chat_id", "id").distinct())
     unused = lambda rows: rows.join(taken, ["chat_id", "id"], "left_anti")
     left = keys if splits is None else keys.join(splits.select("k").distinct(), "k", "left_anti")
-    forms, theirs = settle(_spelled(left, "name", "s")), settle(_spelled(people, "db_name", "t"))
-    s, t = forms.select("roster_id", "s"), theirs.select("roster_id", "t")
+    theirs = settle(_spelled(people, "db_name", "t"))
+    t = theirs.select("roster_id", "t")
 
-    def found(close: DataFrame) -> DataFrame:
-        """(k, pos, id, db_name, similarity) of pairs of strings, the best of each name and person."""
-        best = forms.join(close, ["roster_id", "s"]).join(theirs, ["roster_id", "t"]).groupBy("roster_id", "name", "db_name").agg(F.max("similarity").alias("similarity"))
+    def found(best: DataFrame) -> DataFrame:
+        """(k, pos, id, db_name, similarity) of names and people."""
         rows = keys.select("roster_id", "name", "k").join(best.filter(F.col("similarity") > at_least), ["roster_id", "name"]).join(people, ["roster_id", "db_name"])
         return rows.select("k", "pos", "id", "db_name", "similarity")
 
-    small, large = by_size(s, t, mode, few)
+    small, large = by_size(left, t, mode, few)
     rows = [] if splits is None else [splits]
-    if small is not None:
-        rows.append(found(alike_strings(small, t, at_least, "small")))
+    named = lambda forms, close: forms.join(close, ["roster_id", "s"]).join(theirs, ["roster_id", "t"]).groupBy("roster_id", "name", "db_name").agg(F.max("similarity").alias("similarity"))
+    if small is not None and at_least < 0.5:
+        rows.append(found(_near_people(small, people)))
+    elif small is not None:
+        forms = settle(_spelled(small, "name", "s"))
+        rows.append(found(named(forms, alike_strings(forms.select("roster_id", "s"), t, at_least, "small"))))
     if large is not None:
-        close = settle(found(alike_strings(large, t, max(at_least, PIECES_FROM), "large")))
+        forms = settle(_spelled(large, "name", "s"))
+        close = settle(found(named(forms, alike_strings(forms.select("roster_id", "s"), t, max(at_least, PIECES_FROM), "large"))))
         last = Window.partitionBy("chat_id", "k").orderBy(F.desc("similarity"), "pos")
         reached = unused(asked.join(close, "k")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") == limit).select("chat_id", "k", "similarity")
         least = asked.join(reached, ["chat_id", "k"], "left").groupBy("roster_id", "name").agg(F.min(F.coalesce("similarity", F.lit(at_least))).alias("least"))
-        mine = forms.join(large.distinct(), ["roster_id", "s"], "left_semi").join(least, ["roster_id", "name"])
-        rows.append(found(alike_strings(mine.select("roster_id", "s", "least"), t, at_least, "large")))
+        rows.append(found(named(forms, alike_strings(forms.join(least, ["roster_id", "name"]).select("roster_id", "s", "least"), t, at_least, "large"))))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
