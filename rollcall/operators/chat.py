@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PICTOGRAPH, col, trim
 from ..storage import settle
+from .ordering import RANGE, before, dealt, numbered, sums
 
 # The words of a transcript in English, Ukrainian and Russian.
 FROM = ("From", "Від", "От")
@@ -26,11 +27,37 @@ MESSAGE = rf"(?s){HEAD}(.*?)(?={TIME}{S}+(?:{'|'.join(FROM)})|\z)"
 
 def extract_messages(chats: DataFrame) -> DataFrame:
     """(chat_id, roster_id, seq, time, sender_raw, block) of every public message; a sender never crosses a line end."""
+    return _extracted(chats, "chat_id", "roster_id")
+
+
+def _extracted(texts: DataFrame, *keep: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(MESSAGE), F.lit(0))
-    rows = chats.select("chat_id", "roster_id", F.posexplode(found).alias("seq", "m"))
+    rows = texts.select(*keep, F.posexplode(found).alias("seq", "m"))
     # One pass for all parts: neither time nor sender holds a line end.
     rows = rows.withColumn("v", F.split(F.regexp_replace("m", rf"(?s)\A{HEAD}(.*)\z", "$1\n$2\n$3"), "\n", 3))
-    return rows.select("chat_id", "roster_id", "seq", F.get("v", F.lit(0)).alias("time"), trim(F.get("v", F.lit(1))).alias("sender_raw"), F.get("v", F.lit(2)).alias("block"))
+    return rows.select(*keep, "seq", F.get("v", F.lit(0)).alias("time"), trim(F.get("v", F.lit(1))).alias("sender_raw"), F.get("v", F.lit(2)).alias("block"))
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """(chat_id, roster_id, segment, text) of lines (chat_id, roster_id, line_no, line): parts of a transcript that no message crosses.
+
+    A part begins with a line that starts with a time and ``From``. The exception is a line behind one that ends in ``From`` (blank ones between
+    them don't count): its time may be a sender.
+    """
+    key = ["chat_id"], ["line_no"]
+    words = "|".join(FROM)
+    rows = before(dealt(lines, *key), *key, "_previous", F.when(~F.col("line").rlike(rf"\A{S}*\z"), F.col("line")))
+    begins = F.col("line").rlike(rf"\A{TIME}{S}+(?:{words})") & ~F.coalesce(F.col("_previous").rlike(rf"(?:{words}){S}*\z"), F.lit(False))
+    rows = sums(rows, *key, segment=begins.cast("int")).drop("_previous", RANGE)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return rows.groupBy("chat_id", "roster_id", "segment").agg(text.alias("text"))
+
+
+def messages_of_lines(lines: DataFrame) -> DataFrame:
+    """P1 of lines (:func:`rollcall.sources.chats.read_chat_lines`): what :func:`extract_messages` gives of the whole text, whose last line ends in a line end, in as many tasks as the text needs."""
+    rows = _extracted(segments(lines), "chat_id", "roster_id", "segment").withColumnRenamed("seq", "nth")
+    rows = numbered(rows, ["chat_id"], ["segment", "nth"], "seq")
+    return rows.select("chat_id", "roster_id", (F.col("seq") - 1).cast("int").alias("seq"), "time", "sender_raw", "block")
 
 
 def first_body_line(block: Column | str) -> Column:
@@ -80,7 +107,12 @@ def split_display_name(c: Column | str) -> Column:
 
 def messages(chats: DataFrame) -> DataFrame:
     """(chat_id, roster_id, seq, time, sender_raw, sender, sender_extra, body), without messages that are empty once cleaned."""
-    rows = extract_messages(chats).withColumn("body", clean_message(first_body_line("block"))).filter("body <> ''")
+    return cleaned(extract_messages(chats))
+
+
+def cleaned(extracted: DataFrame) -> DataFrame:
+    """P2-P5 of the rows of :func:`extract_messages` or :func:`messages_of_lines`."""
+    rows = extracted.withColumn("body", clean_message(first_body_line("block"))).filter("body <> ''")
     rows = rows.withColumn("d", split_display_name("sender_raw"))
     return rows.select("chat_id", "roster_id", "seq", "time", "sender_raw", F.col("d.name").alias("sender"), F.col("d.extra").alias("sender_extra"), "body")
 

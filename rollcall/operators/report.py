@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import split_name
 from .match import NONE
+from .ordering import numbered
 from .roster import id_order, name_index
 
 
@@ -38,7 +39,7 @@ def report_order(by: str = "id", descending: bool = False) -> list[Column]:
 
 def sort_report(report: DataFrame, by: str = "id", descending: bool = False) -> DataFrame:
     """R2: with ``place`` within the chat."""
-    return report.withColumn("place", F.row_number().over(Window.partitionBy("chat_id").orderBy(*report_order(by, descending))))
+    return numbered(report, ["chat_id"], report_order(by, descending), "place").withColumn("place", F.col("place").cast("int"))
 
 
 def dedup_report(report: DataFrame, by: str = "id", descending: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_int, similarity, trim
 from ..sources.rosters import convert_legacy
+from .ordering import dealt, numbered, sums
 
 __all__ = ["convert_legacy"]
 
@@ -88,12 +89,12 @@ def add_entries(roster: DataFrame, new: DataFrame) -> DataFrame:
     rows = new.select("roster_id", "ord", "id", trim("surname").alias("surname"), trim("firstname").alias("firstname"), F.filter(F.transform(F.coalesce("nicknames", F.array().cast("array<string>")), trim), lambda x: x != "").alias("nicknames"))
     rows = rows.filter("surname <> '' and firstname <> ''")
     ends = roster.groupBy("roster_id").agg(F.max("pos").alias("end"))
-    w = Window.partitionBy("roster_id").orderBy("ord")
-    missing = F.sum(F.col("id").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    key = ["roster_id"], ["ord"]
+    rows = sums(dealt(rows, *key), *key, nth=F.lit(1), missing=F.col("id").isNull().cast("int"))
     rows = rows.join(next_id(roster), "roster_id", "left").join(ends, "roster_id", "left")
     start = F.coalesce(F.col("next_id").cast("bigint"), F.lit(1))
     rows = rows.select(
-        "roster_id", (F.coalesce("end", F.lit(-1)) + F.row_number().over(w)).cast(dict(roster.dtypes)["pos"]).alias("pos"), F.coalesce("id", (start + missing - 1).cast("string")).alias("id"), "surname", "firstname", "nicknames",
+        "roster_id", (F.coalesce("end", F.lit(-1)) + F.col("nth")).cast(dict(roster.dtypes)["pos"]).alias("pos"), F.coalesce("id", (start + F.col("missing") - 1).cast("string")).alias("id"), "surname", "firstname", "nicknames",
     )
     return roster.select("roster_id", "pos", "id", "surname", "firstname", "nicknames").unionByName(rows)
 
@@ -138,4 +139,4 @@ def sort_roster(roster: DataFrame, by: str = "id", descending: bool = False) ->
     key = F.coalesce(F.get("nicknames", F.lit(0)), F.lit("")) if by == "nickname" else F.col(by)
     keys = id_order() if by == "id" else [F.collate(key, "uk")]
     order = [k.desc() if descending else k.asc() for k in keys]
-    return roster.withColumn("rank", F.row_number().over(Window.partitionBy("roster_id").orderBy(*order, "pos")))
+    return numbered(roster, ["roster_id"], [*order, "pos"], "rank").withColumn("rank", F.col("rank").cast("int"))

@@ -1,11 +1,12 @@
-"""Transcripts as threads of messages with replies, reactions and mentions (P10-P15). Work stays within the row but for the last step."""
+"""Transcripts as threads of messages with replies, reactions and mentions (P10-P15). Messages are numbered over ranges of lines, so that no chat is gathered."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PICTOGRAPH, trim
+from .ordering import RANGE, before, dealt, sums
 
 HEADER = r"([0-9]{2}:[0-9]{2}:[0-9]{2}) From ([^\r\n]*?) to Everyone:([^\r\n]*)\r?\z"
 REPLY = r'\AReplying to "([^"]+)":(.*)\z'
@@ -15,10 +16,14 @@ MENTION = r"@([a-zA-Z0-9_\p{IsWhite_Space}]+)"
 
 def lines_of(chats: DataFrame) -> DataFrame:
     """P10, first half: (chat_id, msg_id, line_no, is_header, line); lines before the first header and blank lines are dropped."""
-    rows = chats.select("chat_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("is_header", F.col("line").rlike(HEADER))
-    w = Window.partitionBy("chat_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("msg_id", F.sum(F.col("is_header").cast("int")).over(w))
+    return numbered_lines(chats.select("chat_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines (chat_id, line_no, line); a chat may hold any share of them."""
+    key = ["chat_id"], ["line_no"]
+    rows = lines.select("chat_id", "line_no", "line", F.col("line").rlike(HEADER).alias("is_header"))
+    rows = sums(dealt(rows, *key), *key, msg_id=F.col("is_header").cast("int"))
     return rows.filter((F.col("msg_id") > 0) & (F.col("is_header") | (trim("line") != ""))).select("chat_id", "msg_id", "line_no", "is_header", "line")
 
 
@@ -31,7 +36,16 @@ def thread_messages(chats: DataFrame) -> DataFrame:
 
     A reply line starts the content anew; a line ``user: pictographs`` is a reaction, not content; mentions are read from lines below the header.
     """
-    rows = lines_of(chats).withColumn("t", trim("line"))
+    return _threaded(lines_of(chats))
+
+
+def thread_of_lines(lines: DataFrame) -> DataFrame:
+    """P10-P14 of the lines of :func:`rollcall.sources.chats.read_chat_lines`, whose transcripts may be of any size."""
+    return _threaded(numbered_lines(lines))
+
+
+def _threaded(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("t", trim("line"))
     rows = rows.select(
         "chat_id", "msg_id", "line_no", "is_header", "t",
         (~F.col("is_header") & F.col("t").rlike(REPLY)).alias("reply"),
@@ -56,7 +70,8 @@ def thread_messages(chats: DataFrame) -> DataFrame:
 
 
 def sender_runs(thread: DataFrame) -> DataFrame:
-    """With ``run``, the number (from 1) of the run of messages in a row by one sender."""
-    w = Window.partitionBy("chat_id").orderBy("msg_id")
-    new = F.coalesce((F.col("sender") != F.lag("sender").over(w)).cast("int"), F.lit(1))
-    return thread.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    """With ``run``, the number (from 1) of the run of messages in a row by one sender; a chat may hold any share of the messages."""
+    key = ["chat_id"], ["msg_id"]
+    rows = before(dealt(thread, *key), *key, "_previous", F.struct("sender"))
+    new = F.coalesce((F.col("sender") != F.col("_previous.sender")).cast("int"), F.lit(1))
+    return sums(rows, *key, run=new).drop("_previous", RANGE)

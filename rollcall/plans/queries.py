@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..operators import ambiguity, chat, dictionary, match, recommend, report, roster, thread
 from ..sources import rosters as R
 from ..sources import screen, sinks
-from ..sources.chats import read_chats
+from ..sources.chats import read_chat_lines, read_chats
 from ..storage import settle, shared_dir
 from . import fixtures
 from .attendance import attendance, counts_per_chat, review
@@ -202,6 +202,16 @@ def p1_transcripts(spark, sf_dir):
     return chat.messages(fixtures.meetings(spark, sf_dir)).select("chat_id", "roster_id", F.col("seq").cast("long").alias("seq"), "time", "sender", "body")
 
 
+@query
+def p1_transcript_lines(spark, sf_dir):
+    """The same of transcripts that were written as files and are read by lines."""
+    path = f"{shared_dir(spark)}/chats-{uuid.uuid4().hex}"
+    fixtures.meetings(spark, sf_dir).select("chat_id", "roster_id", "text").repartitionByRange("roster_id", "chat_id").write.partitionBy("roster_id", "chat_id").text(path)
+    lines = read_chat_lines(spark, path, F.regexp_extract("path", "roster_id=([^/]+)", 1)).withColumn("chat_id", F.regexp_extract("chat_id", "chat_id=([^/]+)", 1))
+    rows = chat.cleaned(chat.messages_of_lines(lines))
+    return rows.select("chat_id", "roster_id", F.col("seq").cast("long").alias("seq"), "time", "sender", "body")
+
+
 @query
 def p6_transcript_people(spark, sf_dir):
     people, aliases = chat.parse_chat(fixtures.meetings(spark, sf_dir))
@@ -600,6 +610,15 @@ def s16_attendance_csv(spark, sf_dir):
     return spark.read.text(path).select(F.col("chat_id").cast("string").alias("chat_id"), F.col("value").alias("line"))
 
 
+@query
+def s16_attendance_files(spark, sf_dir):
+    """The rows of the files by ranges of meetings, found through their index."""
+    path = f"{shared_dir(spark)}/attendance-{uuid.uuid4().hex}"
+    sinks.write_attendance_files(_exact_report(spark, sf_dir), path, 1000)
+    rows = spark.read.csv(f"{path}/rows", header=True, escape='"').select("*", "_metadata.file_name").toDF("chat_id", "id", "surname", "firstname", "nickname", "status", "file")
+    return rows.join(spark.read.parquet(f"{path}/index"), ["chat_id", "file"]).select("chat_id", "id", "surname", "firstname", "nickname", "status")
+
+
 @query
 def s17_attendance_json(spark, sf_dir):
     rows = sinks.attendance_documents(_exact_report(spark, sf_dir), "2024-01-01")

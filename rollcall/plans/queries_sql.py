@@ -286,3 +286,5 @@ SQL |= {
   SELECT v, p, CAST(r[-1] AS BIGINT) AS n FROM lcs WHERE i = length(v)
 ) SELECT roster_id, id, n AS lcs, CASE WHEN v = p THEN 1.0::DOUBLE ELSE (CAST(n AS DOUBLE) / greatest(length(v), length(p))) * (CAST(least(length(v), length(p)) AS DOUBLE) / greatest(length(v), length(p))) END AS similarity FROM pairs JOIN done ON v = lower(a) AND p = lower(b)""",
 }
+# The same rows, read from other files.
+SQL |= {"p1_transcript_lines": SQL["p1_transcripts"], "s16_attendance_files": SQL["s15_attendance_rows"]}

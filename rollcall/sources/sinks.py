@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column names and states of the written tables.
@@ -62,6 +62,28 @@ def write_attendance_csv(report: DataFrame, path: str) -> None:
     _write(report, path, quoteAll=True, escape='"')
 
 
+def write_attendance_files(report: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """S16 for many meetings: ``path/rows`` holds CSV files by ranges of meetings, with the meeting's id as the first column, and ``path/index``
+    which file has which meeting (chat_id, file, n_rows). The number of files goes by the rows, not by the meetings; a meeting may hold any
+    share of the rows, and then lies in several files.
+    """
+    order = ["chat_id", "first_seq", "ord"]
+    rows = attendance_rows(report).repartitionByRange(*order).sortWithinPartitions(*order).drop("first_seq", "ord")
+    rows.write.option("maxRecordsPerFile", rows_per_file).csv(f"{path}/rows", header=True, quoteAll=True, escape='"')
+    written = report.sparkSession.read.schema(rows.schema).csv(f"{path}/rows", header=True, escape='"')
+    index = written.groupBy("chat_id", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
+    index.repartitionByRange("chat_id").sortWithinPartitions("chat_id", "file").write.parquet(f"{path}/index")
+
+
+def read_attendance_file(spark: SparkSession, path: str, chat_id: str) -> DataFrame:
+    """One meeting of :func:`write_attendance_files`, read from the files that the index names."""
+    files = spark.read.parquet(f"{path}/index").filter(F.col("chat_id") == chat_id).select("file").collect()  # the files of one meeting
+    schema = ", ".join(f"`{c}` string" for c in ("chat_id", *ATTENDANCE_HEADER))
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).csv([f"{path}/rows/{r.file}" for r in files], header=True, escape='"').filter(F.col("chat_id") == chat_id)
+
+
 def attendance_documents(report: DataFrame, date: str) -> DataFrame:
     """(chat_id, value): each chat's report as JSON text; ``date`` is the time of the run."""
     kind = F.coalesce("match_type", F.lit("none"))
