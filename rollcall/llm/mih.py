@@ -10,8 +10,9 @@ is taken at the first substring that tells it, so that no pair is met twice. Tho
 vectors themselves, in double precision.
 
 The radius is measured: ``reach`` of the true neighbours of some probe vectors, searched among all rows, lie within it. The number of substrings
-follows from it: short substrings are selective where neighbours are close, long ones save copies of rows where they aren't. Queries that
-find fewer than ``k`` rows within the radius are compared with all rows in a second pass, in blocks.
+follows from it: short substrings are selective where neighbours are close, long ones save copies of rows where they aren't. Where
+queries would probe nearly all cells of any substrings, the code stays whole: each row is stored once, and each pair is met once and told by its
+Hamming distance. Queries that find fewer than ``k`` rows within the radius are compared with all rows in a second pass, in blocks.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ class Coder:
         return np.packbits((x / norms(x)[:, None] - self.mean) @ self.rotation > 0, axis=1, bitorder="little")
 
     def parts(self, codes: np.ndarray) -> np.ndarray:
-        """Rows x substrings, as numbers."""
+        """Rows x substrings, as numbers; a code that stays whole lies in one cell, and its first bits stand for it."""
+        if self.substrings == 1:
+            return codes.view("<u8")[:, :1]
         return codes.view(f"<u{codes.shape[1] // self.substrings}")
 
     def allowed(self) -> list[int]:
@@ -102,12 +105,13 @@ def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 3)
 
 
 def planned(coder: Coder, radius: int, rows: int, queries: int, rows_per_cell: int) -> Coder:
-    """With the number of substrings that makes least work: copies of rows against pairs that cells hold."""
+    """With the number of substrings that makes least work: copies of rows and queries against pairs that cells hold."""
     best = None
-    for m in (m for m in (2, 4, 8, 16, 32) if coder.bits % (8 * m) == 0 and coder.bits // m <= 64):
-        trial = replace(coder, radius=radius, substrings=m, prefix=min(coder.bits // m, max(0, (rows // rows_per_cell).bit_length()), 20))
-        pairs = sum(sum(comb(trial.prefix, i) for i in range(min(a, trial.prefix) + 1)) / 2.0**trial.prefix for a in trial.allowed() if a >= 0)
-        work = m * rows * 200.0 + pairs * rows * queries
+    for m in (m for m in (1, 4, 8, 16, 32) if coder.bits % (64 if m == 1 else 8 * m) == 0 and (m == 1 or coder.bits // m <= 64)):
+        trial = replace(coder, radius=radius, substrings=m, prefix=0 if m == 1 else min(coder.bits // m, max(0, (rows // rows_per_cell).bit_length()), 20))
+        probed = [sum(comb(trial.prefix, i) for i in range(min(a, trial.prefix) + 1)) for a in trial.allowed() if a >= 0]
+        words = coder.bits // 64 if m == 1 else 1
+        work = (m * rows + sum(probed) * queries) * 200.0 + sum(probed) / 2.0**trial.prefix * words * rows * queries
         best = min(best or (work, m, trial), (work, m, trial), key=lambda x: x[:2])
     return best[2] if best else replace(coder, radius=coder.bits)
 
@@ -134,6 +138,14 @@ def search(coder: Coder, j: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarr
             a, b = np.divmod(np.arange(len(q[part]) * len(x)), len(x))
             a += at
             keep = ids[b] != qids[a]
+        elif coder.substrings == 1:
+            own, other = qcodes[part].view("<u8"), codes.view("<u8")
+            far = np.zeros((len(own), len(other)), np.uint16)
+            for w in range(own.shape[1]):
+                far += np.bitwise_count(own[:, w, None] ^ other[None, :, w])
+            a, b = np.nonzero(far <= coder.radius)
+            a += at
+            keep = ids[b] != qids[a]
         else:
             parts, asked, allowed = coder.parts(codes), coder.parts(qcodes), coder.allowed()
             a, b = np.nonzero(np.bitwise_count(asked[part, j, None] ^ parts[None, :, j]) <= allowed[j])

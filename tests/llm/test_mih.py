@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollcall.llm import mih
@@ -11,21 +12,21 @@ def hamming(a, b):
     return int(np.unpackbits(a ^ b).sum())
 
 
-@pytest.mark.parametrize("substrings", [4, 8, 16])
+@pytest.mark.parametrize("substrings", [1, 4, 8, 16])
 @pytest.mark.parametrize("radius", [0, 40, 77, 101, 120])
 def test_every_code_within_the_radius_is_found_once(substrings, radius):
     """Over all cells that a query probes, each pair within the radius is met at exactly one substring."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 24))
-    coder = replace(mih.learn(x[:200]), radius=radius, substrings=substrings, prefix=3)
+    coder = replace(mih.learn(x[:200]), radius=radius, substrings=substrings, prefix=3 if substrings > 1 else 0)
     codes, ids = coder.codes(x), np.arange(300)
     cells = coder.cells(coder.parts(codes))
     q = np.arange(0, 300, 50)
     found = []
     for j, most in enumerate(coder.allowed()):
-        for cell in range(8) if most >= 0 else ():
+        for cell in range(2**coder.prefix) if most >= 0 else ():
             rows = np.flatnonzero(cells[:, j] == cell)
-            asks = q[np.isin(cells[q, j] ^ cell, mih.masks(3, most))]
+            asks = q[np.isin(cells[q, j] ^ cell, mih.masks(coder.prefix, most))]
             if len(rows) and len(asks):
                 a, b, _ = mih.search(coder, j, ids[rows], x[rows], codes[rows], ids[asks], x[asks], codes[asks], 1000)
                 found += zip(a.tolist(), b.tolist(), strict=True)
@@ -34,10 +35,10 @@ def test_every_code_within_the_radius_is_found_once(substrings, radius):
 
 
 def test_short_substrings_where_neighbours_are_close():
-    """Tight clusters: the plan probes few cells. Isotropic vectors: it saves copies of rows instead."""
+    """Tight clusters: the plan probes few cells. Isotropic vectors, for which all cells would be probed: codes stay whole."""
     coder = mih.learn(np.random.default_rng(2).normal(size=(500, 64)))
     close, far = mih.planned(coder, 20, 10**8, 10**6, 4096), mih.planned(coder, 101, 50_000, 1000, 4096)
-    assert close.substrings >= 8 and far.substrings == 4
+    assert close.substrings >= 8 and far.substrings == 1
     assert sum(len(mih.masks(close.prefix, a)) for a in close.allowed()) < 0.05 * close.substrings * 2**close.prefix
 
 
@@ -117,6 +118,26 @@ def test_lengths_hot_vectors_and_lonely_queries(spark):
     assert {(r.query_id, r.rank) for r in exact} == {(r.query_id, r.rank) for r in got}
 
 
+def test_clustered_vectors_probe_few_cells(spark, monkeypatch):
+    """The index at work: neighbours that are close are found in under 5 % of the cells."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1200, 1, 64)) + 0.02 * rng.normal(size=(1200, 50, 64))).reshape(-1, 64)
+    x = x[rng.permutation(len(x))]
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}))
+    plans, plan = [], mih.planned
+    monkeypatch.setattr(mih, "planned", lambda *a: plans.append(plan(*a)) or plans[-1])
+    got = mih.nearest(df, df["vec_id"] % 50 == 0, rows_per_cell=64).collect()
+    coder = plans[0]
+    probed = sum(len(mih.masks(coder.prefix, a)) for a in coder.allowed() if a >= 0) / (coder.substrings * 2**coder.prefix)
+    print("radius", coder.radius, "substrings", coder.substrings, "prefix", coder.prefix, "cells probed", probed)
+    unit = x / mih.norms(x)[:, None]
+    near = np.argsort(-(unit[::50] @ unit.T), axis=1)[:, :6]
+    want = {(50 * q, int(i)) for q, row in enumerate(near) for i in [i for i in row if i != 50 * q][:5]}
+    found = len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+    assert coder.substrings >= 8 and probed < 0.05 and len(got) == len(want) and found >= 0.9
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
