@@ -2,7 +2,8 @@
 
 ``first_fit_decreasing`` keeps a tournament tree of bin capacities, ``best_fit_decreasing`` a segment tree
 over the capacities themselves. Documents are cut into pieces of at most a sequence before they are shuffled; pieces are dealt
-at random into groups, by a hash of a running number, so that equal rows are spread like all others. A group holds about ``docs_per_group``
+at random into groups, by a hash of a running number, so that equal rows are spread like all others. Pieces are written with their group before they are
+shuffled, so that a task that runs again, after a lost executor, deals none anew. A group holds about ``docs_per_group``
 pieces, hence at most about so many sequences, whatever the table's size and the documents' lengths; each is packed on its own.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, id_type, token_rows
-from .common import give_back
+from .common import give_back, saved
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int, docs_per_group: int, end_id: int | None) -> DataFrame:
@@ -24,7 +25,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: in
     least = F.coalesce(F.sum(F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / F.lit(4 * size))), F.lit(0)).alias("n")
     groups = max(1, -(-df.agg(least).first().n // docs_per_group))  # about four bytes an id
     rows = token_rows(df, id_col, text_col, tokenizer, end_id, size)
-    return rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), F.lit(groups)))
+    return saved(rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), F.lit(groups))))
 
 
 class Tournament:
