@@ -137,6 +137,6 @@ def test_bfd_query(spark, sf_dir):
 def test_groups_are_written_before_the_shuffle(spark):
     """The groups don't hang on the order of rows in a task: what is dealt comes from a table, so that the plan holds no running number."""
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).repartition(3)
-    for pack in (first_fit_decreasing, best_fit_decreasing):
+    for pack in (packing.first_fit_decreasing, packing.best_fit_decreasing):
         plan = pack(df)._jdf.queryExecution().toString()
         assert "monotonically_increasing_id" not in plan and "parquet" in plan.lower()
