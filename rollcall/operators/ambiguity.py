@@ -220,3 +220,18 @@ def ambiguous(keys: DataFrame, roster: DataFrame, variants: Variants, evidence:
     yes = F.when(clear, False).when(F.col("splits") > 1, True).when(F.col("shared"), True).otherwise(F.coalesce(F.col("possible") > 1, F.lit(False)))
     rows = rows.filter(yes).select("k").join(as_matches(evidence.possible), "k", "left")
     return rows.select("k", F.coalesce("all_matches", F.expr("cast(array() as array<struct<id:string,db_name:string,quality:int,match_type:string,reversed:boolean>>)")).alias("all_matches"))
+
+
+def related(keys: DataFrame, roster: DataFrame, variants: Variants) -> DataFrame:
+    """The ``k`` of keys (roster_id, name, k) to which any person of the roster may matter in M19-M21: as a split, full name, firstname, variant or similar word."""
+    splits = split_glued(keys, roster).select("k")
+    names, people = settle(spelled(keys, variants, True)), _people(roster)
+    part = settle(people.select("roster_id", F.explode(F.concat("parts", F.array("db_lower"))).alias("p")).distinct())
+    asked = settle(names.select("roster_id", "v").distinct())
+    # A word's meanings hold the word itself.
+    same = meant(asked, variants).join(part, ["roster_id", "p"], "left_semi").select("roster_id", "v")
+    near = asked.select("roster_id", "v", F.explode(_near_keys("v", True)).alias("near")).join(part.select("roster_id", "p", F.explode(_near_keys("p", False)).alias("near")), ["roster_id", "near"])
+    near = near.filter(order_ratio(lcs_length("v", "p"), F.col("v"), F.col("p")) > 0.85).select("roster_id", "v")
+    close = alike_strings(asked.withColumnRenamed("v", "s"), part.withColumnRenamed("p", "t"), 0.95).select("roster_id", F.col("s").alias("v"))
+    found = names.join(same.unionByName(near).unionByName(close).distinct(), ["roster_id", "v"], "left_semi").select("k")
+    return splits.unionByName(found).distinct()

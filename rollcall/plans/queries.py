@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
-from ..operators import ambiguity, chat, dictionary, match, recommend, report, roster, thread
+from ..operators import ambiguity, chat, dictionary, match, recommend, rematch, report, roster, thread
 from ..sources import rosters as R
 from ..sources import screen, sinks
 from ..sources.chats import read_chat_lines, read_chats
@@ -560,6 +560,16 @@ def m28_rematch(spark, sf_dir):
     return match.rematch(a.matches, a.people, a.aliases, fewer, changed, VARIANTS).select("chat_id", "name", "id", "match_type")
 
 
+@query
+def m28_rematch_changes(spark, sf_dir):
+    """In each roster one person leaves, one gets another firstname and one another id."""
+    a, r = _attendance(spark, sf_dir)
+    firstname = F.when(F.col("pos") == 7, "Зоряна").otherwise(F.col("firstname"))
+    ident = F.when(F.col("pos") == 9, F.concat("id", F.lit("x"))).otherwise(F.col("id"))
+    after = r.filter("pos <> 4").withColumns({"firstname": firstname, "id": ident})
+    return rematch.rematch_changes(a.matches, r, after, VARIANTS).select("chat_id", "name", "id", "match_type", "quality")
+
+
 # ---------------------------------------------------------------- reports
 
 

@@ -253,12 +253,18 @@ _REVIEW = f"""{_INFO}, unmatched AS (
     QUALIFY row_number() OVER (PARTITION BY chat_id, name, id ORDER BY step, o) = 1)
 )"""
 _FEWER = _AUTO.replace("roster AS (", "roster_before AS (", 1).replace(f"{_SPEAKERS}", f"roster AS (SELECT * FROM roster_before WHERE NOT (CAST(roster_id AS INTEGER) % 5 = 0 AND pos % 2 = 0)), {_SPEAKERS}", 1)
+_CHANGED = _AUTO.replace("roster AS (", "roster_before AS (", 1).replace(
+    f"{_SPEAKERS}",
+    f"roster AS (SELECT * REPLACE (CASE WHEN pos = 7 THEN 'Зоряна' ELSE firstname END AS firstname, CASE WHEN pos = 9 THEN id || 'x' ELSE id END AS id) FROM roster_before WHERE pos <> 4), {_SPEAKERS}",
+    1,
+)
 
 SQL |= {
     "m24_recommend": f"{_REVIEW} SELECT chat_id, name, rank, id, s AS similarity FROM recommended",
     "m27_review": f"{_REVIEW} SELECT chat_id, name, rank, id, quality FROM reviewed",
     "r6_alternatives": f"{_REVIEW} SELECT l.chat_id, l.nickname, l.found, NOT l.found AND EXISTS (SELECT 1 FROM reviewed r WHERE r.chat_id = l.chat_id AND r.name = l.nickname) AS has_alternatives FROM lines l",
     "m28_rematch": f"{_FEWER} SELECT chat_id, name, id, match_type FROM assigned",
+    "m28_rematch_changes": f"{_CHANGED} SELECT chat_id, name, id, match_type, quality FROM assigned",
     "m25_best_matches": f"WITH {_ROSTER}, {_SPEAKERS}, {_INDEX}, cut_names AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS chat_id, roster_id, substring(shown, 2, length(shown) - 2) AS name FROM speakers), splits AS (SELECT roster_id, '' AS name, id, full_name, pos, 0.0::DOUBLE AS q FROM idx WHERE false), {_best('cut_names', '(SELECT DISTINCT CAST(s.conv_id AS VARCHAR) AS chat_id, i.id FROM speakers s JOIN idx i ON i.roster_id = s.roster_id AND i.full_name = s.shown)', 'closest')} SELECT chat_id, name, rank, id, s AS similarity FROM closest",
     "s11_roster_list": f"{_W}, l AS (SELECT roster_id, pos, pos % 3 <> 0 AS given, CASE WHEN pos % 3 = 0 THEN pos + 1 ELSE pos + 2 END AS claim, surname || ' ' || firstname || CASE WHEN pos % 3 = 0 THEN ' №' ELSE ' x' END || id AS full_name FROM roster), o AS (SELECT *, row_number() OVER (PARTITION BY roster_id, claim ORDER BY pos) = 1 AS first FROM l) SELECT roster_id, pos, full_name, CAST(claim AS VARCHAR) || CASE WHEN first THEN '' ELSE '_1' END AS id FROM o WHERE first OR NOT given",
     "s17_attendance_json": f"{_CHAT}, j AS (SELECT p.*, idx.id AS found_id, real.real_name, CASE WHEN p.name LIKE '%(%' THEN 1 ELSE 0 END AS ord FROM people p LEFT JOIN idx ON idx.roster_id = p.roster_id AND idx.full_name = p.name LEFT JOIN real ON real.chat_id = p.chat_id AND real.name = p.name), i AS (SELECT chat_id, first_seq, ord, coalesce(found_id, '?') AS id, CASE WHEN found_id IS NOT NULL THEN name ELSE real_name END AS n, name, found_id IS NOT NULL AS found, CASE WHEN found_id IS NOT NULL THEN 'exact-match' WHEN real_name IS NOT NULL THEN 'real-name-tag' ELSE 'not-found' END AS kind FROM j) SELECT chat_id, count(*) AS total, CAST(to_json({{'version': '3.0', 'date': '2024-01-01', 'totalParticipants': count(*), 'participants': list({{'id': id, 'surname': coalesce(split_part(n, ' ', 1), ''), 'firstname': coalesce(substring(n, length(split_part(n, ' ', 1)) + 2), ''), 'nickname': name, 'inDatabase': found, 'matchType': kind}} ORDER BY first_seq, ord)}}) AS VARCHAR) AS value FROM i GROUP BY 1",
