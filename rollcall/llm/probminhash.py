@@ -10,9 +10,10 @@ Texts that agree in a band of registers of either signature are candidates; thos
 are linked. Classes are the connected texts. Texts are told apart by 128 bits of hash of their words (without words: of the
 text), so that copies are one node. Null and empty texts are in no class but their own.
 
-No bucket makes all its pairs: up to ``pairs_below`` texts in a bucket are compared with each other; larger buckets
-compare their texts with a few centres, round by round, until every text outside the bucket's main class has been a centre.
-That finds every class that all pairs would. A bucket's texts are dealt into parts of about ``part`` for that, each with all centres.
+Up to ``pairs_below`` texts in a bucket are compared with each other; larger buckets compare their texts with a few centres, round by round, until every
+text outside the bucket's main class has been a centre. That finds every class that all pairs would, and costs few comparisons where a bucket holds mostly one class. A bucket
+of texts that are alike enough to meet but not to be linked costs as many comparisons as all its pairs, spread over tasks: its texts are dealt into parts
+of about ``part``, each with all centres. No rows are made of pairs that aren't links.
 """
 
 from __future__ import annotations
