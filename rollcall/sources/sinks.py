@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settle
+from .bundles import write_lines
+
 # Column names and states of the written tables.
 ROSTER_HEADER = ("ID", "Прізвище", "Ім'я", "Нікнейм1", "Нікнейм2")
 ATTENDANCE_HEADER = ("ID", "Прізвище", "Ім'я", "Zoom nickname", "Статус")
@@ -62,6 +65,22 @@ def write_attendance_csv(report: DataFrame, path: str) -> None:
     _write(report, path, quoteAll=True, escape='"')
 
 
+def attendance_lines(report: DataFrame) -> DataFrame:
+    """(name, first_seq, ord, text): the lines of each meeting's CSV file, its header first; ``name`` is the meeting."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = attendance_rows(report)
+    lines = rows.select(F.col("chat_id").alias("name"), "first_seq", "ord", F.concat_ws(",", *[quoted(F.col(f"`{c}`")) for c in ATTENDANCE_HEADER]).alias("text"))
+    # Before every row, as nulls come first.
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("first_seq", "ord")]
+    return lines.unionByName(rows.select(F.col("chat_id").alias("name")).distinct().select("name", *none, F.concat_ws(",", *[quoted(F.lit(c)) for c in ATTENDANCE_HEADER]).alias("text")))
+
+
+def write_attendance_bundle(report: DataFrame, path: str) -> None:
+    """S16 for many meetings: each meeting's CSV file, header included, in few files (:mod:`rollcall.sources.bundles`)."""
+    lines = settle(attendance_lines(report))  # read twice: ranges are found before rows are dealt
+    write_lines(lines, path, "first_seq", "ord")
+
+
 def write_attendance_files(report: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """S16 for many meetings: ``path/rows`` holds CSV files by ranges of meetings, with the meeting's id as the first column, and ``path/index``
     which file has which meeting (chat_id, file, n_rows). The number of files goes by the rows, not by the meetings; a meeting may hold any
