@@ -61,8 +61,31 @@ def rules() -> Column:
     return out
 
 
+def asked_names(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct names (roster_id, lookup, k) that keys (roster_id, k, lookup) ask for, with a number of their own, and (k, q): the key and the number of its name.
+
+    Many display names stand for one real name; rules look at that alone.
+    """
+    keys = keys.select("roster_id", "k", "lookup")
+    names = settle(keys.select("roster_id", "lookup").filter("lookup is not null").distinct().withColumn("k", F.monotonically_increasing_id()))
+    return names, keys.join(names.withColumnRenamed("k", "q"), ["roster_id", "lookup"]).select("k", "q")
+
+
 def rule_pairs(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str = "auto") -> DataFrame:
     """(roster_id, k, pos, id, db_name, match_type, quality, reversed) of all pairs with a rule; keys have (roster_id, k, lookup)."""
+    names, of = asked_names(keys)
+    pairs = settle(_rule_pairs(names, roster, variants, mode))
+    return of.join(pairs.withColumnRenamed("k", "q"), "q").select(pairs.columns)
+
+
+def best_by_rules(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str = "auto") -> DataFrame:
+    """What :func:`pick_best` gives of :func:`rule_pairs`, picked once a name that is asked for."""
+    names, of = asked_names(keys)
+    best = settle(pick_best(_rule_pairs(names, roster, variants, mode)))
+    return of.join(best.withColumnRenamed("k", "q"), "q").select(best.columns)
+
+
+def _rule_pairs(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str) -> DataFrame:
     names = described(keys.select("roster_id", "k", "lookup"), F.col("lookup"), "n")
     names = with_forms(names, {"n_word": F.col("n.word")}, variants)
     names = with_forms(names, {"n_firstname": F.col("n.firstname"), "n_rev_firstname": F.col("n.rev_firstname")}, variants, False)
@@ -116,7 +139,7 @@ def resolve(keys: DataFrame, roster: DataFrame, variants: Variants, mode: str =
         F.when(F.col("match_type") == "ambiguous-name", F.col("possible")).cast(MATCH).alias("all_matches"),
     )
     rest = rows.filter("match_type is null").select("roster_id", "k", F.coalesce("real_name", "name").alias("lookup"))
-    best = pick_best(rule_pairs(rest, roster, variants, mode))
+    best = best_by_rules(rest, roster, variants, mode)
     late = rest.select("k").join(best, "k", "left").select("k", "id", F.coalesce("match_type", F.lit("not-found")).alias("match_type"), F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("reversed", F.lit(False)).alias("reversed"), "db_name", "all_matches")
     return early.unionByName(late)
 
