@@ -30,30 +30,44 @@ def edits_allowed(length: Column, threshold: float) -> Column:
     return F.floor(F.lit(1 - threshold) * F.floor(length / F.lit(threshold) + F.lit(1e-9)) + F.lit(1e-9)).cast("int")
 
 
+def _edits(x: Column, y: Column, threshold: float) -> Column:
+    """Most edits between two strings of these lengths that are similar enough."""
+    return F.floor(F.lit(1 - threshold) * F.greatest(x, y) + F.lit(1e-9)).cast("int")
+
+
 def segments(c: Column | str, threshold: float) -> Column:
-    """The string's pieces as structs (size of the string, number, piece)."""
+    """The string's pieces as structs (size of the string, pieces, number, piece): one piece more than the edits allowed, which depends on how long the other string is."""
     x = col(c)
     n = F.length(x)
-    pieces = edits_allowed(n, threshold) + 1
-    start = lambda i: F.floor(i * n / pieces).cast("int")
-    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(n.alias("size"), i.alias("no"), F.substring(x, start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+    start = lambda i, pieces: F.floor(i * n / pieces).cast("int")
+    piece = lambda i, pieces: F.substring(x, start(i, pieces) + 1, start(i + 1, pieces) - start(i, pieces))
+    cut = lambda pieces: F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(n.alias("size"), pieces.alias("pieces"), i.alias("no"), piece(i, pieces).alias("piece")))
+    least = F.floor(F.lit(1 - threshold) * n + F.lit(1e-9)).cast("int")
+    return F.flatten(F.transform(F.sequence(least + 1, F.greatest(edits_allowed(n, threshold), least) + 1), cut))
 
 
 def probes(c: Column | str, threshold: float) -> Column:
-    """Every substring of the string that may be a piece of a similar one, as structs (size, number, piece)."""
+    """Every substring of the string that may be a piece of a similar one, as structs (size, pieces, number, piece).
+
+    Of the pieces that a similar string keeps, one has as many edits before it, at most, as pieces before it, and as many behind it, at most, as pieces behind it; that bounds where
+    it stands from either end.
+    """
     x = col(c)
     n = F.length(x)
     low = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int"))
     high = F.greatest(low, F.floor(n / F.lit(threshold) + F.lit(1e-9)).cast("int"))
 
     def of_size(size: Column) -> Column:
-        pieces = edits_allowed(size, threshold) + 1
+        pieces = _edits(n, size, threshold) + 1
         start = lambda i: F.floor(i * size / pieces).cast("int")
 
         def of_piece(i: Column) -> Column:
             length = start(i + 1) - start(i)
-            places = F.sequence(F.greatest(F.lit(1), start(i) + 1 - (pieces - 1)), F.greatest(F.lit(1), F.least(n - length + 1, start(i) + 1 + (pieces - 1))))
-            return F.transform(places, lambda p: F.struct(size.alias("size"), i.alias("no"), F.substring(x, p, length).alias("piece")))
+            behind = pieces - 1 - i
+            first = F.greatest(F.lit(0), start(i) - i, start(i) + n - size - behind)
+            last = F.least(n - length, start(i) + i, start(i) + n - size + behind)
+            places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.struct(size.alias("size"), pieces.alias("pieces"), i.alias("no"), F.substring(x, p + 1, length).alias("piece")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), of_piece))
 

@@ -1,12 +1,13 @@
-"""What only larger tables show: rosters above the list format's limit, and as many files as meetings."""
+"""What only larger tables show: rosters above the list format's limit, as many files as meetings, common pieces of words, and many display names of one person."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import chat
+from rollcall.operators import candidates, chat, match
 from rollcall.plans.queries import ORACLE_SQL, QUERIES
 from rollcall.sources import bundles, sinks
 from rollcall.storage import shared_dir
@@ -75,3 +76,26 @@ def test_attendance_bundle_has_the_lines_of_files(spark, tmp_path):
         files = sorted((tmp_path / "f" / f"chat_id={name}").glob("*.csv"))
         assert lines(got.filter(F.col("name") == name), "line_no") == [x for f in files for x in f.read_text(encoding="utf-8").splitlines()]
     assert got.select("name").distinct().count() == 21
+
+
+def test_pieces_meet_few_other_words(spark):
+    """Words of common syllables: the keys find every similar pair, and bring few others together."""
+    rng = random.Random(5)
+    made = sorted({"".join(rng.choice(("th", "an", "er", "ing", "on", "re", "ha", "nd")) for _ in range(rng.randint(2, 6))) for _ in range(600)})
+    left = spark.createDataFrame([("", w) for w in made[::2]], "roster_id string, s string")
+    right = spark.createDataFrame([("", w) for w in made[1::2]], "roster_id string, t string")
+    met = candidates._by_keys(left.withColumn("bs", candidates.bag("s")), right.withColumn("bt", candidates.bag("t")), ["roster_id"], 0.7, F.lit(0.7))
+    got = {(r.s, r.t) for r in met.select("s", "t").collect()}
+    longest = F.greatest(F.length("s"), F.length("t"))
+    want = {(r.s, r.t) for r in left.crossJoin(right.select("t")).filter(1 - F.levenshtein("s", "t") / longest >= 0.7).collect()}
+    assert want and want <= got and met.count() < 0.2 * left.count() * right.count()
+
+
+def test_rules_look_at_a_real_name_once(spark, monkeypatch):
+    roster = spark.createDataFrame([("r", i, str(i), s, "Іван", []) for i, s in enumerate(("Петренко", "Мельник"))], "roster_id string, pos int, id string, surname string, firstname string, nicknames array<string>")
+    keys = spark.createDataFrame([("r", k, "Петренка Іван" if k % 2 else "Мельнак Іван") for k in range(100)], "roster_id string, k long, lookup string")
+    seen, real = [], match.matching_pairs
+    monkeypatch.setattr(match, "matching_pairs", lambda names, people, mode: seen.append(names.count()) or real(names, people, mode))
+    pairs = {(r.k, r.id) for r in match.rule_pairs(keys, roster, {}).collect()}
+    best = {(r.k, r.id) for r in match.best_by_rules(keys, roster, {}).collect()}
+    assert seen == [2, 2] and pairs == best == {(k, "0" if k % 2 else "1") for k in range(100)}
