@@ -20,16 +20,18 @@ class Attendance:
     matches: DataFrame
     report: DataFrame
     rejected: DataFrame
+    roster: DataFrame
 
 
 def attendance(chats: DataFrame, roster: DataFrame, variants: Variants, keyword: str | None = None, overrides: DataFrame | None = None, mode: str = "auto") -> Attendance:
-    """Screen, parse, match, assign and report; ``rejected`` are chats with unsafe text."""
+    """Screen, parse, match, assign and report; ``rejected`` are chats with unsafe text, ``roster`` is the roster as written: more than ten steps read it."""
+    roster = settle(roster)
     safe, rejected = screen_documents(chats)
     rows = settle(chat.messages(safe))
     people, aliases = settle(chat.keyword_filter(chat.participants(rows), keyword)), settle(chat.aliases(rows))
     found, evidence = match.match_with_evidence(people, aliases, roster, variants, overrides, mode)
     found = settle(assign.auto_match(settle(found), roster, variants, evidence=evidence))
-    return Attendance(people, aliases, found, report.participant_info(found, roster), rejected)
+    return Attendance(people, aliases, found, report.participant_info(found, roster), rejected, roster)
 
 
 def counts_per_chat(a: Attendance) -> DataFrame:
