@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators import candidates, chat, match
+from rollcall.plans.attendance import attendance
 from rollcall.plans.queries import ORACLE_SQL, QUERIES
 from rollcall.sources import bundles, sinks
 from rollcall.storage import shared_dir
@@ -99,3 +100,18 @@ def test_rules_look_at_a_real_name_once(spark, monkeypatch):
     pairs = {(r.k, r.id) for r in match.rule_pairs(keys, roster, {}).collect()}
     best = {(r.k, r.id) for r in match.best_by_rules(keys, roster, {}).collect()}
     assert seen == [2, 2] and pairs == best == {(k, "0" if k % 2 else "1") for k in range(100)}
+
+
+def test_attendance_makes_the_roster_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def ident(x):
+        made.add(1)
+        return x
+
+    people = [("r", i, str(i), s, "Іван", []) for i, s in enumerate(("Петренко", "Мельник"))]
+    roster = spark.createDataFrame(people, "roster_id string, pos int, id string, surname string, firstname string, nicknames array<string>").withColumn("id", ident.asNondeterministic()("id"))
+    chats = spark.createDataFrame([("c", "r", "09:00:01 From Петренко Іван to Everyone: x\n09:00:02 From Мельника Іван to Everyone: y")], "chat_id string, roster_id string, text string")
+    a = attendance(chats, roster, {})
+    assert {(r.nickname, r.id) for r in a.report.collect()} == {("Петренко Іван", "0"), ("Мельника Іван", "1")} and made.value == 2
